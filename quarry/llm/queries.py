@@ -1,8 +1,11 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from quarry.llm import quality_resample
+from quarry.llm import bpe, jump_shard, quality_resample, quality_rules
 
 QUERIES = {
     "op1_importance_resampling": quality_resample.op1_query,
+    "op5_prefix_bpe": bpe.op5_query,
+    "op9_risk_controlled_rules": quality_rules.op9_query,
+    "op10_jump_shards": jump_shard.op10_query,
 }
 ORACLE = {}
