@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import quality_resample
+from quarry.llm import bpe, line_dedup, mixing, near_dedup, quality_resample
 from quarry.llm.common import read_table, written
 
 STAGES = [
     ("quality classifier", quality_resample.stage),
+    ("line dedup", line_dedup.stage),
+    ("MinHash near-dedup", near_dedup.stage),
+    ("mixing sources to target weights", mixing.stage),
+    ("BPE encoding and decoding", bpe.stage),
 ]
 
 #: Models, sketches and byte-pair encoding are not expressible in SQL; tests/llm hold the stages against brute force.
