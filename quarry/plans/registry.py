@@ -1,4 +1,335 @@
 """Queries over the star-schema tables, by name, each with the SQL that an oracle can run."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import files as X
+from quarry.operators import contain, incremental, measure, overlay, resolve, search, traverse
+from quarry.plans import oracle as O
+from quarry.sources import star
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def hold(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return hold
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("sca01_module_names", f"{O.WITH} SELECT id, path, module, package FROM placed")
+def _(spark, sf_dir):
+    return star.graph(spark, sf_dir).files.select("id", "path", "module", "package")
+
+
+@query("sca02_import_modules", f"{O.WITH} SELECT id, file_id, module_abs, symbol, alias FROM named")
+def _(spark, sf_dir):
+    return star.graph(spark, sf_dir).imports.select("id", "file_id", "module_abs", "symbol", "alias")
+
+
+@query("fil01_indexable", """
+SELECT doc_id, CASE WHEN ext = 'py' THEN 'python' WHEN ext = 'GO' THEN 'go' WHEN ext = 'tsx' THEN 'tsx' ELSE '' END AS lang,
+  ext <> 'xyz' AND folder NOT IN ('node_modules', '.cache') AND octet_length(encode(text)) BETWEEN 1 AND 2097152 AS indexable
+FROM (SELECT doc_id, text, ['py', 'GO', 'tsx', 'xyz'][doc_id % 4 + 1] AS ext, ['app', 'node_modules', '.github', '.cache', 'lib'][doc_id % 5 + 1] AS folder FROM documents)""")
+def _(spark, sf_dir):
+    ext = F.get(F.array(*map(F.lit, ("py", "GO", "tsx", "xyz"))), (F.col("doc_id") % 4).cast("int"))
+    folder = F.get(F.array(*map(F.lit, ("app", "node_modules", ".github", ".cache", "lib"))), (F.col("doc_id") % 5).cast("int"))
+    path = F.concat(folder, F.lit("/f"), F.col("doc_id").cast("string"), F.lit("."), ext)
+    return table(spark, sf_dir, "documents").select("doc_id", X.language(path).alias("lang"), X.indexable(path, F.octet_length("text")).alias("indexable"))
+
+
+@query("fil05_trigrams", "SELECT page_id, octet_length(encode(html)) AS size, octet_length(encode(html)) >= 65536 AS scanned FROM pages")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").cast("long").alias("size"), (F.octet_length("html") >= X.SCAN_BYTES).alias("scanned"))
+
+
+@query("agg23_distinct_trigrams", """
+SELECT page_id, CAST(count(DISTINCT substr(h, i * 2 - 1, 6)) AS INTEGER) AS n FROM (SELECT page_id, hex(encode(html)) AS h FROM pages), unnest(range(1, CAST(length(h) // 2 - 1 AS BIGINT))) t(i) GROUP BY page_id""")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.trigrams(F.encode("html", "UTF-8")).alias("n"))
+
+
+@query("src06_digests", "SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS size FROM documents")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
+
+
+@query("src10_embedded_scripts", r"""
+SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS script FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script>', 1) AS s FROM pages), unnest(range(1, len(s) + 1)) t(i)""")
+def _(spark, sf_dir):
+    found = F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>(.*?)</script>"), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("pos", "script"))
+
+
+@query("jon03_parents", f"{O.WITH}{O.CONTAIN} SELECT id, parent FROM parent")
+def _(spark, sf_dir):
+    return contain.parents(star.graph(spark, sf_dir).nodes)
+
+
+@query("jon02_enclosing", f"{O.WITH}{O.CONTAIN} SELECT ref_id, enclosing FROM enclosing")
+def _(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    return contain.enclosing(g.refs, g.nodes)
+
+
+@query("sca19_classes", f"{O.WITH}{O.CONTAIN} SELECT id, class_id FROM class_of")
+def _(spark, sf_dir):
+    nodes = star.graph(spark, sf_dir).nodes
+    return contain.classes(nodes, contain.parents(nodes))
+
+
+@query("gra13_structural_edges", f"{O.WITH}{O.CONTAIN} SELECT coalesce(parent, file_id) AS src, d.id AS dst, CASE WHEN parent IS NULL THEN 'DEFINES' ELSE 'CONTAINS' END AS kind FROM defs d LEFT JOIN parent USING (id)")
+def _(spark, sf_dir):
+    nodes = star.graph(spark, sf_dir).nodes
+    return contain.structural_edges(nodes, contain.parents(nodes))
+
+
+@query("jon05_import_names", f"{O.WITH}{O.RESOLVE} SELECT file_id AS n_file, local, module AS n_module FROM names")
+def _(spark, sf_dir):
+    return resolve.import_names(star.graph(spark, sf_dir).imports)
+
+
+@query("jon07_receiver_targets", f"{O.WITH}{O.RESOLVE} SELECT ref_id, module AS t_module FROM aims")
+def _(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    return resolve.targets(resolve.modes(g.refs), resolve.import_names(g.imports), resolve.import_modules(g.imports))
+
+
+@query("res02_resolve_all", f"{O.WITH}{O.RESOLVE} SELECT ref_id, dst, round(confidence, 4) AS confidence, evidence, candidate_count, resolved FROM resolved")
+def _(spark, sf_dir):
+    return resolve.resolve(star.graph(spark, sf_dir)).withColumn("confidence", F.round("confidence", 4))
+
+
+@query("res03_file_local", f"""{O.WITH}{O.RESOLVE} SELECT r.id AS ref_id, EXISTS (SELECT 1 FROM nodes n WHERE n.name = r.name AND n.file_id = r.file_id)
+  AND (open OR EXISTS (SELECT 1 FROM aims WHERE aims.ref_id = r.id AND aims.module = own_module)) AS decided FROM r""")
+def _(spark, sf_dir):
+    return resolve.file_local(star.graph(spark, sf_dir))
+
+
+@query("res07_external", f"{O.WITH}{O.RESOLVE} SELECT r.id AS ref_id FROM r WHERE NOT EXISTS (SELECT 1 FROM met WHERE met.ref_id = r.id)")
+def _(spark, sf_dir):
+    return resolve.external(star.graph(spark, sf_dir))
+
+
+def _hop(question: str, here: str, kinds: str) -> str:
+    there = "src" if here == "dst" else "dst"
+    return f"""{O.WITH}{O.LINKS} SELECT {here} AS start, {there} AS node, kind, round(confidence, 4) AS confidence, evidence, candidate_count FROM (
+      SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY confidence DESC, candidate_count, kind, evidence) AS i FROM links WHERE kind IN ({kinds}) AND resolved AND src <> dst) WHERE i = 1"""
+
+
+for _name, _question, _here, _kinds in (
+    ("gra02_callers", "callers", "dst", "'CALLS'"),
+    ("gra05_callees", "callees", "src", "'CALLS'"),
+    ("gra10_implementations", "implementations", "dst", "'IMPLEMENTS'"),
+    ("gra10_references", "references", "dst", "'CALLS', 'REFERENCES'"),
+):
+    query(_name, _hop(_question, _here, _kinds))(lambda spark, sf_dir, q=_question: traverse.neighbors(star.graph(spark, sf_dir), q).withColumn("confidence", F.round("confidence", 4)))
+
+for _name, _question, _here, _there in (("gra06_importers", "importers", "dst", "src"), ("gra06_imports", "imports", "src", "dst")):
+    query(_name, f"""{O.WITH}{O.LINKS} SELECT n.id AS start, {_there} AS node, 'IMPORTS' AS kind, 1.0::DOUBLE AS confidence, 'import' AS evidence, 1::BIGINT AS candidate_count
+      FROM nodes n JOIN file_links ON n.file_id = {_here}""")(lambda spark, sf_dir, q=_question: traverse.neighbors(star.graph(spark, sf_dir), q))
+
+
+@query("gra08_ambiguous_callers", f"""{O.WITH}{O.LINKS} SELECT dst AS start, src AS node, kind, round(confidence, 4) AS confidence, evidence, candidate_count FROM (
+  SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY confidence DESC, candidate_count, kind, evidence) AS i FROM links WHERE kind = 'CALLS' AND src <> dst) WHERE i = 1""")
+def _(spark, sf_dir):
+    return traverse.neighbors(star.graph(spark, sf_dir), "callers", ambiguous=True).withColumn("confidence", F.round("confidence", 4))
+
+
+_STEPS = """,
+steps AS (SELECT DISTINCT dst, src FROM links WHERE resolved AND src <> dst UNION SELECT n.id, f.src FROM nodes n JOIN file_links f ON f.dst = n.file_id)"""
+
+
+@query("gra09_blast_radius", f"""{O.WITH}{O.LINKS}{_STEPS},
+l1 AS (SELECT DISTINCT dst AS start, src AS node FROM steps WHERE src <> dst),
+l2 AS (SELECT DISTINCT l1.start, steps.src AS node FROM l1 JOIN steps ON steps.dst = l1.node),
+n2 AS (SELECT * FROM l2 WHERE start <> node EXCEPT SELECT * FROM l1),
+l3 AS (SELECT DISTINCT n2.start, steps.src AS node FROM n2 JOIN steps ON steps.dst = n2.node),
+n3 AS (SELECT * FROM l3 WHERE start <> node EXCEPT SELECT * FROM l1 EXCEPT SELECT * FROM n2)
+SELECT start, count(*) FILTER (WHERE d = 1) AS depth1, count(*) FILTER (WHERE d = 2) AS depth2, count(*) FILTER (WHERE d = 3) AS depth3
+FROM (SELECT start, 1 AS d FROM l1 UNION ALL SELECT start, 2 FROM n2 UNION ALL SELECT start, 3 FROM n3) GROUP BY start""")
+def _(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    reached = traverse.blast_radius(traverse.hops(g), g.nodes.select("id"), 3)
+    return reached.groupBy("start").agg(*[F.count_if(F.col("depth") == d).alias(f"depth{d}") for d in (1, 2, 3)])
+
+
+@query("gra01_walk", f"""{O.WITH}{O.LINKS},
+hop AS (SELECT DISTINCT src, dst FROM links WHERE resolved AND confidence >= 0.05),
+walk AS (SELECT id AS start, id AS node, [id] AS path FROM nodes UNION ALL SELECT w.start, h.src, list_append(w.path, h.src) FROM walk w JOIN hop h ON h.dst = w.node WHERE len(w.path) < 4 AND NOT list_contains(w.path, h.src))
+SELECT start, node, CAST(min(len(path)) - 1 AS INTEGER) AS depth FROM walk WHERE len(path) > 1 GROUP BY start, node""")
+def _(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    return traverse.walk(g, g.nodes.select("id"), 3)
+
+
+@query("agg01_counts", f"""{O.WITH}{O.LINKS} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM nodes) AS nodes, count(*) AS links, count(*) FILTER (WHERE resolved) AS resolved_links, count(*) FILTER (WHERE candidate_count > 1) AS ambiguous_links FROM links""")
+def _(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    return measure.counts(g, traverse.links(g))
+
+
+@query("agg02_tiers", f"""{O.WITH}, t AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM defs d WHERE d.file_id = f.id) THEN 'symbols' WHEN EXISTS (SELECT 1 FROM named n WHERE n.file_id = f.id) THEN 'imports' ELSE 'none' END AS tier FROM files f),
+u AS (SELECT tier, CASE tier WHEN 'symbols' THEN '' ELSE 'no_symbols' END AS reason FROM t) SELECT tier, reason, count(*) AS files FROM u GROUP BY GROUPING SETS ((tier), (tier, reason))""")
+def _(spark, sf_dir):
+    return measure.tiers(star.graph(spark, sf_dir))
+
+
+@query("agg03_languages", f"{O.WITH} SELECT lang, count(*) AS files FROM files GROUP BY lang")
+def _(spark, sf_dir):
+    return measure.languages(star.graph(spark, sf_dir))
+
+
+@query("agg09_collapse", f"""{O.WITH}{O.LINKS}, c AS (SELECT id, name FROM r WHERE kind = 'CALLS'),
+b AS (SELECT c.id, count(DISTINCT d_file) AS n FROM c JOIN pool USING (name) GROUP BY c.id), a AS (SELECT c.id, count(DISTINCT d_file) AS n FROM c JOIN resolved z ON z.ref_id = c.id JOIN pool ON pool.dst = z.dst GROUP BY c.id)
+SELECT (SELECT count(*) FROM b) AS sites, (SELECT round(avg(n), 4) FROM b) AS unscoped_mean, (SELECT round(avg(CAST(n > 1 AS INTEGER)), 4) FROM b) AS unscoped_ambiguous,
+  (SELECT count(*) FROM a) AS scoped_sites, (SELECT round(avg(n), 4) FROM a) AS scoped_mean, (SELECT round(avg(CAST(n > 1 AS INTEGER)), 4) FROM a) AS scoped_ambiguous""")
+def _(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    return measure.collapse(g, resolve.resolve(g))
+
+
+@query("agg17_evidence_share", f"{O.WITH}{O.LINKS} SELECT evidence, count(*) AS calls, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM links WHERE kind = 'CALLS' GROUP BY evidence")
+def _(spark, sf_dir):
+    return measure.evidence_share(traverse.links(star.graph(spark, sf_dir)))
+
+
+@query("sea06_homonym_gaps", f"{O.WITH} SELECT name, count(*) AS definitions, '''' || name || ''' names ' || count(*) || ' definitions; this answer starts at one' AS gap FROM defs GROUP BY name HAVING count(*) > 1")
+def _(spark, sf_dir):
+    return measure.homonyms(star.graph(spark, sf_dir))
+
+
+@query("agg11_unreached_gaps", f"""{O.WITH}{O.LINKS}, s AS (SELECT name, count(*) AS spelled FROM r WHERE kind = 'CALLS' GROUP BY name), c AS (SELECT dst AS id, count(DISTINCT src) AS reached FROM links WHERE kind = 'CALLS' AND resolved AND src <> dst GROUP BY dst)
+SELECT d.id, spelled, coalesce(reached, 0) AS reached, spelled || ' references spell this name, ' || coalesce(reached, 0) || ' of them reach it' AS gap FROM defs d JOIN s USING (name) LEFT JOIN c USING (id) WHERE spelled > coalesce(reached, 0)""")
+def _(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    return measure.unreached(g, traverse.neighbors(g, "callers"))
+
+
+@query("sea05_capability_gaps", "SELECT DISTINCT 'elisp' AS lang, 'calls,imports' AS missing FROM customer WHERE c_custkey % 6 = 5")
+def _(spark, sf_dir):
+    return measure.capability_gaps(star.graph(spark, sf_dir))
+
+
+@query("agg18_scores", """
+SELECT lang, round(CASE WHEN a > 0 THEN hit / a ELSE 0 END, 6) AS precision, round(CASE WHEN t > 0 THEN hit / t ELSE 0 END, 6) AS recall, round(CASE WHEN hit > 0 THEN 2.0 * hit / (a + t) ELSE 0 END, 6) AS f1
+FROM (SELECT lang, count(*) FILTER (WHERE quality = 1 AND n_chars > 500) AS hit, count(*) FILTER (WHERE quality = 1) AS t, count(*) FILTER (WHERE n_chars > 500) AS a
+  FROM (SELECT DISTINCT lang, doc_id, quality, n_chars FROM documents JOIN labels USING (doc_id)) GROUP BY GROUPING SETS ((lang), ()))""")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("lang", F.col("doc_id").alias("item"), "quality", "n_chars")
+    return measure.scores(rows.where("quality = 1"), rows.where("n_chars > 500"), "lang")
+
+
+_TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}\p{{Co}}_$.]+')"
+
+
+@query("sea08_bm25", f"""
+WITH d AS (SELECT doc_id, {_TERMS.format('text')} AS ts FROM documents), c AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM d),
+p AS (SELECT doc_id, len(ts) AS l, t AS token, count(*) AS tf FROM d, unnest(ts) u(t) GROUP BY ALL), f AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+q AS (SELECT DISTINCT item_id AS query_id, t AS token FROM (SELECT item_id, {_TERMS.format('text')} AS ts FROM benchmark), unnest(ts) u(t)),
+s AS (SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avg_len))), 6) AS score FROM p JOIN q USING (token) JOIN f USING (token), c GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, score, CAST(i AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS i FROM s) WHERE i <= 20""")
+def _(spark, sf_dir):
+    docs, asked = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    terms = asked.select(F.col("item_id").alias("query_id"), F.explode(search.tokens(F.col("text"))).alias("token"))
+    return search.bm25(search.postings(docs, "doc_id", "text"), search.corpus(docs, "text"), terms, "doc_id", 20)
+
+
+@query("sea03_find_symbol", f"""{O.WITH}, a AS (SELECT DISTINCT name FROM refs) SELECT name, node_id, exact FROM (
+  SELECT a.name, n.id AS node_id, true AS exact, row_number() OVER (PARTITION BY a.name ORDER BY n.id) AS i FROM a JOIN nodes n ON n.name = a.name) WHERE i <= 20""")
+def _(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    return search.find_symbol(g.nodes, g.refs.select("name").distinct())
+
+
+@query("jon12_snapshot_diff", """
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 5 = 0 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 3 = 0""")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = docs.where("doc_id % 7 <> 0").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    new = docs.where("doc_id % 5 <> 0 OR doc_id % 7 = 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
+    return incremental.diff(old, new, "doc_id")
+
+
+@query("str07_rewrite", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS size FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 7 = 0""")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("size"))
+    stored, now = docs.where("doc_id % 7 <> 0"), docs.where("doc_id % 5 <> 0 OR doc_id % 7 = 0").withColumn("size", F.when((F.col("doc_id") % 3 == 0) | (F.col("doc_id") % 7 == 0), F.col("size") + 1).otherwise(F.col("size")))
+    changes = incremental.diff(stored, now, "doc_id", "size")
+    return incremental.rewritten(stored, now, changes, "doc_id")
+
+
+@query("snk07_forget_cascade", f"{O.WITH} SELECT id, file_id FROM refs WHERE file_id NOT IN (SELECT id FROM files WHERE lang = 'go')")
+def _(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    return incremental.forget(g.refs, g.files.where("lang = 'go'"), "file_id").select("id", "file_id")
+
+
+@query("jon19_owners", """SELECT p_path AS path, CASE WHEN c_custkey % 3 = 0 THEN 'r/n' || c_nationkey ELSE 'r' END AS root FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN 'r/n' || c_nationkey || '/f' || c_custkey ELSE 'r/x/f' || c_custkey END AS p_path FROM customer)""")
+def _(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), F.col("c_nationkey").cast("string")
+    path = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("r/n"), n, F.lit("/f"), F.col("c_custkey").cast("string"))).otherwise(F.concat(F.lit("r/x/f"), F.col("c_custkey").cast("string")))
+    roots = table(spark, sf_dir, "nation").select(F.concat(F.lit("r/n"), F.col("n_nationkey").cast("string")).alias("root")).unionByName(spark.createDataFrame([("r",)], "root string"))
+    return incremental.owners(c.select(path.alias("path")), roots)
+
+
+@query("jobs_merged_hints", """
+SELECT user_id AS root, CASE WHEN max(CAST(event_type = 'error' AS INTEGER)) = 0 AND count(DISTINCT event_id % 50) <= 200 THEN array_to_string(list_sort(list(DISTINCT CAST(event_id % 50 AS VARCHAR))), ',') END AS paths FROM events GROUP BY user_id""")
+def _(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("root"), F.when(F.col("event_type") != "error", (F.col("event_id") % 50).cast("string")).alias("path"))
+    return incremental.merged_hints(events).select("root", F.array_join("paths", ",").alias("paths"))
+
+
+@query("sto04_latest_row", "SELECT user_id, arg_max(event_id, row(ts, event_id % 100000)) AS event_id FROM events GROUP BY user_id")
+def _(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.struct("ts", (F.col("event_id") % 100000).alias("i")).alias("o"))
+    return incremental.upsert(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), ["user_id"], "o").select("user_id", "event_id")
+
+
+def occurrences(g: star.Graph) -> DataFrame:
+    """A made-up compiler's index: it defines what it saw, and names the only definition of a name at call sites that spell it."""
+    defs = contain.definitions(g.nodes)
+    seen = defs.where("id % 10 <> 3").select(F.lit("scip-x").alias("tool"), "file_id", "start_byte", "end_byte", F.concat(F.lit("s "), F.col("id").cast("string")).alias("symbol"), F.lit(True).alias("definition"))
+    one = defs.groupBy("name").agg(F.min("id").alias("d_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    used = g.refs.join(one, "name").select(F.lit("scip-x").alias("tool"), "file_id", F.col("site").alias("start_byte"), (F.col("site") + 5).alias("end_byte"), F.concat(F.lit("s "), F.col("d_id").cast("string")).alias("symbol"), F.lit(False).alias("definition"))
+    return seen.unionByName(used)
+
+
+_OVERLAY = """,
+one AS (SELECT name, min(id) AS d_id FROM defs GROUP BY name HAVING count(*) = 1),
+decided AS (SELECT a.id AS ref_id, min(d_id) AS dst FROM r a JOIN r b ON a.file_id = b.file_id AND a.site = b.site JOIN one ON one.name = b.name WHERE a.kind = 'CALLS' AND d_id % 10 <> 3 GROUP BY a.id)"""
+
+
+@query("ovl03_coverage", f"""{O.WITH} SELECT 'scip-x' AS tool, round(count(DISTINCT file_id) / (SELECT count(*) FROM files), 6) AS files, round(count(*) FILTER (WHERE seen) / (SELECT count(*) FROM defs), 6) AS definitions,
+  round(count(DISTINCT file_id) / (SELECT count(*) FROM files), 6) < 0.6 OR round(count(*) FILTER (WHERE seen) / (SELECT count(*) FROM defs), 6) < 0.4 AS refused
+FROM (SELECT file_id, true AS seen FROM defs WHERE id % 10 <> 3 UNION ALL SELECT file_id, false FROM refs WHERE name IN (SELECT name FROM defs GROUP BY name HAVING count(*) = 1))""")
+def _(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    return overlay.coverage(g, occurrences(g))
+
+
+@query("ovl06_exact_calls", f"""{O.WITH}{O.LINKS}{_OVERLAY}
+SELECT ref_id, src, dst, evidence, candidate_count FROM links WHERE kind = 'CALLS' AND ref_id NOT IN (SELECT ref_id FROM decided)
+UNION ALL SELECT ref_id, coalesce(e.enclosing, r.file_id), dst, 'scip', 1 FROM decided JOIN r ON r.id = ref_id LEFT JOIN enclosing e USING (ref_id)""")
+def _(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    return overlay.calls(g, traverse.links(g).where("kind = 'CALLS'"), occurrences(g)).select("ref_id", "src", "dst", "evidence", "candidate_count")
+
+
+@query("sea02_federated_counts", f"{O.WITH} SELECT project_no, count(DISTINCT f.id) AS files, count(d.id) AS definitions FROM files f LEFT JOIN defs d ON d.file_id = f.id GROUP BY project_no")
+def _(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    defs = contain.definitions(g.nodes).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    return g.files.join(defs, F.col("id") == F.col("file_id"), "left").groupBy("project_no").agg(F.count(F.lit(1)).alias("files"), F.sum(F.coalesce("n", F.lit(0))).alias("definitions"))
