@@ -81,19 +81,19 @@ def place(doc_id: Column, h: Column, line_no: Column) -> Column:
 
 
 def suspects(lines: DataFrame) -> DataFrame:
-    """The distinct lines and windows whose side key another text shares: (h1, h2, at, n, m, j)."""
-    keyed = lines.where(F.col("n") >= MIN_NEAR).select(
-        "h1", "h2", "at", "n", F.explode(F.concat(
-            F.transform("same", lambda k, j: F.struct(k.alias("key"), F.col("n").alias("m"), j.alias("j"))),
-            F.transform("longer", lambda k, j: F.struct(k.alias("key"), (F.col("n") - 1).alias("m"), j.alias("j"))),
-        )).alias("k")
-    ).select("h1", "h2", "at", "n", "k.*")
+    """The distinct lines and windows whose side key another text shares: (at, h1, h2, n, m, j). Keys travel with a line's number alone."""
+    keys = F.concat(
+        F.transform("same", lambda k, j: F.struct(k.alias("key"), F.lit(0).alias("less"), j.alias("j"))),
+        F.transform("longer", lambda k, j: F.struct(k.alias("key"), F.lit(1).alias("less"), j.alias("j"))),
+    )
+    keyed = lines.where(F.col("n") >= MIN_NEAR).select("lid", F.explode(keys).alias("k")).select("lid", "k.*")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    return keyed.join(shared, "key", "left_semi").drop("key")
+    found = written(keyed.join(shared, "key", "left_semi").drop("key"))
+    return lines.select("lid", "at", "h1", "h2", "n").join(found, "lid").select("at", "h1", "h2", "n", (F.col("n") - F.col("less")).alias("m"), "j")
 
 
 def window_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """found with the window's text (part) and hashes of what is left and right of it; each text is read at the line's first place only."""
+    """found with pid, the window's text (part) and hashes of what is left and right of it; each text is read at the line's first place only."""
     asked = found.groupBy(F.col("at.doc_id").alias("a_doc"), F.col("at.h").alias("a_h")).agg(
         F.collect_list(F.struct("h1", "h2", "at", "n", "m", "j")).alias("asked")
     )
@@ -113,50 +113,48 @@ def window_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
         "h1", "h2", "at", "n", "m", "j",
         F.xxhash64(left, right).alias("s1"), F.xxhash64(F.lit(1), left, right).alias("s2"),
         F.substring(line, first + 1, last - first).alias("part"),
-    ).dropDuplicates(["h1", "h2", "m", "j"])
+    ).dropDuplicates(["h1", "h2", "m", "j"]).withColumn("pid", F.monotonically_increasing_id())
 
 
-def near(parts: DataFrame) -> DataFrame:
-    """(h1, h2, first): lines within one edit of an earlier one, with the earliest such place."""
+#: What a variant key stands for: a window less one code point at a place, in the shorter length; a whole window; one of the longer length less one.
+REPLACED, WHOLE, LESS = 0, 1, 2
+
+
+def variants(parts: DataFrame) -> DataFrame:
+    """(pid, key, role): the deletion neighbourhood of every window, as hashed keys."""
     part, size = F.col("part"), F.length("part")
-    without = F.transform(
-        F.filter(F.sequence(F.lit(0), size), lambda i: i < size),
-        lambda i: F.struct(i.alias("i"), F.concat(F.substring(part, F.lit(1), i), F.substring(part, i + 2, size)).alias("v")),
-    )
-    ids = ["h1", "h2", "at", "m", "j"]
-    deleted = parts.select(*ids, "n", "s1", "s2", F.explode(without).alias("d")).select(*ids, "n", "s1", "s2", "d.*")
-
-    def keyed(df: DataFrame, *what: Column) -> DataFrame:
-        return df.select(*ids, *[F.xxhash64(F.lit(s), "m", "j", "s1", "s2", *what).alias(f"k{s}") for s in (1, 2)])
-
-    replaced = keyed(deleted.where("n = m"), F.col("i"), F.col("v"))
-    shorter = keyed(parts.where("n = m"), part)
-    longer = keyed(deleted.where("n > m"), F.col("v")).dropDuplicates(["h1", "h2", "m", "j", "k1", "k2"])
-
-    def earliest(df: DataFrame) -> DataFrame:
-        return df.groupBy("k1", "k2").agg(F.min(F.struct("at", "h1", "h2")).alias("e"), F.count(F.lit(1)).alias("c"))
-
-    pairs = None
-    for rows, against in ((replaced, earliest(replaced).where("c > 1")), (shorter, earliest(longer)), (longer, earliest(shorter))):
-        found = rows.join(against, ["k1", "k2"]).where("e.at < at").select(*ids, F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), F.col("e.at").alias("first"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = pairs.dropDuplicates(["h1", "h2", "m", "j", "e1", "e2"])
-    texts = parts.select("h1", "h2", "m", "j", "part")
-    other = texts.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), "m", "j", F.col("part").alias("e_part"))
-    return (
-        pairs.join(texts, ["h1", "h2", "m", "j"])
-        .join(other, ["e1", "e2", "m", "j"])
-        .where(F.levenshtein("part", "e_part", 1) >= 0)
-        .groupBy("h1", "h2")
-        .agg(F.min("first").alias("first"))
+    without = lambda i: F.concat(F.substring(part, F.lit(1), i), F.substring(part, i + 2, size))
+    places = F.filter(F.sequence(F.lit(0), size), lambda i: i < size)
+    row = lambda key, role: F.struct(key.alias("key"), F.lit(role).alias("role"))
+    replaced = F.transform(places, lambda i: row(F.xxhash64("m", "j", "s1", "s2", i, without(i)), REPLACED))
+    whole = F.array(row(F.xxhash64("m", "j", "s1", "s2", part), WHOLE))
+    less = F.array_distinct(F.transform(places, lambda i: row(F.xxhash64("m", "j", "s1", "s2", without(i)), LESS)))
+    return parts.select("pid", F.explode(F.when(F.col("n") == F.col("m"), F.concat(replaced, whole)).otherwise(less)).alias("v")).select("pid", "v.*")
+
+
+def near(parts: DataFrame) -> DataFrame:
+    """(h1, h2, first): lines within one edit of an earlier one, with the earliest such place.
+
+    parts is a written table (pid is fixed). Keys that only one window has are left behind first; groups of the others are reduced to
+    their earliest line for each role, so that each row meets one other.
+    """
+    keyed = variants(parts)
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("role").alias("lo"), F.max("role").alias("hi")).where("c > 1 AND (lo = 0 OR lo < hi)").select("key")
+    hits = written(keyed.join(shared, "key", "left_semi"))
+    rows = hits.join(parts, "pid").select("key", "role", "at", "h1", "h2", "m", "j", "s1", "s2", "part")
+    same = ["key", "m", "j", "s1", "s2"]
+    earliest = rows.groupBy(*same, F.when(F.col("role") == REPLACED, REPLACED).when(F.col("role") == WHOLE, LESS).otherwise(WHOLE).alias("role")).agg(
+        F.min(F.struct("at", "part")).alias("e")
     )
+    found = rows.join(earliest, [*same, "role"]).where("e.at < at")
+    return found.where(F.levenshtein("part", "e.part", 1) >= 0).groupBy("h1", "h2").agg(F.min("e.at").alias("first"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, dropped): for each document that loses lines, their numbers in order; h is the text's hash."""
     occ = written(occurrences(docs))
     lines = occ.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("c"), F.min("n").alias("n"), F.min("same").alias("same"), F.min("longer").alias("longer"))
-    lines = written(lines)
+    lines = written(lines.withColumn("lid", F.monotonically_increasing_id()))
     parts = written(window_texts(docs, suspects(lines)))
     close = near(parts).select("h1", "h2", F.lit(True).alias("near"))
     marked = lines.select("h1", "h2", F.col("at").alias("first"), "c").join(close, ["h1", "h2"], "left").where("c > 1 OR near")

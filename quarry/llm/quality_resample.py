@@ -2,7 +2,8 @@
 
 Two hashed n-gram bags are counted over whole texts: one over every document (the raw text), one over the documents that the
 labels call good (the target). A document's log importance weight is the mean log ratio of the two over its own n-grams,
-times a sharpness; perturbed by Gumbel noise, the k largest keys are a sample without replacement by importance.
+times a sharpness; perturbed by Gumbel noise, the k largest keys are a sample without replacement by importance. Half of the
+labelled documents count for the target; the other half, which the counts have not seen, decide k.
 
 Defined cases: a null text counts as empty; a text without a token has log weight 0, the weight of a document about which
 nothing is known; a null doc_id is a document like any other; rows that repeat both doc_id and text get the same key, and
@@ -61,8 +62,8 @@ def grams(text: str | None, ids: _Ids) -> Iterator[np.ndarray]:
         yield ((both >> np.uint64(33)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def labelled(labels: DataFrame, limit: int = MAX_LABELS) -> list[tuple[int, bool]]:
-    """doc_id and whether it is good (quality 1, not toxic); the lowest label counts where several differ."""
+def labelled(labels: DataFrame, limit: int = MAX_LABELS) -> list[tuple[int, bool, bool]]:
+    """doc_id, whether its quality is good and whether it is toxic; the lowest quality counts where several differ."""
     rows = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy("doc_id")
@@ -102,8 +103,8 @@ def fit(docs: DataFrame, target_ids: set[int]) -> np.ndarray:
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     if not target.sum():
         return np.zeros(BUCKETS)
-    # a pseudo-count spread as the raw text is, so that rare buckets say little
-    prior = 5.0 * (raw + 0.1) / (raw + 0.1).sum() * BUCKETS
+    # pseudo-counts spread as the raw text is, so that rare buckets say little; fewer of them where there is little target text
+    prior = min(5.0 * BUCKETS, 0.5 * target.sum()) * (raw + 0.1) / (raw + 0.1).sum()
     q, p = (target + prior) / (target + prior).sum(), (raw + prior) / (raw + prior).sum()
     return np.log(q) - np.log(p)
 
@@ -129,6 +130,11 @@ def score(docs: DataFrame, ratio: np.ndarray, sharpness: float = SHARPNESS) -> D
     return docs.mapInArrow(weigh, schema)
 
 
+def counted(doc_id: int) -> bool:
+    """Whether a labelled document counts for the target; if not, it is held out."""
+    return zlib.crc32(str(doc_id).encode()) % 2 == 0
+
+
 def gumbel(*columns: str, seed: int = 0):
     return -F.log(-F.log(uniform(*columns, seed=seed)))
 
@@ -177,7 +183,7 @@ def choose_cut(keys: list[tuple[float, bool]], cost: float = FALSE_REJECTION_COS
 def resample(scored: DataFrame, labels: list[tuple[int, bool, bool]], k: int | None = None) -> tuple[DataFrame, float]:
     """scored with kept: whether its gumbel_key is among the k largest. Without k, it is the number of documents above the cut that the labelled ones support."""
     if k is None:
-        good = scored.sparkSession.createDataFrame([(i, q) for i, q, _ in labels], "label_id long, good boolean")
+        good = scored.sparkSession.createDataFrame([(i, q) for i, q, _ in labels if not counted(i)], "label_id long, good boolean")
         rows = scored.select("doc_id", "gumbel_key").join(F.broadcast(good), F.col("doc_id") == F.col("label_id")).limit(4 * MAX_LABELS).select("gumbel_key", "good").collect()
         cut = choose_cut([(r.gumbel_key, r.good) for r in rows])
         k = scored.where(F.col("gumbel_key") >= cut).count() if math.isfinite(cut) else None
@@ -186,7 +192,7 @@ def resample(scored: DataFrame, labels: list[tuple[int, bool, bool]], k: int | N
 
 
 def with_keys(docs: DataFrame, labels: list[tuple[int, bool, bool]]) -> DataFrame:
-    ratio = fit(docs, {i for i, good, toxic in labels if good and not toxic})
+    ratio = fit(docs, {i for i, good, toxic in labels if good and not toxic and counted(i)})
     return score(docs, ratio).withColumn("gumbel_key", F.col("log_weight") + gumbel("doc_id", "text"))
 
 
