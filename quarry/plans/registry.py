@@ -9,6 +9,7 @@ from quarry.functions import files as X
 from quarry.operators import contain, incremental, measure, overlay, resolve, search, traverse
 from quarry.plans import oracle as O
 from quarry.sources import star
+from quarry.streaming import health
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -333,3 +334,22 @@ def _(spark, sf_dir):
     g = star.graph(spark, sf_dir)
     defs = contain.definitions(g.nodes).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
     return g.files.join(defs, F.col("id") == F.col("file_id"), "left").groupBy("project_no").agg(F.count(F.lit(1)).alias("files"), F.sum(F.coalesce("n", F.lit(0))).alias("definitions"))
+
+
+@query("win07_failing_twice", """
+SELECT event_id, user_id AS project FROM (SELECT event_id, user_id, event_type = 'error' AS f, lag(event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE f AND b""")
+def _(spark, sf_dir):
+    samples = table(spark, sf_dir, "events").select(F.col("event_id").alias("ts"), F.col("user_id").alias("project"), (F.col("event_type") == "error").alias("failing"))
+    return health.failing_twice(samples).withColumnRenamed("ts", "event_id")
+
+
+@query("agg25_latency", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY event_type")
+def _(spark, sf_dir):
+    return health.latency(table(spark, sf_dir, "events").withColumnRenamed("value", "seconds"), "event_type")
+
+
+@query("agg20_digest", """
+WITH r AS (SELECT md5(concat_ws(chr(31), n_nationkey, n_name, n_regionkey)) AS m FROM nation)
+SELECT substr(sha256(concat_ws(':', count(*), sum(('0x' || m[1:8])::BIGINT), sum(('0x' || m[9:16])::BIGINT), sum(('0x' || m[17:24])::BIGINT), sum(('0x' || m[25:32])::BIGINT))), 1, 16) AS digest FROM r""")
+def _(spark, sf_dir):
+    return measure.digest(table(spark, sf_dir, "nation"), "n_nationkey", "n_name", "n_regionkey")
