@@ -59,17 +59,17 @@ def side_keys(line: Column, n: Column, m: Column) -> Column:
 def occurrences(docs: DataFrame) -> DataFrame:
     """A row for each line that is not blank: its place, 128-bit hash, length and side keys."""
     own = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    line = F.col("line")
-    n = F.length(line)
+    line, n = F.col("line"), F.col("n")
     none = F.array().cast("array<bigint>")
     return (
         own.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
         .where(F.translate(line, SPACES, "") != "")
+        .withColumn("n", F.length(line))
         .select(
             place(F.col("doc_id"), F.col("h"), F.col("line_no")).alias("at"),
             F.xxhash64(line).alias("h1"),
             F.xxhash64(F.lit(1), line).alias("h2"),
-            n.alias("n"),
+            "n",
             F.when(n >= MIN_NEAR, side_keys(line, n, n)).otherwise(none).alias("same"),
             F.when(n > MIN_NEAR, side_keys(line, n, n - 1)).otherwise(none).alias("longer"),
         )
@@ -184,7 +184,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     gone = dropped_lines(docs).select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h"), "dropped")
-    counted = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(0)).cast("long").alias("n_lines"))
+    counted = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.coalesce(F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     return counted.join(gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("h") == F.col("g_h")), "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.col("dropped").cast("array<string>"), ","), F.lit("")).alias("dropped")
     )
