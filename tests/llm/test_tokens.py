@@ -23,7 +23,7 @@ def test_ids_and_texts_equal_the_library(spark, odd, library):
     rnd = random.Random(4)
     alphabet = "ab é😀\n\t'st re ll 12½$.!?中あﬁ́  ẞ<|>"
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60))) for _ in range(400)] + ["a" * 5000, " " * 3000 + "x", "<|endoftext|><|endoftext|>y", "we'll it's I'M"]
-    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts, 1000)], DOCS).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
     for row in bpe.encode(df.withColumnRenamed("lang", "ids_of")).join(df.select("doc_id", "text").distinct(), "doc_id").collect():
         expected = library.encode(row.text or "", add_special_tokens=False).ids
         if row.doc_id is not None:
