@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import files as X
-from quarry.operators import contain, incremental, measure, overlay, resolve, search, traverse
+from quarry.operators import contain, fleet, incremental, measure, overlay, resolve, search, traverse
 from quarry.plans import oracle as O
 from quarry.sources import star
 from quarry.streaming import health
@@ -353,3 +353,71 @@ WITH r AS (SELECT md5(concat_ws(chr(31), n_nationkey, n_name, n_regionkey)) AS m
 SELECT substr(sha256(concat_ws(':', count(*), sum(('0x' || m[1:8])::BIGINT), sum(('0x' || m[9:16])::BIGINT), sum(('0x' || m[17:24])::BIGINT), sum(('0x' || m[25:32])::BIGINT))), 1, 16) AS digest FROM r""")
 def _(spark, sf_dir):
     return measure.digest(table(spark, sf_dir, "nation"), "n_nationkey", "n_name", "n_regionkey")
+
+
+@query("set08_sweep", """
+WITH a AS (SELECT DISTINCT n_regionkey AS root, c_nationkey AS member FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey % 3 > 0), b AS (SELECT DISTINCT n_regionkey AS root, s_nationkey AS member FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_nationkey % 4 > 0)
+SELECT *, 'claim' AS change FROM (FROM a EXCEPT FROM b) UNION ALL SELECT *, 'release' FROM (FROM b EXCEPT FROM a)""")
+def _(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("root"))
+    of = lambda t, k: table(spark, sf_dir, t).join(nation, F.col(k) == F.col("n_nationkey")).withColumnRenamed(k, "member")
+    return fleet.sweep(of("customer", "c_nationkey").where("member % 3 > 0"), of("supplier", "s_nationkey").where("member % 4 > 0"))
+
+
+@query("jon22_unclaimed", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def _(spark, sf_dir):
+    claimed = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return fleet.unclaimed(table(spark, sf_dir, "customer").select("c_custkey"), claimed, "c_custkey")
+
+
+@query("agg22_survey", """
+WITH j AS (SELECT c_name AS path, CASE WHEN c_acctbal > 0 THEN 'live' WHEN c_nationkey > 5 AND c_custkey % 3 > 0 THEN 'deleted' WHEN c_nationkey > 5 THEN 'unmounted' ELSE 'unknown' END AS verdict FROM customer)
+SELECT verdict, count(*) AS projects, array_to_string(list_sort(list(path ORDER BY path))[1:5], ',') AS first FROM j GROUP BY verdict""")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("path"), (F.col("c_acctbal") > 0).alias("exists"), (F.col("c_nationkey") > 5).alias("parent_exists"), (F.col("c_custkey") % 3 > 0).alias("same_device"))
+    return fleet.survey(fleet.verdicts(rows))
+
+
+@query("win08_retention", "SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS i FROM events) WHERE i <= 20")
+def _(spark, sf_dir):
+    return fleet.retained(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id")
+
+
+@query("srt07_ledger", "SELECT event_id AS id, event_type AS error FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 50")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("ts", F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", F.col("event_type")).alias("error"))
+    return fleet.ledger(rows, 50, errors_only=True).select("id", "error")
+
+
+@query("jon21_inherited", """
+SELECT c_name AS path, 'depth' AS key, coalesce(CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) END, n_name) AS value FROM customer JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT c_name, 'floor', r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
+def _(spark, sf_dir):
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    own = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    projects = own.select(F.col("c_name").alias("path"), F.array("n_name", F.concat(F.lit("region "), "r_name")).alias("roots"))
+    settings = own.where("c_custkey % 4 = 0").select(F.col("c_name").alias("path"), F.lit("depth").alias("key"), F.col("c_custkey").cast("string").alias("value"))
+    settings = settings.unionByName(nation.select(F.col("n_name").alias("path"), F.lit("depth").alias("key"), F.col("n_name").alias("value")))
+    settings = settings.unionByName(region.select(F.concat(F.lit("region "), "r_name").alias("path"), F.explode(F.array(F.lit("floor"), F.lit("depth"))).alias("key"), F.col("r_name").alias("value")))
+    return fleet.inherited(projects, settings)
+
+
+@query("agg16_best_tier", "SELECT l_returnflag AS family, min(l_linenumber) AS tier FROM lineitem WHERE l_quantity > 30 GROUP BY l_returnflag")
+def _(spark, sf_dir):
+    return fleet.best_tier(table(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_returnflag").alias("family"), F.col("l_linenumber").alias("tier")))
+
+
+@query("sca33_nearest_key", """
+SELECT key, arg_min(n_name, levenshtein(key, n_name) * 1000 + i) AS meant FROM (SELECT DISTINCT left(p_name, 12) AS key FROM part), (SELECT n_name, row_number() OVER (ORDER BY n_name) AS i FROM nation) GROUP BY key""")
+def _(spark, sf_dir):
+    return fleet.nearest_key(table(spark, sf_dir, "part").select(F.substring("p_name", 1, 12).alias("key")).distinct(), table(spark, sf_dir, "nation").select(F.col("n_name").alias("key")))
+
+
+@query("ovl07_implements", f"""{O.WITH}{O.LINKS} SELECT DISTINCT d1.id AS src, d2.id AS dst FROM defs d1 JOIN defs d2 ON d1.file_id = d2.file_id AND d1.kind = 'class' AND d2.kind = 'function' AND d1.id % 10 <> 3 AND d2.id % 10 <> 3""")
+def _(spark, sf_dir):
+    g = star.graph(spark, sf_dir)
+    known = overlay.symbols(g, occurrences(g))
+    defs = contain.definitions(g.nodes)
+    other = defs.where("kind = 'function'").select("file_id", F.concat(F.lit("s "), F.col("id").cast("string")).alias("target"))
+    claims = defs.where("kind = 'class'").select("file_id", F.concat(F.lit("s "), F.col("id").cast("string")).alias("symbol")).join(other, "file_id")
+    return overlay.implements(traverse.links(g), claims, known).where("evidence = 'scip'").select("src", "dst")
