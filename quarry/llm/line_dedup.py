@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACES, read_table, written
+from quarry.llm.common import read_table, written
 
 MIN_NEAR = 20
 #: Code points of a window, at most, for lines of two windows and more.
@@ -31,6 +31,10 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def blank(line: Column) -> Column:
+    return ~line.rlike(r"[^\x20\x09-\x0D]")
+
+
 def windows(m: Column) -> Column:
     return F.greatest(F.lit(2), F.ceil(m / F.lit(WINDOW)).cast("int"))
 
@@ -63,8 +67,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<bigint>")
     return (
         own.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
-        .where(F.translate(line, SPACES, "") != "")
-        .withColumn("n", F.length(line))
+        .where(~blank(line))
+        .withColumn("n", F.length(line))  # a column of its own, so that it is counted once and not in every key
         .select(
             place(F.col("doc_id"), F.col("h"), F.col("line_no")).alias("at"),
             F.xxhash64(line).alias("h1"),
@@ -123,8 +127,8 @@ REPLACED, WHOLE, LESS = 0, 1, 2
 def variants(parts: DataFrame) -> DataFrame:
     """(pid, key, role): the deletion neighbourhood of every window, as hashed keys."""
     part, size = F.col("part"), F.length("part")
-    without = lambda i: F.concat(F.substring(part, F.lit(1), i), F.substring(part, i + 2, size))
-    places = F.filter(F.sequence(F.lit(0), size), lambda i: i < size)
+    without = lambda i: F.concat(F.substring(part, F.lit(1), i), F.substring(part, i + 2, F.lit(1 << 30)))
+    places = F.slice(F.sequence(F.lit(0), size), F.lit(1), size)
     row = lambda key, role: F.struct(key.alias("key"), F.lit(role).alias("role"))
     replaced = F.transform(places, lambda i: row(F.xxhash64("m", "j", "s1", "s2", i, without(i)), REPLACED))
     whole = F.array(row(F.xxhash64("m", "j", "s1", "s2", part), WHOLE))
@@ -138,7 +142,7 @@ def near(parts: DataFrame) -> DataFrame:
     parts is a written table (pid is fixed). Keys that only one window has are left behind first; groups of the others are reduced to
     their earliest line for each role, so that each row meets one other.
     """
-    keyed = variants(parts)
+    keyed = written(variants(parts))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("role").alias("lo"), F.max("role").alias("hi")).where("c > 1 AND (lo = 0 OR lo < hi)").select("key")
     hits = written(keyed.join(shared, "key", "left_semi"))
     rows = hits.join(parts, "pid").select("key", "role", "at", "h1", "h2", "m", "j", "s1", "s2", "part")
@@ -176,7 +180,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return (
         joined.withColumn("_new", text)
-        .where(F.col("_gone").isNull() | (F.translate("_new", SPACES, "") != ""))
+        .where(F.col("_gone").isNull() | ~blank(F.col("_new")))
         .select(*[F.col("_new").alias("text") if c == "text" else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
     )
 
