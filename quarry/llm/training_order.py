@@ -15,9 +15,11 @@ an empty table gives no shard.
 
 from __future__ import annotations
 
+import base64
 import uuid
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -61,21 +63,41 @@ def permuted(x: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np.nd
     return out.astype(np.int64)
 
 
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def ranks(path: str) -> dict:
+    """Plain data, for a broadcast: a vocabulary file of ranks (token in base 64, rank)."""
+    return {"ranks": {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, Path(path).read_bytes().splitlines())}}
+
+
+def encoding(data: dict):
+    """The library's encoder of a vocabulary, built when first asked for and kept beside it, so once for each Python worker."""
+    if "encoding" not in data:
+        import tiktoken
+
+        data["encoding"] = tiktoken.Encoding("own", pat_str=bpe.PIECES, mergeable_ranks=data["ranks"], special_tokens={})
+    return data["encoding"]
+
+
 def tokenised(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """(part, before, doc_id, n_tokens, ids): ids are 2 bytes each (4 where the vocabulary asks for it), filled up to whole sequences; before counts the sequences of the part that come first."""
-    data = bpe.vocabulary(path or bpe.default_path())
+    """(part, before, doc_id, n_tokens, ids): ids are 2 bytes each (4 where the vocabulary asks for it), filled up to whole sequences; before counts the sequences of the part that come first. The end token is the first id that is free."""
+    data = ranks(path or default_path())
     held = docs.sparkSession.sparkContext.broadcast(data)
-    end = max(data["special"].values(), default=max(data["tokens"]))
-    kind = "<u2" if max(end, max(data["tokens"])) < 1 << 16 else "<u4"
+    end = max(data["ranks"].values()) + 1
+    kind = "<u2" if end < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, before = bpe.encoder(held.value), 0
+        encode, before = encoding(held.value).encode_ordinary, 0
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 n_tokens, ids, befores = [], [], []
                 for text in part.column(2):
-                    own = [i for found in use.encode(text.as_py() or "") for i in found]
+                    own = [i for segment in bpe.cut(text.as_py() or "") for i in encode(segment)]
                     own.append(end)
                     n_tokens.append(len(own))
                     befores.append(before)
@@ -156,17 +178,24 @@ def resume(shards: DataFrame, slot: int, shard_rows: int = SHARD_ROWS) -> DataFr
     return shards.where(F.col("shard") >= slot // shard_rows).orderBy("shard")
 
 
+def stored(shards: DataFrame) -> DataFrame:
+    """(slot, shard, byte, doc_id, chunk, n_tokens, number, record_crc32) of every record, as read back from the written shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, first, rows, stride, content, *lists in zip(*batch.columns):
+                n, size, data = rows.as_py(), stride.as_py(), memoryview(content.as_buffer())
+                at = np.arange(n)
+                crc = [zlib.crc32(data[i * size : (i + 1) * size]) for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(at + first.as_py()), pa.array(np.full(n, shard.as_py())), pa.array(at * size), *[x.values for x in lists], pa.array(crc, pa.int64())], names)
+
+    names = ["slot", "shard", "byte", "doc_id", "chunk", "n_tokens", "number", "record_crc32"]
+    read = shards.select("shard", "first_slot", "rows", "stride", "content", "doc_ids", "chunks", "n_tokens", "numbers")
+    return read.mapInArrow(run, "slot long, shard long, byte long, doc_id long, chunk int, n_tokens int, number long, record_crc32 long")
+
+
 def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each sequence stands: its slot, shard and byte, and a checksum of its record, as read back from the written shards."""
     tokens = written(tokenised(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
     sequences, total = ordered(tokens)
-    shards = write_shards(sequences, total, f"{shared_dir(spark)}/quarry/shards-{uuid.uuid4().hex}")
-    at = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("rows") - 1),
-        lambda i: F.struct(
-            F.get("doc_ids", i.cast("int")).alias("doc_id"), F.get("chunks", i.cast("int")).alias("chunk"), F.get("n_tokens", i.cast("int")).alias("n_tokens"), F.get("numbers", i.cast("int")).alias("number"),
-            (F.col("first_slot") + i).alias("slot"), F.col("shard"), (i * F.col("stride")).alias("byte"),
-            F.crc32(F.substring("content", (i * F.col("stride") + 1).cast("int"), F.col("stride").cast("int"))).alias("record_crc32"),
-        ),
-    )
-    return shards.select(F.explode(at).alias("at")).select("at.*")
+    return stored(write_shards(sequences, total, f"{shared_dir(spark)}/quarry/shards-{uuid.uuid4().hex}"))

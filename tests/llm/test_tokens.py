@@ -57,6 +57,13 @@ def test_permutation_is_a_bijection_with_an_inverse():
     assert (to.permuted(np.arange(1000), 1000) != to.permuted(np.arange(1000), 1000, key=1)).any()
 
 
+def ordinary(library, text):
+    """Special tokens in a text are ordinary text here."""
+    if "<|endoftext|>" in (text or ""):
+        return to.encoding(to.ranks(to.default_path())).encode_ordinary(text)
+    return library.encode(text or "", add_special_tokens=False).ids
+
+
 def test_shards_hold_every_sequence_at_its_slot(spark, odd, library, tmp_path):
     tokens = to.written(to.tokenised(odd, length=16))
     sequences, total = to.ordered(tokens, length=16, shard_rows=64)
@@ -70,11 +77,11 @@ def test_shards_hold_every_sequence_at_its_slot(spark, odd, library, tmp_path):
     assert sorted(records) == list(range(total)) and sorted(r[4] for r in records.values()) == list(range(total))
     expected = Counter()
     for r in odd.collect():
-        expected[r.doc_id] += len(library.encode(r.text or "", add_special_tokens=False).ids) + 1
+        expected[r.doc_id] += len(ordinary(library, r.text)) + 1
     assert docs == expected
     ids = [i for _, _, n, data, _ in sorted((r for r in records.values() if r[0] == 9), key=lambda r: r[1]) for i in np.frombuffer(data, "<u2")[:n].tolist()]
     text = next(r.text for r in odd.collect() if r.doc_id == 9)
-    assert ids == library.encode(text, add_special_tokens=False).ids + [50256]
+    assert ids == ordinary(library, text) + [50256]
     assert [r.shard for r in to.resume(shards, 130, 64).collect()] == sorted(s.shard for s in shards.collect() if s.shard >= 2)
 
 
