@@ -4,7 +4,7 @@ Documents become sequences of a fixed number of token ids. Sequences are numbere
 Feistel permutation of those numbers gives each its slot in the training order, without a sort and without a table of the order.
 A power of four at least as large as their number is permuted, and a slot beyond the last is permuted again until it falls within
 (cycle-walking). Shards are ranges of slots; each is written by one task in slot order as records of one size, so slot s lies in
-file s // shard_rows at byte (s % shard_rows) * stride, and a reader that stopped resumes there.
+shard s // shard_rows at byte (s % shard_rows) * stride, and a reader that stopped resumes there.
 
 The token table is written before it is numbered: a number depends on the order of that table, which never changes afterwards.
 
@@ -139,11 +139,12 @@ def ordered(tokens: DataFrame, length: int = LENGTH, shard_rows: int = SHARD_ROW
     return placed.mapInArrow(deal, "slot long, shard long, number long, doc_id long, chunk int, n_tokens int, record binary"), int(total)
 
 
-def write_shards(sequences: DataFrame, total: int, path: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def write_shards(sequences: DataFrame, total: int, path: str, shard_rows: int = SHARD_ROWS, codec: str = "zstd") -> DataFrame:
     """A table of shards at path: (shard, first_slot, rows, stride, crc32, content) and, slot by slot, doc_ids, chunks, n_tokens and numbers.
 
-    content is the shard's records end to end, uncompressed, so a reader seeks to (slot - first_slot) * stride. Slots are 0 to
-    total - 1, so the ranges are equal and known beforehand, and task i writes range i. A shard is visible only when it is whole.
+    content is the shard's records end to end, so a reader finds a record at (slot - first_slot) * stride; codec is the file's own
+    compression ("none" to map files as they are). Slots are 0 to total - 1, so the ranges are equal and known beforehand, and task i
+    writes range i. A shard is visible only when it is whole.
     """
     names = ["shard", "first_slot", "rows", "stride", "crc32", "content", "doc_ids", "chunks", "n_tokens", "numbers"]
     schema = "shard long, first_slot long, rows long, stride long, crc32 long, content binary, doc_ids array<long>, chunks array<int>, n_tokens array<int>, numbers array<long>"
@@ -169,7 +170,7 @@ def write_shards(sequences: DataFrame, total: int, path: str, shard_rows: int =
 
     shards = max(1, -(-total // shard_rows))
     dealt = sequences.select("shard", "slot", "record", "doc_id", "chunk", "n_tokens", "number").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
-    dealt.mapInArrow(pack, schema).write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(pack, schema).write.option("compression", codec).parquet(path)
     return sequences.sparkSession.read.schema(schema).parquet(path)
 
 
