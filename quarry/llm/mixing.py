@@ -26,7 +26,7 @@ MAX_SOURCES = 100_000
 #: No document is taken more often, and no source's target is more times its size.
 MOST = 3
 #: Documents of a block, about.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 
 
 def words(text: Column) -> Column:
