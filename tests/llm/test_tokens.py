@@ -211,6 +211,39 @@ def test_boosted_spans_are_added_to_base_ones(spark, folder):
             assert not r.spans
 
 
+def test_spans_in_other_formats_are_added(spark):
+    rnd, rows, hidden = random.Random(5), [], {}
+    for i in range(1500):
+        number = f"{rnd.randrange(200, 999)}) 555-{rnd.randrange(1000, 9999)}"
+        name, place = f"bob{rnd.randrange(10, 99)}", f"x{1000 + i}"
+        kind = i % 6
+        what = [f"call +1 ({number}", f"mail {name}@{place}.example.com", f"serial 77{rnd.randrange(10**6):06}", f"token a{rnd.randrange(10**9):09}f", f"host 10.1.{i % 255}.7", "nothing"][kind]
+        if kind == 5 and i % 5 == 0:
+            hidden[i] = [f"({number}", f"1 ({number}", f"{name} [at] {place} [dot] example [dot] com", f"{name} at {place} dot example dot com"][i // 30 % 4]
+            what = f"{'call' if hidden[i][0] in '(1' else 'mail'} {hidden[i]}"
+        rows.append((i, f"{prose(i, 20)} {what} {prose(i + 1, 10)}", "en", "s", 1))
+    found = pii.written(pii.find(spark.createDataFrame(rows, DOCS)))
+    selected = pii.select(found, pii.train(found))
+    out = {r.doc_id: r.spans for r in selected.collect()}
+    for i, span in hidden.items():
+        at = rows[i][1].index(span)
+        assert out[i] == f"{'phone' if span[0] in '(1' else 'email'}:{at}:{at + len(span)}"
+    assert all(bool(spans) == (i in hidden or i % 6 in (0, 1, 4)) for i, spans in out.items())
+    assert pii.added(selected).first()[:] == (1500, 750, 24, 0, 0, 26)
+
+
+def test_no_feature_tells_a_base_span():
+    def seen(text, span, kind):
+        return pii.features(text, text.index(span), kind, text.index(span) + len(span))
+
+    plain = seen("mail bob@x.com now", "bob@x.com", pii.EMAIL)
+    for span in ("bob [at] x [dot] com", "bob(at)x.com", "bob at x dot com"):
+        assert seen(f"mail {span} now", span, pii.EMAIL) == plain
+    for span in ("(555) 123-4567", "1 (555) 123-4567", "001 (555) 123-4567"):
+        assert seen(f"call {span} now", span, pii.PHONE) == seen("call +1 (555) 123-4567 now", "+1 (555) 123-4567", pii.PHONE)
+    assert seen("card 4444.3333.2222.1111", "4444.3333.2222.1111", pii.CARD) == seen("card 4444 3333 2222 1111", "4444 3333 2222 1111", pii.CARD)
+
+
 def test_boosted_trees_on_held_out_rows():
     from quarry.llm.boosting import BoostedTrees
 
