@@ -82,6 +82,32 @@ def test_thresholds_hold_the_risk_and_reject_outliers(spark, folder):
     assert not any(k for i, k in out.items() if i % 10 == 0)
 
 
+def test_strata_with_few_hundred_labels_get_cutoffs(spark, folder):
+    langs = ["en"] * 12 + ["de"] * 2 + ["fr"] * 2 + ["tiny"] * 1
+    rows = [(i, prose(i, 60, 5000) + (" # " * 60 if i % 10 == 0 else ""), langs[i // 10 % 17] if i < 3800 else "tiny", "a", 1) for i in range(3800)]
+    labels = spark.createDataFrame([(i, int(i % 10 > 0), 0) for i in range(3800)], LABELS)
+    docs = spark.createDataFrame(rows, DOCS)
+    out = {row.doc_id: row.kept for row in r.op9_query(spark, folder(documents=docs, labels=labels)).collect()}
+    for lang in ("en", "de", "fr"):
+        good = [out[i] for i, _, own, *_ in rows if own == lang and i % 10]
+        bad = [out[i] for i, _, own, *_ in rows if own == lang and i % 10 == 0]
+        assert not any(bad) and sum(not k for k in good) <= r.RISK * len(good)
+    measured = r.written(r.measures(docs))
+    chosen = r.thresholds(measured, labels).collect()
+    assert sorted((x.stratum, x.rule) for x in chosen) == sorted((s, rule) for s in ("en", "de", "fr", "tiny") for rule in r.RULES)
+    few = labels.where("doc_id < 600")
+    assert {x.stratum for x in r.thresholds(measured, few).collect()} == {"en"}
+
+
+def test_the_first_step_that_fails_ends_the_sequence(spark):
+    # three good documents in a hundred have symbols, each more than the one before: a rule may reject none or few, all rules together under 3 %
+    rows = [(i, prose(i, 60, 5000) + " #" * (i // 4 % 50 if i % 25 == 3 else 0), "en", "a", 1) for i in range(2000)]
+    docs = r.written(r.measures(spark.createDataFrame(rows, DOCS)))
+    chosen = r.thresholds(docs, spark.createDataFrame([(i, 1, 0) for i in range(2000)], LABELS))
+    kept = [x.kept for x in r.verdicts(docs, chosen).collect()]
+    assert chosen.count() == len(r.RULES) and 0 < sum(not k for k in kept) <= r.RISK * len(kept)
+
+
 def test_rules_on_odd_rows_and_empty_tables(spark, odd, empty, folder):
     path = folder(documents=odd, labels=spark.createDataFrame([(None, None, None), (1, 1, 0)], LABELS))
     out = r.op9_query(spark, path).collect()
