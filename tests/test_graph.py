@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import contain, incremental, measure, resolve, traverse
+from quarry.operators import contain, incremental, measure, resolve, search, traverse
 from quarry.plans import index
 from quarry.sources import extract, scip, star, tree
 
@@ -83,6 +83,27 @@ def test_no_definition_but_the_module_of_a_file_is_its_own_parent(spark):
     assert {r.qualified_name for r in index.qualified_names(g).collect()} >= {"Box", "Box.put", "Box.take", "helper"}
 
 
+def test_symbols_are_found_by_phrase_and_qualified_name(spark):
+    g, _ = graph_of(spark, TREE)
+    put = [r.id for r in index.find_symbol(g, "put").rows.collect()]
+    assert len(put) == 1
+    for asked, exact in (("Box.put", True), ("box.PUT", False)):
+        rows = index.find_symbol(g, asked).rows.collect()
+        assert [(r.id, r.exact) for r in rows] == [(put[0], exact)]
+    assert index.start_of(g, "Box.put")[0].first().id == put[0]
+
+
+def test_symbols_are_ranked_before_the_cut(spark):
+    rows = [(i, "alpha beta gamma delta " + "x " * (9 - i), None) for i in range(5)] + [(9, "alpha beta", "Z"), (10, "beta alpha", None), (11, "q", "my alpha beta"), (12, "alpha", "beta")]
+    rows += [(100 + i, f"other{i}", None) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "id long, name string, qualified_name string")
+    asked = spark.createDataFrame([("alpha beta",), ("Alpha Beta",), ("nothing",), ("",)], "name string")
+    out = {}
+    for r in search.search_symbols(nodes, asked, 3).orderBy("name", "rank").collect():
+        out.setdefault(r.name, []).append((r.node_id, r.exact))
+    assert out == {"alpha beta": [(9, True), (11, False), (4, False)], "Alpha Beta": [(9, False), (11, False), (4, False)]}
+
+
 def test_update_reads_changed_files_only_and_keeps_other_ids(spark):
     g, old = graph_of(spark, CYCLE)
     _, new = graph_of(spark, {"a.py": CYCLE["a.py"], "b.py": "def beta2():\n    pass\n", "d.py": "def delta():\n    pass\n"})
