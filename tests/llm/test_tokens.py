@@ -232,6 +232,13 @@ def test_spans_in_other_formats_are_added(spark):
     assert pii.added(selected).first()[:] == (1500, 750, 24, 0, 0, 26)
 
 
+def test_an_address_is_proposed_in_any_text_and_case():
+    for span in ("bob at example.com", "bob AT x DOT com", "bob [AT] x [Dot] com", "bob at x.com"):
+        for text in (span, f"{span} . a dot"):
+            assert (0, pii.EMAIL, len(span)) in pii.candidates(text)
+    assert pii.masked("bob [AT] x [Dot] com", pii.EMAIL) == "bob@x.com"
+
+
 def test_no_feature_tells_a_base_span():
     def seen(text, span, kind):
         return pii.features(text, text.index(span), kind, text.index(span) + len(span))
