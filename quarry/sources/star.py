@@ -7,13 +7,14 @@ span what follows them, member calls with every kind of receiver, and imports in
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import modules as M
-from quarry.sources.tables import Tables
+from quarry.sources.tables import Tables, stamp
 
 FACTS = """
 files AS (
@@ -100,12 +101,13 @@ def module_nodes(files: DataFrame) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The stored fact tables of a source, made when first asked for: every question reads them, as an index is read."""
-    tables = Tables.of(spark, sf_dir)
+    names = ("customer", "nation", "orders", "lineitem")
+    tables = Tables.of(spark, sf_dir, stamp(spark, *[f"{sf_dir}/{n}.parquet" for n in names]))
 
     def read(what: str) -> DataFrame:
-        for name in ("customer", "nation", "orders", "lineitem"):
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        return spark.sql(f"WITH {FACTS} {what}")
+        # tables are handed over as arguments, so that views of the user's stay as they are
+        text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(names)})\b", r"\1 {\2}", f"WITH {FACTS} {what}")
+        return spark.sql(text, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
     files = tables.table("files", lambda: with_modules(read("SELECT id, project_no, lang, path FROM files")))
     nodes = tables.table("nodes", lambda: read("SELECT id, file_id, kind, name, start_byte, end_byte, body_end FROM defs").unionByName(module_nodes(files)))
