@@ -1,13 +1,17 @@
 """Quality classifier by importance resampling.
 
 Two hashed n-gram bags are counted over whole texts: one over every document (the raw text), one over the documents that the
-labels call good (the target). A document's log importance weight is the mean log ratio of the two over its own n-grams,
-times a sharpness; perturbed by Gumbel noise, the k largest keys are a sample without replacement by importance. Half of the
-labelled documents count for the target; the other half, which the counts have not seen, decide k.
+labels call good and not toxic (the target). A document's log importance weight is the log ratio of the two generative models, that
+is the sum over its n-grams of log p_target - log p_raw. Perturbed by Gumbel noise, the k largest keys are a sample without
+replacement by importance.
 
-Defined cases: a null text counts as empty; a text without a token has log weight 0, the weight of a document about which
-nothing is known; a null doc_id is a document like any other; rows that repeat both doc_id and text get the same key, and
-rows that tie with the k-th key all stay; extra columns pass through; with no usable label every document stays.
+k is a budget that no key has a part in: labelled rows that are good count as they are, and of all other rows so large a part as the
+upper bound (Clopper-Pearson, CONFIDENCE) of good ones among labelled documents. A toxic document of good quality is a good one here
+(the labels keep the two apart), but is no model for the target.
+
+Defined cases: a null text counts as empty; a text without a token has log weight 0; a null doc_id is a document like any other;
+rows that repeat both doc_id and text get the same key, and rows that tie with the k-th key all stay; the lowest quality counts where
+a document has several labels; extra columns pass through; with no good labelled document at hand every document stays.
 """
 
 from __future__ import annotations
@@ -19,20 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import Written, read_table, segments, uniform, written
+from quarry.llm.common import ROW, packed, read_table, segments, uniform, unpacked, written
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS = 10_000
-#: Labelled rows that fit the target model and the cut: at most so many, the first in the order of a hash of doc_id.
+#: Labelled documents that fit the target model: at most so many, the first in the order of a hash of doc_id.
 MAX_LABELS = 20_000
-#: Log weight for each unit of mean log ratio. Large against the Gumbel noise, so that noise decides between close documents only.
-SHARPNESS = 60.0
-#: A good document lost costs as much as so many bad ones kept.
-FALSE_REJECTION_COST = 25.0
+#: Of the bound on the share of good documents.
+CONFIDENCE = 0.975
 _MIX, _PAIR, _REPEAT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -62,22 +64,23 @@ def grams(text: str | None, ids: _Ids) -> Iterator[np.ndarray]:
         yield ((both >> np.uint64(33)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def labelled(labels: DataFrame, limit: int = MAX_LABELS) -> list[tuple[int, bool, bool]]:
-    """doc_id, whether its quality is good and whether it is toxic; the lowest quality counts where several differ."""
-    rows = (
+def judged(labels: DataFrame) -> DataFrame:
+    """(label_id, good, toxic), one row for each labelled document."""
+    return (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(limit)
-        .collect()
+        .groupBy(F.col("doc_id").cast("long").alias("label_id"))
+        .agg((F.min("quality") > 0).alias("good"), (F.max(F.coalesce("toxic", F.lit(0))) > 0).alias("toxic"))
     )
-    return [(r.doc_id, r.quality > 0, r.toxic > 0) for r in rows]
 
 
-def fit(docs: DataFrame, target_ids: set[int]) -> np.ndarray:
+def target_ids(labels: DataFrame, limit: int = MAX_LABELS) -> set[int]:
+    rows = judged(labels).where("good AND NOT toxic").orderBy(F.xxhash64("label_id"), "label_id").limit(limit).collect()
+    return {r.label_id for r in rows}
+
+
+def fit(docs: DataFrame, wanted: set[int]) -> np.ndarray:
     """Log ratio of target to raw for each bucket. Counts come from all documents; each task sends one number pair for each bucket it met."""
-    held = docs.sparkSession.sparkContext.broadcast(frozenset(target_ids))
+    held = docs.sparkSession.sparkContext.broadcast(frozenset(wanted))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, raw, target = _Ids(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -109,33 +112,23 @@ def fit(docs: DataFrame, target_ids: set[int]) -> np.ndarray:
     return np.log(q) - np.log(p)
 
 
-def score(docs: DataFrame, ratio: np.ndarray, sharpness: float = SHARPNESS) -> DataFrame:
-    """docs with log_weight, found in one pass over whole texts."""
-    held = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float64))
-    at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType())])
+def weights(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """rows, whose texts are in their first column or in the row packed there, with log_weight as a last column; one pass over whole texts."""
+    held = rows.sparkSession.sparkContext.broadcast(ratio.astype(np.float64))
+    schema = T.StructType([*rows.schema.fields, T.StructField("log_weight", T.DoubleType())])
+    inside = rows.columns[0] == ROW
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids()
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for i, text in enumerate(batch.column(at)):
-                total = n = 0
-                for found in grams(text.as_py(), ids):
-                    total += float(held.value[found].sum())
-                    n += len(found)
-                out[i] = sharpness * total / n if n else 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "log_weight"])
-
-    return docs.mapInArrow(weigh, schema)
+            texts = batch.column(0).field("text") if inside else batch.column(0)
+            out = [sum((float(held.value[found].sum()) for found in grams(text.as_py(), ids)), 0.0) for text in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], schema.names)
 
+    return rows.mapInArrow(weigh, schema)
 
-def counted(doc_id: int) -> bool:
-    """Whether a labelled document counts for the target; if not, it is held out."""
-    return zlib.crc32(str(doc_id).encode()) % 2 == 0
 
-
-def gumbel(*columns: str, seed: int = 0):
+def gumbel(*columns: Column | str, seed: int = 0) -> Column:
     return -F.log(-F.log(uniform(*columns, seed=seed)))
 
 
@@ -163,49 +156,56 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096, few: int =
             return values[left - 1]
 
 
-def choose_cut(keys: list[tuple[float, bool]], cost: float = FALSE_REJECTION_COST) -> float:
-    """The cut between keys that makes labelled errors cheapest; midway in the gap that it falls in."""
-    keys = sorted(keys)
-    good = sum(ok for _, ok in keys)
-    if not good or good == len(keys):
-        return -math.inf
-    bad_kept = len(keys) - good
-    best, cut, lost = bad_kept, -math.inf, 0
-    for i, (key, ok) in enumerate(keys):
-        lost += ok
-        bad_kept -= not ok
-        if cost * lost + bad_kept < best:
-            best = cost * lost + bad_kept
-            cut = (key + keys[i + 1][0]) / 2 if i + 1 < len(keys) else key + 1
-    return cut
+def upper_bound(good: int, n: int, confidence: float = CONFIDENCE) -> float:
+    """The largest share of good ones that n labels with so many good ones do not rule out (Clopper-Pearson), by bisection."""
+    if good >= n:
+        return 1.0
+
+    def at_most(p: float) -> float:
+        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, good - 20_000), good + 1)]
+        top = max(logs)
+        return math.exp(top) * sum(math.exp(x - top) for x in logs)
+
+    lo, hi = good / n, 1.0
+    for _ in range(50):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if at_most(min(max(mid, 1e-12), 1 - 1e-12)) > 1 - confidence else (lo, mid)
+    return hi
 
 
-def resample(scored: DataFrame, labels: list[tuple[int, bool, bool]], k: int | None = None) -> tuple[DataFrame, float]:
-    """scored with kept: whether its gumbel_key is among the k largest. Without k, it is the number of documents above the cut that the labelled ones support."""
-    if k is None:
-        good = scored.sparkSession.createDataFrame([(i, q) for i, q, _ in labels if not counted(i)], "label_id long, good boolean")
-        rows = scored.select("doc_id", "gumbel_key").join(F.broadcast(good), F.col("doc_id") == F.col("label_id")).limit(4 * MAX_LABELS).select("gumbel_key", "good").collect()
-        cut = choose_cut([(r.gumbel_key, r.good) for r in rows])
-        k = scored.where(F.col("gumbel_key") >= cut).count() if math.isfinite(cut) else None
-    at = kth_largest(scored, "gumbel_key", k) if k else (-math.inf if k is None else math.inf)
-    return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(at)), at
+def budget(docs: DataFrame, labels: DataFrame) -> int | None:
+    """How many rows of docs (a column doc_id is enough) to keep; None, all, where no good labelled document is among them."""
+    met = docs.select(F.col("doc_id").cast("long").alias("label_id")).groupBy("label_id").agg(F.count(F.lit(1)).alias("rows")).join(judged(labels), "label_id", "left")
+    n = met.agg(
+        F.sum("rows").alias("rows"), F.sum(F.when(F.col("good").isNotNull(), F.col("rows"))).alias("judged"), F.sum(F.when(F.col("good"), F.col("rows"))).alias("good_rows"), F.count("good").alias("documents"), F.count_if("good").alias("good")
+    ).first()
+    if not n.good:
+        return None
+    return n.good_rows + math.ceil((n.rows - n.judged) * upper_bound(n.good, n.documents))
 
 
-def with_keys(docs: DataFrame, labels: list[tuple[int, bool, bool]]) -> DataFrame:
-    ratio = fit(docs, {i for i, good, toxic in labels if good and not toxic and counted(i)})
-    return score(docs, ratio).withColumn("gumbel_key", F.col("log_weight") + gumbel("doc_id", "text"))
+def sampled(keys: DataFrame, k: int | None) -> tuple[DataFrame, float]:
+    """keys with kept: whether its gumbel_key is among the k largest (None: all are); and the k-th largest."""
+    at = -math.inf if k is None else kth_largest(keys, "gumbel_key", k) if k else math.inf
+    return keys.withColumn("kept", F.col("gumbel_key") >= F.lit(at)), at
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = labelled(read_table(spark, sf_dir, "labels"))
-    keys = written(with_keys(docs, labels).select("doc_id", "log_weight", "gumbel_key"))
-    return resample(keys, labels)[0]
+    labels = read_table(spark, sf_dir, "labels")
+    rated = weights(docs.select("text", "doc_id", gumbel("doc_id", "text").alias("noise")), fit(docs, target_ids(labels)))
+    keys = written(rated.select("doc_id", "log_weight", (F.col("log_weight") + F.col("noise")).alias("gumbel_key")))
+    return sampled(keys, budget(docs, labels))[0]
+
+
+def select(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are sampled. They are written once with their keys, and read again by the k-th largest key."""
+    ratio = fit(docs.select("doc_id", "text"), target_ids(labels))
+    rated = weights(packed(docs, gumbel("doc_id", "text").alias("noise")), ratio)
+    table = written(rated.select(ROW, (F.col("log_weight") + F.col("noise")).alias("gumbel_key")))
+    return unpacked(sampled(table, budget(docs, labels))[0].where("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps."""
-    labels = labelled(read_table(spark, sf_dir, "labels"))
-    own = docs.select(*docs.columns)
-    scored = Written(with_keys(own, labels).drop("log_weight"))
-    return resample(scored.df, labels)[0].where("kept").select(*docs.columns)
+    return select(docs, read_table(spark, sf_dir, "labels"))
