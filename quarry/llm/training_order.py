@@ -1,12 +1,14 @@
 """Training-order materialisation.
 
-Documents become sequences of a fixed number of token ids. Sequences are numbered 0, 1, 2, ... through the token table; a keyed
-Feistel permutation of those numbers gives each its slot in the training order, without a sort and without a table of the order.
-A power of four at least as large as their number is permuted, and a slot beyond the last is permuted again until it falls within
-(cycle-walking). Shards are ranges of slots; each is written by one task in slot order as records of one size, so slot s lies in
-shard s // shard_rows at byte (s % shard_rows) * stride, and a reader that stopped resumes there.
+Documents become sequences of a fixed number of token ids. Sequences are numbered 0, 1, 2, ... in the order of a hash of document and
+text; a keyed Feistel permutation of those numbers gives each its slot in the training order, without a sort of sequences and without
+a table of the order. A power of four at least as large as their number is permuted, and a slot beyond the last is permuted again until
+it falls within (cycle-walking). Shards are ranges of slots; each is written by one task in slot order as records of one size, so slot s
+lies in shard s // shard_rows at byte (s % shard_rows) * stride, and a reader that stopped resumes there.
 
-The token table is written before it is numbered: a number depends on the order of that table, which never changes afterwards.
+Numbers depend on doc_id and text alone, not on files, partitions or cores. They are found on a narrow table of counts, whose ranges
+are summed side by side; rows that repeat are counted by the part of the token table that holds them, and as they make equal sequences
+it is the same which of them takes which of their numbers.
 
 Defined cases: a null or empty text has the end token alone; the last sequence of a document is filled up with the end token, and
 n_tokens says how many are its own; rows that repeat get slots each for itself; a null doc_id is kept; extra columns are ignored;
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe
-from quarry.llm.common import read_table, shared_dir, written
+from quarry.llm.common import Written, read_table, save, shared_dir, written
 
 LENGTH = 256
 SHARD_ROWS = 4096
@@ -84,59 +86,76 @@ def encoding(data: dict):
 
 
 def tokenised(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """(part, before, doc_id, n_tokens, ids): ids are 2 bytes each (4 where the vocabulary asks for it), filled up to whole sequences; before counts the sequences of the part that come first. The end token is the first id that is free."""
+    """(part, again, doc_id, h, n_tokens, ids): ids are 2 bytes each (4 where the vocabulary asks for it), filled up to whole sequences; h is the text's hash; again counts earlier rows of the part that equal this one. The end token is the first id that is free."""
     data = ranks(path or default_path())
     held = docs.sparkSession.sparkContext.broadcast(data)
     end = max(data["ranks"].values()) + 1
     kind = "<u2" if end < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, before = encoding(held.value).encode_ordinary, 0
+        encode, seen = encoding(held.value).encode_ordinary, {}
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                n_tokens, ids, befores = [], [], []
-                for text in part.column(2):
+                n_tokens, ids, again = [], [], []
+                for key in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    again.append(seen.get(key, 0))
+                    seen[key] = again[-1] + 1
+                for text in part.column(3):
                     own = [i for segment in bpe.cut(text.as_py() or "") for i in encode(segment)]
                     own.append(end)
                     n_tokens.append(len(own))
-                    befores.append(before)
-                    whole = -(-len(own) // length)
-                    before += whole
-                    ids.append(np.array(own + [end] * (whole * length - len(own)), kind).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(befores, pa.int64()), part.column(1), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary())], ["part", "before", "doc_id", "n_tokens", "ids"])
+                    ids.append(np.array(own + [end] * (-len(own) % length), kind).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(again, pa.int64()), part.column(1), part.column(2), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary())], names)
 
-    return docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "part int, before long, doc_id long, n_tokens long, ids binary")
+    names = ["part", "again", "doc_id", "h", "n_tokens", "ids"]
+    text = F.col("text").cast("string")
+    rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long"), F.xxhash64(text.isNull(), text).alias("h"), text.alias("text"))
+    return rows.mapInArrow(run, "part int, again long, doc_id long, h long, n_tokens long, ids binary")
+
+
+def starts(tokens: DataFrame, length: int = LENGTH, piece_rows: int = 100_000) -> DataFrame:
+    """(p_id, p_h, p_part, start): the number of the first sequence of each document's rows within a part of the token table."""
+    n_of = F.ceil(F.col("n_tokens") / F.lit(length)).cast("long")
+    groups = tokens.groupBy("doc_id", "h", "part").agg(F.sum(n_of).alias("n")).withColumn("o", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "h"))
+    pieces = max(1, -(-tokens.count() // piece_rows))
+    ranged = written(groups.withColumn("piece", F.floor((F.col("o").cast("double") / F.lit(2.0**64) + 0.5) * pieces).cast("int")))
+    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each piece
+    offsets = ranged.groupBy("piece").agg(F.sum("n").alias("c")).select("piece", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("from"))
+    within = Window.partitionBy("piece").orderBy("o", "doc_id", "h", "part").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = ranged.withColumn("b", F.coalesce(F.sum("n").over(within), F.lit(0))).join(offsets, "piece")
+    return numbered.select(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), F.col("part").alias("p_part"), (F.col("from") + F.col("b")).cast("long").alias("start"))
 
 
 def ordered(tokens: DataFrame, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY) -> tuple[DataFrame, int]:
     """(slot, shard, number, doc_id, chunk, n_tokens, record) for each sequence of a written token table, and their number."""
     n_of = F.ceil(F.col("n_tokens") / F.lit(length)).cast("long")
-    parts = written(tokens.groupBy("part").agg(F.sum(n_of).alias("n")))  # a row for each task that wrote
-    starts = parts.select(F.col("part").alias("p"), "n", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("start"))
-    starts = written(starts)  # of a known size, so that it is sent to the token table where it is small
-    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = int(tokens.agg(F.coalesce(F.sum(n_of), F.lit(0))).first()[0])
+    at = starts(tokens, length)
+    met = F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("h") == F.col("p_h")) & (F.col("part") == F.col("p_part"))
+    placed = written(tokens.join(at, met).select("doc_id", (F.col("start") + F.col("again") * n_of).alias("start"), "n_tokens", "ids"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            number, row, chunk, n_tokens, record = [], [], [], [], []
-            for i, (start, before, n, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)))):
-                whole = -(-n // length)
-                size = len(ids) // whole
-                for c in range(whole):
-                    number.append(start + before + c)
-                    row.append(i)
-                    chunk.append(c)
-                    n_tokens.append(min(length, n - c * length))
-                    record.append(ids[c * size : (c + 1) * size])
-            slot = permuted(np.array(number, np.int64), total, key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(slot // shard_rows), pa.array(number, pa.int64()), batch.column(0).take(pa.array(row, pa.int64())), pa.array(chunk, pa.int32()), pa.array(n_tokens, pa.int32()), pa.array(record, pa.binary())],
-                ["slot", "shard", "number", "doc_id", "chunk", "n_tokens", "record"],
-            )
-
-    placed = tokens.join(starts, F.col("part") == F.col("p")).select("doc_id", "start", "before", "n_tokens", "ids")
-    return placed.mapInArrow(deal, "slot long, shard long, number long, doc_id long, chunk int, n_tokens int, record binary"), int(total)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 500):
+                batch = whole.slice(begin, 500)
+                number, row, chunk, n_tokens, record = [], [], [], [], []
+                for i, (start, n, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 4)))):
+                    many = -(-n // length)
+                    size = len(ids) // many
+                    for c in range(many):
+                        number.append(start + c)
+                        row.append(i)
+                        chunk.append(c)
+                        n_tokens.append(min(length, n - c * length))
+                        record.append(ids[c * size : (c + 1) * size])
+                slot = permuted(np.array(number, np.int64), total, key)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slot), pa.array(slot // shard_rows), pa.array(number, pa.int64()), batch.column(0).take(pa.array(row, pa.int64())), pa.array(chunk, pa.int32()), pa.array(n_tokens, pa.int32()), pa.array(record, pa.binary())],
+                    ["slot", "shard", "number", "doc_id", "chunk", "n_tokens", "record"],
+                )
+
+    return placed.mapInArrow(deal, "slot long, shard long, number long, doc_id long, chunk int, n_tokens int, record binary"), total
 
 
 def write_shards(sequences: DataFrame, total: int, path: str, shard_rows: int = SHARD_ROWS, codec: str = "zstd") -> DataFrame:
@@ -170,7 +189,7 @@ def write_shards(sequences: DataFrame, total: int, path: str, shard_rows: int =
 
     shards = max(1, -(-total // shard_rows))
     dealt = sequences.select("shard", "slot", "record", "doc_id", "chunk", "n_tokens", "number").repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot")
-    dealt.mapInArrow(pack, schema).write.option("compression", codec).parquet(path)
+    save(dealt.mapInArrow(pack, schema), path, codec)
     return sequences.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -197,6 +216,7 @@ def stored(shards: DataFrame) -> DataFrame:
 
 def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each sequence stands: its slot, shard and byte, and a checksum of its record, as read back from the written shards."""
-    tokens = written(tokenised(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
-    sequences, total = ordered(tokens)
+    tokens = Written(tokenised(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    sequences, total = ordered(tokens.df)
+    tokens.drop()  # placed sequences are a table of their own
     return stored(write_shards(sequences, total, f"{shared_dir(spark)}/quarry/shards-{uuid.uuid4().hex}"))
