@@ -12,7 +12,8 @@ before it is joined, so a group of g lines makes g rows and never g * g; what ma
 
 Defined cases: a null text has no line; lines of white space alone are never dropped; lines are what ``\\n`` separates; rows that
 repeat both doc_id and text are one document and keep the same lines; a document whose every non-blank line is dropped is empty
-after it, and ``dedup`` lets it go; documents that had none stay; extra columns pass through.
+after it, and ``dedup`` lets it go; documents that had none stay; extra columns pass through, whatever they are called; n_chars, where
+there is such a column, is the new length of a text that lost lines and stays as it was elsewhere; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import read_table, written
+from quarry.llm.common import ROW, packed, read_table, unpacked, written
+from quarry.sources.tables import Scratch
 
 MIN_NEAR = 20
 #: Code points of a window, at most, for lines of two windows and more.
@@ -156,33 +158,36 @@ def near(parts: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, dropped): for each document that loses lines, their numbers in order; h is the text's hash."""
-    occ = written(occurrences(docs))
-    lines = occ.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("c"), F.min("n").alias("n"), F.min("same").alias("same"), F.min("longer").alias("longer"))
-    lines = written(lines.withColumn("lid", F.monotonically_increasing_id()))
-    parts = written(window_texts(docs, suspects(lines)))
-    close = near(parts).select("h1", "h2", F.lit(True).alias("near"))
-    marked = lines.select("h1", "h2", F.col("at").alias("first"), "c").join(close, ["h1", "h2"], "left").where("c > 1 OR near")
-    return (
-        occ.select("at", "h1", "h2")
-        .join(marked, ["h1", "h2"])
-        .where("near OR first < at")
-        .groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.h").alias("h"))
-        .agg(F.array_sort(F.collect_set("at.line_no")).alias("dropped"))
-    )
+    with Scratch() as scratch:
+        occ = scratch.keep(occurrences(docs))
+        lines = occ.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("c"), F.min("n").alias("n"), F.min("same").alias("same"), F.min("longer").alias("longer"))
+        lines = scratch.keep(lines.withColumn("lid", F.monotonically_increasing_id()))
+        parts = scratch.keep(window_texts(docs, suspects(lines)))
+        close = near(parts).select("h1", "h2", F.lit(True).alias("near"))
+        # a table of its own, so that the next join deals both sides alike and the rows of a very common line can be split
+        marked = scratch.keep(lines.select("h1", "h2", F.col("at").alias("first"), "c").join(close, ["h1", "h2"], "left").where("c > 1 OR near"))
+        return written(
+            occ.select("at", "h1", "h2")
+            .join(marked, ["h1", "h2"])
+            .where("near OR first < at")
+            .groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.h").alias("h"))
+            .agg(F.array_sort(F.collect_set("at.line_no")).alias("dropped"))
+        )
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the dropped lines taken out of text; a document that loses every non-blank line goes."""
-    gone = dropped_lines(docs).select(F.col("doc_id").alias("_gone_id"), F.col("h").alias("_gone_h"), F.col("dropped").alias("_gone"))
-    own = docs.withColumns({"_key_id": F.col("doc_id").cast("long"), "_key_h": F.xxhash64(F.col("text").cast("string"))})
-    joined = own.join(gone, F.col("_key_id").eqNullSafe(F.col("_gone_id")) & (F.col("_key_h") == F.col("_gone_h")), "left")
-    kept = F.filter(lines_of(F.col("text")), lambda _, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return (
-        joined.withColumn("_new", text)
-        .where(F.col("_gone").isNull() | ~blank(F.col("_new")))
-        .select(*[F.col("_new").alias("text") if c == "text" else F.length("_new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
-    )
+    gone = dropped_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h"), "dropped")
+    own = packed(docs, F.col("doc_id").cast("long").alias("d_id"), F.xxhash64(F.col("text").cast("string")).alias("d_h"))
+    joined = own.join(gone, F.col("d_id").eqNullSafe(F.col("g_id")) & (F.col("d_h") == F.col("g_h")), "left")
+    old = F.col(ROW)["text"]
+    kept = F.array_join(F.filter(lines_of(old), lambda _, i: ~F.array_contains("dropped", i)), "\n")
+    left = joined.withColumn("left", F.when(F.col("dropped").isNull(), old).otherwise(kept)).where(F.col("dropped").isNull() | ~blank(F.col("left")))
+    new = [F.col("left").alias("text")]
+    if "n_chars" in docs.columns:
+        was = F.col(ROW)["n_chars"]
+        new.append(F.when(F.col("dropped").isNull(), was).otherwise(F.length("left")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+    return unpacked(left, *new)
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
