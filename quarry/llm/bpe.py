@@ -9,7 +9,7 @@ executors once (about 2 MB, whatever the input).
 
 Defined cases: a null text counts as empty and has no token; a very long text is encoded in segments cut where no piece can
 cross; special tokens in a text are found first, as the library does; rows that repeat are encoded each for itself; extra columns
-pass through.
+pass through, but for those that bear the name of a column that is added, whose place the added one takes.
 """
 
 from __future__ import annotations
@@ -189,6 +189,7 @@ def default_path() -> str:
 
 def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """docs without text, with n_tokens, ids (if asked for), ids_sha256 and decoded_sha256."""
+    docs = docs.drop("n_tokens", "ids", "ids_sha256", "decoded_sha256")
     held = docs.sparkSession.sparkContext.broadcast(vocabulary(path or default_path()))
     at = docs.columns.index("text")
     kept = [i for i in range(len(docs.columns)) if i != at]
@@ -226,6 +227,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> D
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded with text, from its column ids (null: null text)."""
+    encoded = encoded.drop("text")
     held = encoded.sparkSession.sparkContext.broadcast(vocabulary(path or default_path()))
     at = encoded.columns.index("ids")
     schema = T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())])
@@ -244,5 +246,5 @@ def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source and the ids of each document, with their digests."""
+    """doc_id, lang, source and the ids of each document, with their digests; a null or empty text has no id, rows that repeat are encoded each for itself, other columns end here."""
     return encode(docs.select("doc_id", "lang", "source", "text"))
