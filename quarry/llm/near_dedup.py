@@ -6,14 +6,18 @@ only similar content. Texts that share a sketch are candidates; a banded alignme
 aligned in order, texts of a and b shingles are linked if m / (a + b - m) is at least 0.8.
 
 Equal texts (by words, letter case aside) are one node throughout. In a bucket of equal sketches every node is compared with the
-smallest one; where that leaves several components in a bucket, its remaining pairs across components are compared block by
-block. So a group of g copies costs about g comparisons, and no pair that shares a sketch is left undecided.
+smallest one. Where that leaves several components in a bucket, its nodes are dealt into narrower buckets: of each node's shingles,
+rarest first, as many as a text of similarity 0.8 cannot all lack (prefix filter). Those buckets are treated alike, and only pairs
+across components that are still open then are compared, block by block. So a group of g copies costs about g comparisons, a
+passage that many texts share does not make pairs, and no pair that shares a sketch is left undecided.
 
 With similarity 0.8, one sketch of SHINGLES shingles is shared with probability about 0.8 ** SHINGLES; SKETCHES of them miss a
-link with probability about 3e-6.
+link with probability about 3e-6. Texts of few shingles have sketches of SHORT_SHINGLES as well or instead, so that a short text and
+the same with one more word (4 and 5 shingles) are missed with probability 3e-10, and the worst length (12 and 15) with 2e-5.
 
 Defined cases: a null or wordless text is linked to nothing; texts of fewer than five words are one shingle, so only equal ones
-are linked; a null doc_id ranks last; rows that repeat are copies; extra columns pass through ``dedup``.
+are linked, as with all texts of at most three shingles; a null doc_id ranks last; rows that repeat are copies; a type other than
+text is read as its string; extra columns pass through ``dedup``; an empty table has no class.
 """
 
 from __future__ import annotations
@@ -29,11 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, read_table, segments, written
+from quarry.llm.common import ROW, WORD, Written, packed, read_table, segments, unpacked, written
+from quarry.sources.tables import Scratch
 
 WORDS = 5
 SHINGLES = 4
 SKETCHES = 24
+#: Texts of fewer than SHORT labelled shingles have sketches of SHORT_SHINGLES; those of at least LONG have sketches of SHINGLES; some have both.
+SHORT_SHINGLES, SHORT, LONG = 2, 16, 12
 #: Nodes of a block when a bucket's remaining pairs are compared.
 BLOCK = 256
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -81,14 +88,20 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 
 def sketches(own: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each sketch."""
-    take = min(SHINGLES, len(own))
+    """64-bit keys, one for each sketch; none for texts so short that only equal ones are similar."""
+    if len(own) < 4:
+        return np.zeros(0, np.int64)
+    takes = [t for t, wanted in ((SHORT_SHINGLES, len(own) < SHORT), (SHINGLES, len(own) >= LONG)) if wanted]
+    return np.concatenate([_sketches(own, take) for take in takes])
+
+
+def _sketches(own: np.ndarray, take: int) -> np.ndarray:
     if len(own) <= 20_000:
         at = np.argpartition(mixed(own[None, :] ^ _SEEDS), take - 1, axis=1)[:, :take]
     else:  # a row at a time, to hold less
         at = np.stack([np.argpartition(mixed(own ^ seed), take - 1)[:take] for seed in _SEEDS[:, 0]])
     at.sort(axis=1)
-    key = _SEEDS[:, 0].copy()
+    key = _SEEDS[:, 0] + np.uint64(take)
     for i in range(take):
         key = mixed(key + own[at[:, i]] * _A)
     return key.view(np.int64)
@@ -180,21 +193,25 @@ def verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node with an edge: label is the smallest node it is connected with. Rounds of large and small stars, each written; their number grows as the logarithm of the longest path."""
-    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    """(node, label) of every node with an edge: label is the smallest node it is connected with.
+
+    Rounds of large and small stars, each written; their number grows as the logarithm of the longest path.
+    """
+    now = Written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
     while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        mark = now.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        before = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            return now.df.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.df.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        before, last = mark, now
+        both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
         joined = large.join(least, F.col("u") == F.col("c"))
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v")))
-        now = written(small.distinct())
+        now = Written(small.distinct())
+        last.drop()
 
 
 def remaining(members: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -226,26 +243,61 @@ def remaining(members: DataFrame, seqs: DataFrame) -> DataFrame:
     return dealt.groupBy("key", "x", "y").applyInPandas(compare, "u binary, v binary")
 
 
+def prefixes(seqs: DataFrame) -> DataFrame:
+    """(key, node): of each node's shingles, rarest first, so many that a similar text has at least one of them among its own."""
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [unique(x.as_py()).astype(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "items"])
+
+    each = written(seqs.select("node", "seq").mapInArrow(items, "node binary, items array<long>").select("node", F.explode("items").alias("item")))
+    # counts are a table of their own, so that the join's two sides are dealt alike and a very common shingle's rows can be split
+    counts = written(each.groupBy("item").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    ranked = each.join(counts, "item", "left").groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "item"))).alias("i"))
+    wanted = F.size("i") - F.ceil(F.size("i") * F.lit(0.8)).cast("int") + 1
+    return ranked.select("node", F.explode(F.slice("i", F.lit(1), wanted)).alias("x")).where("x.c > 1").select(F.col("x.item").alias("key"), "node")
+
+
+def gathered(buckets: DataFrame) -> DataFrame:
+    """(key, node, lead, c) of the buckets (key, node) that hold several nodes: lead is the smallest of them, c their number."""
+    shared = written(buckets.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1"))  # a table of its own, so that a hot key's rows can be split
+    return buckets.join(shared, "key")
+
+
+def starred(members: DataFrame, seqs: DataFrame) -> DataFrame:
+    """The similar pairs among those of each node with its bucket's lead."""
+    return verified(members.where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct(), seqs)
+
+
+def undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, label) of buckets that hold several components; buckets of two are decided by their star."""
+    held = members.where("c > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    several = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return held.join(several, "key", "left_semi")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, h, node, kept_id, kept_h, size) for each row of docs: which document of its class stays, and the class's number of rows."""
     rows = written(sketched(docs))
     nodes = written(
         rows.where("node IS NOT NULL").groupBy("node").agg(F.min("keys").alias("keys"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("at"), F.count(F.lit(1)).alias("n"))
     )
-    buckets = nodes.select("node", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = written(buckets.join(shared, "key"))
-    places = nodes.select("node", "at").join(members.select("node").distinct(), "node", "left_semi")
-    seqs = written(sequences(docs, places))
-    tested = members.where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
-    edges = written(verified(tested, seqs))
-    labels = written(components(edges))
-    # buckets of two are decided; larger ones that still hold several components are compared in full
-    open_ = members.where("c > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed_ = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    more = written(remaining(open_.join(mixed_, "key", "left_semi"), seqs))
-    if not more.isEmpty():
-        labels = written(components(edges.unionByName(more)))
+    with Scratch() as scratch:
+        members = scratch.keep(gathered(nodes.select("node", F.explode("keys").alias("key"))))
+        places = nodes.select("node", "at").join(members.select("node").distinct(), "node", "left_semi")
+        seqs = scratch.keep(sequences(docs, places))
+        edges = scratch.keep(starred(members, seqs))
+        labels = components(edges)
+        left = scratch.keep(undecided(members, labels).select("node").distinct())
+        if not left.isEmpty():
+            held = scratch.keep(seqs.join(left, "node", "left_semi"))
+            narrow = scratch.keep(gathered(prefixes(held)))
+            edges = scratch.keep(edges.unionByName(starred(narrow, held)))
+            labels = components(edges)
+            more = scratch.keep(remaining(undecided(narrow, labels), held))
+            if not more.isEmpty():
+                labels = components(edges.unionByName(more))
     grouped = nodes.select("node", "at", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     kept = grouped.groupBy("label").agg(F.min("at").alias("kept"), F.sum("n").alias("size"))
     by_node = grouped.select("node", "label").join(kept, "label").select("node", "kept", "size")
@@ -262,14 +314,16 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: the smallest doc_id (null last), then the smallest text hash."""
-    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")))
-    # rows without words are kept as often as they come; of others that repeat wholly, one
-    keys = kept.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.max(F.col("node").isNotNull()).alias("_one"))
-    own = docs.withColumn("_own", F.xxhash64(F.col("text").cast("string")))
-    joined = own.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h")))
-    row = F.row_number().over(Window.partitionBy("_own", F.col("doc_id").cast("long")).orderBy("_own"))
-    return joined.withColumn("_row", row).where("NOT _one OR _row = 1").select(*docs.columns)
+    """docs with one row of each class: the smallest doc_id (null last), then the smallest text hash. Rows without words stay as often as they come."""
+    found = classes(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")))
+    keys = written(found.groupBy("doc_id", "h").agg(F.max(F.col("node").isNotNull()).alias("one"), F.count(F.lit(1)).alias("rows")))
+    own = packed(docs, F.col("doc_id").cast("long").alias("d_id"), F.xxhash64(F.col("text").cast("string")).alias("d_h"))
+    met = F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_h") == F.col("h"))
+    out = own.join(keys.where("rows = 1 OR NOT one"), met).select(ROW)
+    several = keys.where("rows > 1 AND one")
+    if not several.isEmpty():  # rows that repeat doc_id and text: reduced to one in every task before they travel
+        out = out.unionByName(own.join(several, met).groupBy("d_id", "d_h").agg(F.first(ROW).alias(ROW)).select(ROW))
+    return unpacked(out)
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
