@@ -3,19 +3,23 @@
 Each half of a vector has its own codebook; a pair of centroids is a cell. A query walks the cells by the sum of its nearness to
 both centroids, with a heap, until the cells hold a share of all vectors; those are ranked again by the original vectors. The
 codebooks, and the share that a query must visit to find RECALL of its neighbours, are fitted on a bounded sample (SAMPLE
-vectors); every vector is indexed.
+vectors); every vector is indexed. Codebooks grow with the table, as the root of the number of vectors, so that cells stay small and
+the share falls, up to MAX_CENTROIDS, which is what the sample can fit. How far it falls is the vectors' affair: README has figures.
 
-Equal vectors are one entry with its ids, so a vector that a third of the rows hold is compared once. Cells are packed into bins
-of about BIN vectors (a larger cell is split), and a bin meets the queries that visit it in groups of bounded size.
+Equal vectors are one entry with its ids, so a vector that a third of the rows hold is compared once. Neighbouring cells are packed
+into bins of about BIN vectors (a larger cell is split), a bin meets the queries that visit it in groups of bounded size, and within a
+bin a query is multiplied with the runs of cells that it visits, not with the others.
 
 Defined cases: vectors that are null, all zero, of another length than most of the sample, or that hold a null or non-finite
-component take no part, nor do rows without an id; rows that repeat an id and vector count once; ties go to the smaller id; fewer
-candidates than asked for are all returned; an empty table gives an empty result; extra columns are ignored.
+component take no part, nor do rows without an id; rows that repeat an id and vector count once; an id with several vectors is
+asked with each, and its list has each other id once, by its best score; ties go to the smaller id; fewer candidates than asked for
+are all returned; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +32,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import read_table, written
 
 SAMPLE = 15_000
-CENTROIDS = 128
+#: Centroids of a half, at least and at most; between them about the root of the number of vectors, as a power of two.
+MIN_CENTROIDS, MAX_CENTROIDS = 16, 1024
+#: Cells of one row that the heap hands out at once; vectors of cells that are multiplied at once, about.
+STEP, RUN = 32, 256
 #: The share of true neighbours that sampled queries must find among the sample.
 RECALL = 0.96
 BIN = 20_000
@@ -62,37 +69,64 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmax(x @ centroids.T - 0.5 * (centroids * centroids).sum(1), axis=1)
 
 
+def centroids_for(n: int) -> int:
+    return min(MAX_CENTROIDS, max(MIN_CENTROIDS, 1 << math.ceil(math.log2(max(n, 1)) / 2)))
+
+
+def along_axis(centroids: np.ndarray) -> np.ndarray:
+    """Centroids in order along their main axis, so that neighbours have near numbers."""
+    axis = np.linalg.svd(centroids - centroids.mean(0), full_matrices=False)[2][0]
+    return centroids[np.argsort(centroids @ axis, kind="stable")]
+
+
 class Index:
-    """Two codebooks; cell = first * CENTROIDS + second."""
+    """Two codebooks of up to k centroids; cell = first * k + second."""
 
-    def __init__(self, sample: np.ndarray, k: int = CENTROIDS):
-        self.half = sample.shape[1] // 2
-        self.first, self.second = codebook(sample[:, : self.half], k), codebook(sample[:, self.half :], k)
+    def __init__(self, sample: np.ndarray, k: int):
+        self.half, self.k = sample.shape[1] // 2, k
+        self.first, self.second = along_axis(codebook(sample[:, : self.half], k)), along_axis(codebook(sample[:, self.half :], k))
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        return nearest(x[:, : self.half], self.first) * CENTROIDS + nearest(x[:, self.half :], self.second)
+        return nearest(x[:, : self.half], self.first) * self.k + nearest(x[:, self.half :], self.second)
 
     def sums(self, q: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Nearness of each query to each cell: the sum of its inner products with both centroids."""
-        return (q[:, : self.half] @ self.first.T)[:, cells // CENTROIDS] + (q[:, self.half :] @ self.second.T)[:, cells % CENTROIDS]
+        return (q[:, : self.half] @ self.first.T)[:, cells // self.k] + (q[:, self.half :] @ self.second.T)[:, cells % self.k]
 
-    def walk(self, q: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:
-        """Cells with vectors, nearest first, until they hold enough. The heap has the next cell of each row of centroid pairs that has begun."""
+    def walk(self, q: np.ndarray, counts: np.ndarray, enough: int) -> tuple[np.ndarray, float]:
+        """Cells with vectors, nearest first, that hold enough, and the sum of the last one.
+
+        The heap has the next STEP cells of each row of centroid pairs that has begun, by the nearest of them; what is popped is complete
+        down to the nearest that is still on the heap.
+        """
         a, b = self.first @ q[: self.half], self.second @ q[self.half :]
-        rows, columns = np.argsort(-a, kind="stable").tolist(), np.argsort(-b, kind="stable").tolist()
-        a, b = a.tolist(), b.tolist()
-        heap, found, held = [(-a[rows[0]] - b[columns[0]], 0, 0)], [], 0
-        while heap and held < enough:
+        rows, columns = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
+        a, b = a[rows], b[columns]
+        table = counts.reshape(self.k, self.k)
+        heap, popped, held = [(-a[0] - b[0], 0, 0)], [], 0
+        while heap:
+            if held >= enough:  # enough may lie beyond what is complete: count what is
+                cells, sums = (np.concatenate(x) for x in zip(*popped))
+                sure = sums >= -heap[0][0]
+                if counts[cells[sure]].sum() >= enough:
+                    break
+                enough_popped = counts[cells[sure]].sum()
+                held = enough_popped  # go on until as much again is popped
             _, i, j = heapq.heappop(heap)
-            cell = rows[i] * CENTROIDS + columns[j]
-            if counts[cell]:
-                found.append(cell)
-                held += counts[cell]
+            cells = rows[i] * self.k + columns[j : j + STEP]
+            n = table[rows[i], columns[j : j + STEP]]
+            some = n > 0
+            popped.append((cells[some], a[i] + b[j : j + STEP][some]))
+            held += int(n.sum())
             if j == 0 and i + 1 < len(rows):
-                heapq.heappush(heap, (-a[rows[i + 1]] - b[columns[0]], i + 1, 0))
-            if j + 1 < len(columns):
-                heapq.heappush(heap, (-a[rows[i]] - b[columns[j + 1]], i, j + 1))
-        return found
+                heapq.heappush(heap, (-a[i + 1] - b[0], i + 1, 0))
+            if j + STEP < len(columns):
+                heapq.heappush(heap, (-a[i] - b[j + STEP], i, j + STEP))
+        cells, sums = (np.concatenate(x) for x in zip(*popped))
+        order = np.argsort(-sums, kind="stable")
+        upto = int(np.searchsorted(np.cumsum(counts[cells[order]]), enough)) + 1
+        order = order[:upto]
+        return cells[order], float(sums[order[-1]])
 
 
 def share(index: Index, sample: np.ndarray, recall: float = RECALL, near: int = 20, queries: int = 200) -> float:
@@ -134,9 +168,9 @@ def search(table: DataFrame, every: int = 20, near: int = 20) -> DataFrame:
         return spark.createDataFrame([], empty)
     size = Counter(len(r.v) for r in sample).most_common(1)[0][0]
     fitted = np.array([r.v for r in sample if len(r.v) == size])
-    index = Index(fitted)
-    part = share(index, fitted, near=near)
     rows = rows.where(F.size("v") == size)
+    index = Index(fitted, centroids_for(rows.count()))
+    part = share(index, fitted, near=near)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,24 +179,25 @@ def search(table: DataFrame, every: int = 20, near: int = 20) -> DataFrame:
 
     entries = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("first_id"), F.first("v").alias("v"), F.max(F.col("vec_id") % every == 0).alias("query"))
     entries = written(entries.mapInArrow(assign, "h1 long, h2 long, first_id long, v array<double>, query boolean, cell int"))
-    counts = np.zeros(CENTROIDS * CENTROIDS, np.int64)
-    for r in entries.groupBy("cell").count().collect():  # CENTROIDS ** 2 rows at most
+    counts = np.zeros(index.k * index.k, np.int64)
+    for r in entries.groupBy("cell").count().collect():  # MAX_CENTROIDS ** 2 rows at most
         counts[r.cell] = r["count"]
     first, split = bins(counts)
     enough = max(int(np.ceil(part * counts.sum())), near + 1)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = counts.tolist()
         for batch in batches:
             x = np.array(batch.column(2).flatten()).reshape(-1, size)
             take, to, least = [], [], []
             for i, q in enumerate(x):
-                cells = np.array(index.walk(q, held, enough))
-                visited = {int(b) for c in cells for b in range(first[c], first[c] + split[c])}
-                take += [i] * len(visited)
-                to += sorted(visited)
-                least += [float(index.sums(q[None, :], cells).min())] * len(visited)
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(take, pa.int64())) for c in batch.columns] + [pa.array(least, pa.float64()), pa.array(to, pa.int64())], ["q1", "q2", "q", "least", "bin"])
+                cells, last = index.walk(q, counts, enough)
+                begin = np.unique(first[cells])
+                visited = np.unique(np.concatenate([begin, *[np.arange(first[c], first[c] + split[c]) for c in cells[split[cells] > 1]]]))
+                take.append(np.full(len(visited), i))
+                to.append(visited)
+                least.append(np.full(len(visited), last))
+            take, to, least = (np.concatenate(x) if x else np.zeros(0) for x in (take, to, least))
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(take.astype(np.int64))) for c in batch.columns] + [pa.array(least.astype(float)), pa.array(to.astype(np.int64))], ["q1", "q2", "q", "least", "bin"])
 
     routed = written(entries.where("query").select("h1", "h2", "v").mapInArrow(route, "q1 long, q2 long, q array<double>, least double, bin long"))
     groups = routed.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("int").alias("parts"))
@@ -175,22 +210,46 @@ def search(table: DataFrame, every: int = 20, near: int = 20) -> DataFrame:
         names = ["q1", "q2", "h1", "h2", "first_id", "score"]
         if left.empty or right.empty:
             return pd.DataFrame({n: pd.Series(dtype="float64" if n == "score" else "int64") for n in names})
-        x, q = np.stack(right["v"].to_numpy()), np.stack(left["q"].to_numpy())
+        right = right.sort_values("cell", kind="stable")
+        x, q, cell = np.stack(right["v"].to_numpy()), np.stack(left["q"].to_numpy()), right["cell"].to_numpy()
         ids, (q1, q2, h1, h2) = right["first_id"].to_numpy(), (t[c].to_numpy() for t, c in ((left, "q1"), (left, "q2"), (right, "h1"), (right, "h2")))
-        cells, inverse = np.unique(right["cell"].to_numpy(), return_inverse=True)
-        out = {n: [] for n in names}
-        for at in range(0, len(q), 256):
-            some = q[at : at + 256]
-            score = some @ x.T
-            seen = index.sums(some, cells) >= left["least"].to_numpy()[at : at + 256, None] - 1e-9
-            score[~seen[:, inverse]] = -np.inf
-            for i, line in enumerate(score):
-                best = np.flatnonzero(line >= max(np.partition(line, -(near + 1))[-(near + 1)] if len(line) > near + 1 else -np.inf, np.finfo(float).min) - 1e-9)
-                exact = (x[best] * some[i]).sum(axis=1)  # the same sum wherever the row stands
-                best, exact = best[o := np.lexsort((ids[best], -exact))[: near + 1]], exact[o]
-                for n, values in zip(names, (np.full(len(best), q1[at + i]), np.full(len(best), q2[at + i]), h1[best], h2[best], ids[best], exact)):
-                    out[n].append(values)
-        return pd.DataFrame({n: np.concatenate(v) for n, v in out.items()})
+        cells, start = np.unique(cell, return_index=True)
+        seen = index.sums(q, cells) >= left["least"].to_numpy()[:, None] - 1e-9
+        met, scores, rows_ = [], [], []
+        for run in np.split(np.arange(len(cells)), np.flatnonzero(np.diff(start // RUN)) + 1):
+            asks = np.flatnonzero(seen[:, run].any(axis=1))
+            at = np.arange(start[run[0]], start[run[-1] + 1] if run[-1] + 1 < len(start) else len(cell))
+            if not len(asks):
+                continue
+            score = q[asks] @ x[at].T
+            score[~seen[np.ix_(asks, run)][:, np.searchsorted(cells[run], cell[at])]] = -np.inf
+            if len(at) > near + 1:
+                best = np.argpartition(-score, near, axis=1)[:, : near + 1]
+                # as many as tie with the last one, within what rounding may hide
+                bar = np.take_along_axis(score, best, 1).min(axis=1) - 1e-9
+                i, j = np.nonzero(score >= np.maximum(bar, np.finfo(float).min)[:, None])
+            else:
+                i, j = np.nonzero(score > -np.inf)
+            met.append(asks[i])
+            rows_.append(at[j])
+            scores.append(score[i, j])
+        if not met:
+            return pd.DataFrame({n: pd.Series(dtype="float64" if n == "score" else "int64") for n in names})
+        met, rows_, scores = map(np.concatenate, (met, rows_, scores))
+        order = np.lexsort((-scores, met))
+        met, rows_, scores = met[order], rows_[order], scores[order]
+        begin = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+        last = scores[np.minimum(begin + near, np.concatenate([begin[1:], [len(met)]]) - 1)] - 1e-9
+        some = scores >= np.repeat(last, np.diff(np.concatenate([begin, [len(met)]])))
+        met, rows_ = met[some], rows_[some]
+        exact = np.concatenate([(x[rows_[k : k + 4096]] * q[met[k : k + 4096]]).sum(axis=1) for k in range(0, len(met), 4096)])  # the same sum wherever the row stands
+        order = np.lexsort((ids[rows_], -exact, met))
+        met, rows_, exact = met[order], rows_[order], exact[order]
+        begin = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+        place = np.arange(len(met)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(met)]])))
+        some = place <= near
+        met, rows_, exact = met[some], rows_[some], exact[some]
+        return pd.DataFrame(dict(zip(names, (q1[met], q2[met], h1[rows_], h2[rows_], ids[rows_], exact))))
 
     found = asked.groupBy("bin", "part").cogroup(offered.groupBy("bin", "part")).applyInPandas(rank, "q1 long, q2 long, h1 long, h2 long, first_id long, score double")
 
@@ -203,7 +262,9 @@ def search(table: DataFrame, every: int = 20, near: int = 20) -> DataFrame:
     few = top(ids, near + 1, ["h1", "h2"], "vec_id").drop("rank")
     listed = top(best.join(few, ["h1", "h2"]), near + 1, ["q1", "q2"], F.desc("score"), "vec_id").drop("rank", "h1", "h2")
     asking = ids.where(F.col("vec_id") % every == 0).select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("vec_id").alias("query_id"))
-    ranked = top(asking.join(listed, ["q1", "q2"]).where("vec_id <> query_id"), near, ["query_id"], F.desc("score"), "vec_id")
+    # an id of several vectors is found or asked with each of them: its best score counts
+    met = asking.join(listed, ["q1", "q2"]).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = top(met, near, ["query_id"], F.desc("score"), "vec_id")
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
