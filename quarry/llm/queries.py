@@ -16,4 +16,6 @@ QUERIES = {
 }
 ORACLE = {
     "op3_line_neighbourhoods": line_dedup.ORACLE,
+    "op9_risk_controlled_rules": quality_rules.ORACLE,
+    "op10_jump_shards": jump_shard.ORACLE,
 }

@@ -38,3 +38,36 @@ def folder(tmp_path):
         return str(tmp_path)
 
     return put
+
+
+#: Names that operators use beside a caller's rows, or add to them.
+CLASHING = ("log_weight", "gumbel_key", "noise", "rate", "target", "copies", "total", "n", "k1", "source_size", "node", "rows", "one", "h", "d_id", "d_h", "dropped", "left", "g_id", "_row", "_new", "_words", "n_words_of", "part", "stratum", "at", "again", "label_id", "quarry", "key", "value")
+
+
+@pytest.fixture(scope="session")
+def clashing(spark):
+    """Documents with a column of each such name, all holding values of their own."""
+    rows = [(i, prose(i % 9, 60) if i % 9 else None, "en", f"s{i % 3}", 7, *[f"{c}{i}" for c in CLASHING]) for i in range(30)]
+    return spark.createDataFrame(rows, f"{DOCS}, {', '.join(f'`{c}` string' for c in CLASHING)}")
+
+
+def untouched(before, after, but=()):
+    """Every row of after has the values that before has under its doc_id."""
+    own = {r.doc_id: r.asDict() for r in before.collect()}
+    assert [c for c in after.columns if c in before.columns] == before.columns
+    found = after.collect()
+    for r in found:
+        assert all(v == own[r.doc_id][c] for c, v in r.asDict().items() if c in own[r.doc_id] and c not in but), r
+    return found
+
+
+def by_sql(path, sql, *tables):
+    """Rows, as dictionaries, of SQL over a folder's tables."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    found = con.execute(sql)
+    names = [d[0] for d in found.description]
+    return [dict(zip(names, row)) for row in found.fetchall()]

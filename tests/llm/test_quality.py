@@ -1,27 +1,83 @@
 import math
 import random
+import re
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import quality_resample as q
 from quarry.llm import quality_rules as r
-from tests.llm.conftest import DOCS, prose
+from tests.llm.conftest import DOCS, by_sql, prose, untouched
 
 LABELS = "doc_id long, quality int, toxic int"
 
 
 def good_and_bad(spark, n=120):
     rows = [(i, prose(i, 60, 200) if i % 4 else " ".join(f"z{i}{j}$$$" for j in range(60)), "en", "a", 1) for i in range(n)]
-    labels = [(i, int(i % 4 > 0), 0) for i in range(0, n, 2)]
+    labels = [(i, int(i % 4 > 0), 0) for i in range(n) if i // 4 % 2 == 0]
     return spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
 
 
-def test_resampling_keeps_good_and_drops_bad_held_out_rows(spark, folder):
+def plain_weight(text, ratio):
+    """The log ratio of the two models over a text's uni- and bigrams, token by token."""
+    m, tokens = (1 << 64) - 1, [zlib.crc32(t.encode()) for t in re.findall(r"\w+|[^\w\s]+", (text or "").lower())]
+    pairs = [0x165667B19E3779F9 if a == b else ((a * 0xC2B2AE3D27D4EB4F) & m) ^ ((b + 0x9E3779B97F4A7C15) & m) for a, b in zip(tokens, tokens[1:])]
+    return sum(ratio[(((g * 0x9E3779B97F4A7C15) & m) >> 33) % q.BUCKETS] for g in tokens + pairs)
+
+
+def test_weights_keys_and_the_sample_equal_a_plain_count(spark, folder):
     docs, labels = good_and_bad(spark)
-    out = q.op1_query(spark, folder(documents=docs, labels=labels)).collect()
-    assert len(out) == 120
-    assert all(row.kept == (row.doc_id % 4 > 0) for row in out)
+    rows, told = docs.collect(), {r.doc_id: r.quality for r in labels.collect()}
+    ratio = q.fit(docs, q.target_ids(labels))
+    raw, target = Counter(), Counter()
+    unit = np.zeros(q.BUCKETS)
+    for r in rows:  # counts by weights of one bucket at a time would be slow: the model is recounted from grams
+        for found in q.grams(r.text, q._Ids()):
+            raw.update(found.tolist())
+            if told.get(r.doc_id):
+                target.update(found.tolist())
+    n, t = sum(raw.values()), sum(target.values())
+    prior = min(5.0 * q.BUCKETS, 0.5 * t)
+    smooth = [(raw[b] + 0.1) / (n + 0.1 * q.BUCKETS) * prior for b in range(q.BUCKETS)]
+    for b in range(q.BUCKETS):
+        unit[b] = math.log((target[b] + smooth[b]) / (t + prior)) - math.log((raw[b] + smooth[b]) / (n + prior))
+    assert np.allclose(unit, ratio)
+    out = {r.doc_id: r for r in q.op1_query(spark, folder(documents=docs, labels=labels)).collect()}
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", q.gumbel("doc_id", "text").alias("g")).collect()}
+    for r in rows:
+        assert out[r.doc_id].log_weight == pytest.approx(plain_weight(r.text, ratio), abs=1e-6)
+        assert out[r.doc_id].gumbel_key == pytest.approx(out[r.doc_id].log_weight + noise[r.doc_id])
+    k = q.budget(docs, labels)
+    assert k == 45 + math.ceil(60 * q.upper_bound(45, 60))
+    assert {i for i, r in out.items() if r.kept} == set(sorted(out, key=lambda i: -out[i].gumbel_key)[:k])
+    # all good documents are kept, those without a label too; the budget is no cut between the classes, so some bad ones may be
+    assert all(out[i].kept for i in out if i % 4) and sum(out[i].kept for i in out if i % 4 == 0) == k - 90
+
+
+def test_a_budget_ignores_keys_and_counts_rows(spark):
+    docs = spark.createDataFrame([(i % 10,) for i in range(100)] + [(99,)] * 50, "doc_id long")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 1), (99, 0, 0), (99, 1, 0), (500, 1, 0)], LABELS)
+    assert q.budget(docs, labels) == 20 + math.ceil(70 * q.upper_bound(2, 4))
+    assert q.budget(docs, labels.where("quality = 0")) is None
+
+
+def test_upper_bound_is_exact():
+    for good, n in ((0, 10), (5, 60), (45, 60), (59, 60), (3000, 4000)):
+        p = q.upper_bound(good, n)
+        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(good + 1))
+        assert tail == pytest.approx(1 - q.CONFIDENCE, rel=1e-6)
+    assert q.upper_bound(7, 7) == 1.0
+
+
+def test_classes_are_told_apart_on_rows_without_labels(spark, folder):
+    docs, labels = good_and_bad(spark, 2000)
+    out = {r.doc_id: r for r in q.op1_query(spark, folder(documents=docs, labels=labels)).collect()}
+    free = [i for i in out if i // 4 % 2 and i % 4]
+    assert min(out[i].gumbel_key for i in out if i % 4) > max(out[i].gumbel_key for i in out if i % 4 == 0)
+    assert all(out[i].kept for i in free)
 
 
 def test_kth_largest_is_exact(spark):
@@ -34,17 +90,20 @@ def test_kth_largest_is_exact(spark):
 
 def test_gumbel_top_k_takes_k_and_reruns_agree(spark):
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), (q.gumbel("id")).alias("gumbel_key"))
-    a, b = (q.resample(df, [], k=300)[0].where("kept").select("doc_id").collect() for _ in range(2))
+    a, b = (q.sampled(df, 300)[0].where("kept").select("doc_id").collect() for _ in range(2))
     assert len(a) == 300 and sorted(a) == sorted(b)
+    assert q.sampled(df, 0)[0].where("kept").count() == 0 and q.sampled(df, None)[0].where("kept").count() == 2000
 
 
-def test_classifier_on_odd_rows_and_empty_tables(spark, odd, empty, folder):
+def test_classifier_on_odd_rows_and_empty_tables(spark, odd, empty, folder, clashing):
     none = spark.createDataFrame([(None, 1, 0), (1, None, 0), (77, 1, None)], LABELS)
     path = folder(documents=odd, labels=none)
     assert all(row.kept for row in q.op1_query(spark, path).collect())
     kept = q.stage(spark, odd, path)
-    assert kept.columns == odd.columns and kept.count() == odd.count()
+    assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
     assert q.stage(spark, empty, path).count() == 0
+    some = spark.createDataFrame([(i, int(i > 9), 0) for i in range(20)], LABELS)
+    assert len(untouched(clashing, q.select(clashing, some))) == q.budget(clashing, some)
 
 
 def brute(text):
@@ -114,5 +173,24 @@ def test_rules_on_odd_rows_and_empty_tables(spark, odd, empty, folder):
     assert len(out) == odd.count() and all(not (row.kept and row.base_failed) for row in out)
 
 
+def test_verdicts_equal_sql(spark, folder):
+    langs = ["en"] * 12 + ["de"] * 4 + [None] * 3 + [""] * 1
+    rows = [(i, prose(i, 60 + i % 7, 5000) + (" # " * 60 if i % 10 == 0 else "") + ("\n" + prose(i, 20) + "\n" + prose(i, 20) if i % 35 == 0 else ""), langs[i // 10 % 20], "a", 1) for i in range(3000)]
+    rows += [(9000, None, "en", "a", 0), (9001, "", None, "a", 0), (9002, "a b c a b c a b c " * 20, "de", "a", 0), (9003, "x\n\n x\nx y", "xx", "a", 0)]
+    labels = [(i, int(i % 10 > 0), 0) for i in range(0, 3000)] + [(1, 0, 0), (5, None, 0), (None, 1, 0), (70_000, 1, 0)]
+    path = folder(documents=spark.createDataFrame(rows, DOCS), labels=spark.createDataFrame(labels, LABELS))
+    got = sorted((x.asDict() for x in r.op9_query(spark, path).collect()), key=lambda x: x["doc_id"])
+    expected = sorted(by_sql(path, r.ORACLE, "documents", "labels"), key=lambda x: x["doc_id"])
+    assert got == expected
+    assert 0 < sum(x["kept"] for x in got) < sum(not x["base_failed"] for x in got)
+    measured = r.written(r.measures(spark.createDataFrame(rows, DOCS)))
+    assert {x.stratum for x in r.thresholds(measured, spark.createDataFrame(labels, LABELS)).collect()} == {"en", "de", None}  # '' is a stratum of its own, with too few labels
+
+
+def test_rules_pass_columns_through(spark, clashing):
+    out = r.judge(clashing, spark.createDataFrame([], LABELS))
+    assert len(untouched(clashing, out)) == 30 and out.columns[-2:] == ["base_failed", "kept"]
+
+
 def test_rules_on_an_empty_table(spark, empty, folder):
     assert r.op9_query(spark, folder(documents=empty, labels=spark.createDataFrame([], LABELS))).count() == 0

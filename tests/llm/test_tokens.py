@@ -1,17 +1,19 @@
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import bpe, pii
 from quarry.llm import jump_shard as js
 from quarry.llm import mixing as mx
 from quarry.llm import training_order as to
-from tests.llm.conftest import DOCS, prose
+from tests.llm.conftest import DOCS, by_sql, prose, untouched
 
 
 @pytest.fixture(scope="module")
@@ -85,6 +87,17 @@ def test_shards_hold_every_sequence_at_its_slot(spark, odd, library, tmp_path):
     assert [r.shard for r in to.resume(shards, 130, 64).collect()] == sorted(s.shard for s in shards.collect() if s.shard >= 2)
 
 
+def test_slots_do_not_depend_on_partitions(spark, odd, folder, tmp_path):
+    rows = [(i if i % 7 else None, prose(i % 50, i % 50), "en", "s", 1) for i in range(300)] + [(5, "same text", "en", "s", 1)] * 200
+    docs = spark.createDataFrame(rows, DOCS).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    found = []
+    for n in (1, 7):
+        sequences, total = to.ordered(to.written(to.tokenised(docs.repartition(n), length=16)), length=16, shard_rows=64)
+        found.append(sorted((r.slot, r.number, r.doc_id is None, r.doc_id or 0, r.chunk, r.n_tokens, bytes(r.record)) for r in sequences.collect()))
+        assert [r[0] for r in found[-1]] == list(range(total)) and sorted(r[1] for r in found[-1]) == list(range(total))
+    assert found[0] == found[1]
+
+
 def test_training_order_of_an_empty_table(spark, empty, folder):
     assert to.op2_query(spark, folder(documents=empty)).count() == 0
 
@@ -114,32 +127,106 @@ def test_shards_by_jump_hash(spark, odd, folder):
     assert 0.4 < sum(r.grown_shard == 40 for r in out) / (len(out) / 41) < 2
 
 
-def test_slots_have_no_gap(spark, odd):
-    from pyspark.sql import functions as F
+def test_sharding_equals_sql_whatever_the_partitions(spark, folder):
+    rows = [(i if i % 9 else None, [None, "", "é\n" * (i % 40), prose(i, i % 30)][i % 4], "en", "s", 1) for i in range(-20, 700)] + [(3, "again", "en", "s", 1)] * 400
+    docs = spark.createDataFrame(rows, DOCS)
+    path = folder(documents=docs)
+    expected = Counter(tuple(x[c] for c in sorted(x)) for x in by_sql(path, js.ORACLE, "documents"))
+    got = [x.asDict() for x in js.op10_query(spark, path).collect()]
+    assert Counter(tuple(x[c] for c in sorted(x)) for x in got) == expected
+    for pieces in (1, 16):
+        js.PIECE_ROWS, before = max(1, len(rows) // js.SHARDS // pieces), js.PIECE_ROWS
+        try:
+            again = js.assigned(docs.repartition(5).select(*js.measured(docs)), js.SHARDS).collect()
+        finally:
+            js.PIECE_ROWS = before
+        assert Counter((r.key, r.size, r.crc, r.shard, r.slot) for r in again) == Counter((x["doc_id"], x["size"], x["text_crc32"], x["shard"], x["slot"]) for x in got)
 
-    df = odd.select("doc_id", js.jump(F.col("doc_id"), 5).alias("shard"), F.col("slot_of") if "slot_of" in odd.columns else F.lit(1).alias("v"))
-    for pieces in (1, 4):
-        slots = {}
-        for r in js.with_slots(df, pieces, F.col("doc_id")).collect():
-            slots.setdefault(r.shard, []).append(r.slot)
-        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
-
-def test_sharding_odd_rows(spark, odd, folder):
+def test_sharding_odd_rows(spark, odd, folder, clashing):
     rows = js.op10_query(spark, folder(documents=odd)).collect()
     texts = {(r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 16) for r in odd.collect()}
     assert len(rows) == odd.count() and {(r.doc_id, r.text_crc32, r.size) for r in rows} == texts
+    slots = {}
+    for r in untouched(clashing, js.shard(clashing, 5)):
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == 30
 
 
 def test_sharding_an_empty_table(spark, empty, folder):
     assert js.op10_query(spark, folder(documents=empty)).count() == 0
 
 
-def test_shares_by_weight_with_a_limit():
-    assert mx.shares([100, 100, 100], [1, 2, 3]) == [50.0, 100.0, 150.0]
-    out = mx.shares([1000, 10, 20], [1, 2, 3])
-    assert out[1] == 30 and out[2] == 60 and sum(out) == pytest.approx(1030)
-    assert mx.shares([0, 0], [1, 2]) == [0.0, 0.0] and mx.shares([], []) == []
+def plain_shares(sizes, weights, most=3):
+    target, free, left = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
+    while free:
+        by = sum(weights[i % len(weights)] for i in free)
+        over = [i for i in free if left * weights[i % len(weights)] / by > most * sizes[i]]
+        for i in over or free:
+            target[i] = float(most * sizes[i]) if over else left * weights[i % len(weights)] / by
+        if not over:
+            break
+        left, free = left - sum(target[i] for i in over), [i for i in free if i not in over]
+    return target
+
+
+def test_shares_by_weight_with_a_limit(spark):
+    rnd = random.Random(6)
+    for sizes in ([100, 100, 100], [1000, 10, 20], [0, 0], [5], [rnd.choice([0, 1, 10, 500, 10_000]) for _ in range(40)]):
+        df = spark.createDataFrame(list(enumerate(sizes)), "source_no long, source_size long")
+        got = {r.source_no: r.target for r in mx.shares(df, (1.0, 2.0, 3.0)).collect()}
+        assert [got[i] for i in range(len(sizes))] == pytest.approx(plain_shares(sizes, (1.0, 2.0, 3.0)))
+    assert mx.shares(spark.createDataFrame([], "source_no long, source_size long"), (1.0,)).count() == 0
+
+
+def test_sources_are_numbered_by_code_point(spark):
+    names = ["b", "a", "", "é", "Z", "😀", "\uffff", None, "aa"] + [f"s{i:05}" for i in range(3000)]
+    out = mx.numbered(spark.createDataFrame([(n,) for n in names], "source string").repartition(9), F.col("source").isNull().asc(), F.col("source").asc())
+    order = sorted((n for n in names if n is not None)) + [None]
+    assert {r.source: r.source_no for r in out.collect()} == {n: i for i, n in enumerate(order)}
+
+
+def test_tilts_solve_the_dual(spark):
+    """The conditions of Karush, Kuhn and Tucker, which tell the only solution of a convex problem."""
+    rnd = random.Random(9)
+    bands = [[rnd.choice([0, 0, 50, 400, 3000, 20_000]) for _ in range(mx.BANDS)] for _ in range(12)]
+    rows = []
+    for i, b in enumerate(bands):
+        size = sum(b)
+        rows.append((i, size, *b, float(size * [0.2, 1, 2, 2.9, 3, 0][i % 6])))
+    schema = f"source_no long, source_size long, {', '.join(f'band_{i} long' for i in range(mx.BANDS))}, target double"
+    sources = spark.createDataFrame(rows, schema)
+    sources = sources.withColumn("state", mx.state(sources)).cache()
+    tilts = mx.balance(sources)
+    assert any(abs(t) > 0.01 for t in tilts)
+    a = {r.source_no: r.a for r in sources.select("source_no", F.when(F.col("state") == "free", mx.own_tilt(tilts)).alias("a")).collect()}
+    tokens, total = np.zeros(mx.BANDS), sum(r[-1] for r in rows)
+    for i, size, *b, target in rows:
+        rate = [3.0 if target >= 3 * size else 0.0 if not target else min(3.0, math.exp(a[i] + t)) for t in tilts]
+        own = np.array(b) * rate
+        assert own.sum() == pytest.approx(target, rel=1e-9)  # every source is met
+        tokens += own
+    raw = np.array([sum(b[j] for b in bands) for j in range(mx.BANDS)], float)
+    want = raw / raw.sum() * total
+    assert tokens - want + mx.SLACK * want * np.array(tilts) == pytest.approx(np.zeros(mx.BANDS), abs=1e-6 * total)
+
+
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mx, "FEW_SOURCES", 1000)  # beyond it, sources are joined
+    docs = spark.range(10_001).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id")).alias("source"), (F.col("id") % 50 + 1).alias("size"))
+    out = mx.plan(docs, "doc_id").agg(F.count(F.lit(1)), F.sum("total"), F.max(F.col("total") / F.col("n"))).first()
+    assert out[0] == 10_001 and out[2] <= 3
+
+
+def test_long_documents_and_copies_leave_a_source_at_its_target(spark, monkeypatch):
+    monkeypatch.setattr(mx, "BLOCK_ROWS", 50)
+    rows = [(i, "a", 20 + i % 30) for i in range(2000)] + [(5000 + i, "a", 9_000) for i in range(7)] + [(7777, "a", 33)] * 2500 + [(10_000 + i, "b", 40) for i in range(3000)]
+    out = mx.plan(spark.createDataFrame(rows, "doc_id long, source string, size long"), "doc_id").collect()
+    assert sum(r.n for r in out) == len(rows)
+    for source in ("a", "b"):
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.total * r.size for r in own) - own[0].target) <= 0.002 * own[0].target
+        assert all(0 <= r.total <= 3 * r.n for r in own)
 
 
 def test_mix_meets_targets(spark, folder):
@@ -158,11 +245,25 @@ def test_mix_meets_targets(spark, folder):
     assert sum(target.values()) == pytest.approx(sum(r.size for r in out))
 
 
-def test_mix_of_odd_rows_and_empty_tables(spark, odd, empty, folder):
+def test_mix_of_odd_rows_and_empty_tables(spark, odd, empty, folder, clashing):
     path = folder(documents=odd)
     assert len(mx.op6_query(spark, path).collect()) == odd.count()
     assert mx.stage(spark, odd, path).columns == odd.columns
     assert mx.stage(spark, empty, path).count() == 0
+    taken = Counter(r.doc_id for r in untouched(clashing, mx.mixed(clashing)))
+    assert all(n <= 3 for n in taken.values()) and taken
+
+
+def test_a_mix_takes_rows_as_often_as_planned(spark, monkeypatch):
+    monkeypatch.setattr(mx, "CHUNK", 16)
+    rows = [(i, prose(i, 30), "en", f"s{i % 3}", 1) for i in range(60)] + [(900, prose(900, 30), "en", "s1", 1)] * 101
+    docs = spark.createDataFrame(rows, DOCS)
+    plan = mx.plan(docs.select("doc_id", "source", mx.words(F.col("text")).alias("size")), "doc_id").collect()
+    taken = Counter(r.doc_id for r in mx.mixed(docs).collect())
+    assert sum(taken.values()) == sum(r.total for r in plan)
+    for s in ("s0", "s1", "s2"):
+        words = sum(30 * n for i, n in taken.items() if (f"s{i % 3}" if i < 900 else "s1") == s)
+        assert abs(words - next(r.target for r in plan if r.source == s)) <= 30
 
 
 def test_counting_words(spark):
@@ -222,7 +323,7 @@ def test_spans_in_other_formats_are_added(spark):
             hidden[i] = [f"({number}", f"1 ({number}", f"{name} [at] {place} [dot] example [dot] com", f"{name} at {place} dot example dot com"][i // 30 % 4]
             what = f"{'call' if hidden[i][0] in '(1' else 'mail'} {hidden[i]}"
         rows.append((i, f"{prose(i, 20)} {what} {prose(i + 1, 10)}", "en", "s", 1))
-    found = pii.written(pii.find(spark.createDataFrame(rows, DOCS)))
+    found = pii.written(pii.find(spark.createDataFrame(rows, DOCS).select("text", "doc_id")))
     selected = pii.select(found, pii.train(found))
     out = {r.doc_id: r.spans for r in selected.collect()}
     for i, span in hidden.items():
@@ -261,9 +362,57 @@ def test_boosted_trees_on_held_out_rows():
     assert ((model.probability(x[3000:]) > 0.5) == (y[3000:] > 0.5)).mean() > 0.95
 
 
-def test_personal_data_in_odd_rows_and_an_empty_table(spark, odd, empty):
+def with_check_digit(rnd, prefix):
+    digits = prefix + "".join(str(rnd.randrange(10)) for _ in range(15 - len(prefix)))
+    return next(digits + str(d) for d in range(10) if pii.luhn(digits + str(d)))
+
+
+def test_cards_beside_other_numbers_are_added(spark):
+    rnd, rows, hidden = random.Random(11), [], {}
+    for i in range(1500):
+        card = with_check_digit(rnd, "4")
+        card = " ".join(card[k : k + 4] for k in range(0, 16, 4)) if i % 8 == 1 else card
+        what = ["nothing", f"card {card} and", f"serial {rnd.randrange(10**9):09} {rnd.randrange(10**6):06}", "more"][i % 4 if i % 40 else 3]
+        if i % 40 == 0:
+            hidden[i] = with_check_digit(rnd, "4")
+            what = f"card {hidden[i]} {rnd.randrange(1000, 9999)} and"
+        rows.append((i, f"{prose(i, 20)} x {what} {prose(i + 1, 10)} y", "en", "s", 1))
+    found = pii.written(pii.find(spark.createDataFrame(rows, DOCS).select("text", "doc_id")))
+    selected = pii.select(found, pii.train(found))
+    out = {r.doc_id: r for r in selected.collect()}
+    for i, card in hidden.items():
+        at = rows[i][1].index(card)
+        if not pii.base_spans(rows[i][1]):
+            assert f"card:{at}:{at + 16}" in out[i].spans.split(","), (rows[i][1], out[i].spans)
+    # numbers that are no cards by format stay as they are
+    assert all(out[i].spans == pii.digest(pii.base_spans(rows[i][1])) for i in out if i % 4 == 2 and i % 40)
+
+
+def test_runs_of_digit_groups_propose_whole_groups_only():
+    text = "x 4111111111111111 4111111111111111 7 y"
+    spans = pii.swallowed(text)
+    assert (2, pii.CARD, 18) in spans and (19, pii.CARD, 35) in spans
+    assert pii.swallowed("12345678901234567890123456789") == [] and pii.swallowed("1 2 3") == []
+
+
+def test_candidates_are_drawn_from_all_of_a_document(spark):
+    many = " ".join(f"call ({200 + i}) 555-{1000 + i} or" for i in range(300))
+    found = pii.written(pii.find(spark.createDataFrame([(1, many, "en", "s", 1)], DOCS).select("text", "doc_id")))
+    x, stands, half = pii.drawn(found)
+    assert len(x) == len(stands) == 300 and len(set(half)) == 1
+    assert len(pii.drawn(found, limit=40)[0]) <= 40
+
+
+def test_personal_data_in_odd_rows_and_an_empty_table(spark, odd, empty, clashing):
     out = pii.redact(odd).collect()
     assert len(out) == odd.count()
     text = next(r.text for r in out if r.doc_id == 9)
     assert text.startswith("mail me: [email] or [phone], ip [ip]")
     assert pii.redact(empty).count() == 0
+    assert len(untouched(clashing, pii.redact(clashing))) == 30
+
+
+def test_added_columns_take_the_place_of_those_of_their_name(spark, odd):
+    own = odd.withColumns({"n_tokens": F.lit("x"), "ids": F.lit("y"), "spans": F.lit("z")})
+    assert all(isinstance(r.n_tokens, int) and isinstance(r.ids, list) for r in bpe.encode(own).collect())
+    assert all(r.spans != "z" and r.n_tokens == "x" for r in pii.redact(own).collect())
