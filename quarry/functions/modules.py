@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SPELLINGS = {"go": "package", "php": "namespace", "typescript": "relative", "tsx": "relative", "javascript": "relative", "jsx": "relative"}
 #: Leading directories that no import writes, longest first where one begins another (fixed values).
 SOURCE_ROOTS = (
-    "src/main/java", "src/main/kotlin", "src/main/scala", "src/main/resources", "src/test/java", "src/test/kotlin", "src/test/scala", "app/src/main/java", "src", "lib",
+    "src/main/java", "src/main/kotlin", "src/main/scala", "src/main/resources", "src/test/java", "src/test/kotlin", "src/test/scala", "app/src/main/java", "app/src/main/kotlin", "src", "lib",
 )
 #: A file of this name stands for its directory (fixed values).
 INITIALISERS = ("__init__", "index", "mod")

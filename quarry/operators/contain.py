@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chains of enclosing definitions up to 2 ** HOPS - 1 long are followed to the end.
-HOPS = 4
+from quarry.sources.tables import Stored
 
 
 def definitions(nodes: DataFrame) -> DataFrame:
@@ -31,13 +32,39 @@ def enclosing(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return refs.select(F.col("id").alias("ref_id"), "file_id", "site").join(outer, inside).groupBy("ref_id").agg(F.min_by("e_id", F.struct(F.col("e_end") - F.col("e_start"), "e_id")).alias("enclosing"))
 
 
+def climbed(own: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """own (id, up and others) after as many steps as its longest chain of up needs. Pointer jumping: each step doubles how far a row has looked, so rounds grow as the logarithm of the depth; chains that run in a circle end when every definition has been looked at."""
+    now = Stored(own)
+    looked, n = 1, now.df.count()
+    while looked < n and not now.df.where("up IS NOT NULL").isEmpty():
+        last, now = now, Stored(step(now.df))
+        last.drop()
+        looked *= 2
+    return now.df
+
+
 def classes(nodes: DataFrame, parent: DataFrame) -> DataFrame:
-    """(id, class_id): the nearest class at or above each definition. Pointer jumping: each round doubles how far a row has looked."""
-    own = definitions(nodes).select("id", F.when(F.col("kind") == "class", F.col("id")).alias("class_id")).join(parent, "id", "left").withColumnRenamed("parent", "up")
-    for _ in range(HOPS):
-        above = own.select(F.col("id").alias("a_id"), F.col("class_id").alias("a_class"), F.col("up").alias("a_up"))
-        own = own.join(above, F.col("up") == F.col("a_id"), "left").select("id", F.coalesce("class_id", "a_class").alias("class_id"), F.when(F.col("class_id").isNull() & F.col("a_class").isNull(), F.col("a_up")).alias("up"))
-    return own.where("class_id IS NOT NULL").select("id", "class_id")
+    """(id, class_id): the nearest class at or above each definition, however deep it is nested."""
+    own = definitions(nodes).select("id", F.when(F.col("kind") == "class", F.col("id")).alias("class_id")).join(parent, "id", "left")
+    own = own.select("id", "class_id", F.when(F.col("class_id").isNull(), F.col("parent")).alias("up"))
+
+    def step(at: DataFrame) -> DataFrame:
+        above = at.select(F.col("id").alias("a_id"), F.col("class_id").alias("a_class"), F.col("up").alias("a_up"))
+        return at.join(above, F.col("up") == F.col("a_id"), "left").select("id", F.coalesce("class_id", "a_class").alias("class_id"), F.when(F.col("class_id").isNull() & F.col("a_class").isNull(), F.col("a_up")).alias("up"))
+
+    return climbed(own, step).where("class_id IS NOT NULL").select("id", "class_id")
+
+
+def qualified_names(nodes: DataFrame, parent: DataFrame) -> DataFrame:
+    """(id, qualified_name): a definition's name after those of all that enclose it, joined by dots."""
+    own = definitions(nodes).select("id", "name").join(parent, "id", "left").select("id", F.col("name").alias("qualified_name"), F.col("parent").alias("up"))
+
+    def step(at: DataFrame) -> DataFrame:
+        above = at.select(F.col("id").alias("a_id"), F.col("qualified_name").alias("a_name"), F.col("up").alias("a_up"))
+        name = F.when(F.col("a_name").isNull(), F.col("qualified_name")).otherwise(F.concat("a_name", F.lit("."), "qualified_name"))
+        return at.join(above, F.col("up") == F.col("a_id"), "left").select("id", name.alias("qualified_name"), F.col("a_up").alias("up"))
+
+    return climbed(own, step).select("id", "qualified_name")
 
 
 def structural_edges(nodes: DataFrame, parent: DataFrame) -> DataFrame:

@@ -60,13 +60,24 @@ def inherited(projects: DataFrame, settings: DataFrame) -> DataFrame:
     return chain.join(settings.select(F.col("path").alias("of"), "key", "value"), "of").groupBy("path", "key").agg(F.min_by("value", "pos").alias("value"))
 
 
+def readiness(seen: DataFrame) -> DataFrame:
+    """(family, tool, tier) of what was seen of each tool (has_index, has_build, has_tool): 0 an index is there, 1 it can be built, 2 the tool alone is there, 3 nothing."""
+    has = seen.groupBy("family", "tool").agg(*[F.max(c).alias(c) for c in ("has_tool", "has_build", "has_index")])
+    tier = F.when(~F.col("has_tool"), 3).when(~F.col("has_build"), 2).when(~F.col("has_index"), 1).otherwise(0)
+    return has.select("family", "tool", tier.alias("tier"))
+
+
 def best_tier(readiness: DataFrame) -> DataFrame:
     """(family, tier): the best readiness of a family's tools; 0 is ready."""
     return readiness.groupBy("family").agg(F.min("tier").alias("tier"))
 
 
-def nearest_key(unknown: DataFrame, known: DataFrame) -> DataFrame:
-    """(key, meant): the known settings name nearest to each unknown one. Known names are a fixed, short list, sent along as an array."""
-    names = F.array(*[F.lit(r[0]) for r in known.select("key").distinct().orderBy("key").limit(1000).collect()])
-    ranked = F.array_sort(F.transform(names, lambda k: F.struct(F.levenshtein(F.col("key"), k).alias("d"), k.alias("k"))))
-    return unknown.select("key", F.get(ranked, F.lit(0))["k"].alias("meant"))
+def nearest_key(unknown: DataFrame, known: DataFrame, least: float = 0.6) -> DataFrame:
+    """(key, meant): the known settings name most like each unknown one, by the share of its letters that stay; null where none is like it enough.
+
+    Known names go along as one array, whatever their number, and meet each unknown one in its row.
+    """
+    names = known.select("key").distinct().agg(F.sort_array(F.collect_list("key")).alias("_names"))
+    like = lambda k: 1 - F.levenshtein(F.col("key"), k) / F.greatest(F.length("key"), F.length(k), F.lit(1))
+    ranked = F.array_sort(F.transform(F.filter("_names", lambda k: like(k) >= least), lambda k: F.struct((-like(k)).alias("d"), k.alias("k"))))
+    return unknown.select("key").crossJoin(names).select("key", F.get(ranked, F.lit(0))["k"].alias("meant"))  # one row

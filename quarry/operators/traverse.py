@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import contain, resolve
 from quarry.sources.star import Graph
+from quarry.sources.tables import store
 
 #: Question: the direction it walks, and the kinds of link it walks along.
 QUESTIONS = {
@@ -65,44 +69,84 @@ def neighbors(graph: Graph, question: str, ambiguous: bool = False, starts: Data
     return best_of(rows)
 
 
-def hops(graph: Graph, ambiguous: bool = False, edges: DataFrame | None = None) -> DataFrame:
-    """(dst, src): one step upstream, along links of any kind and from a node's file to the modules that import it."""
+@dataclass
+class Steps:
+    """One step upstream, in two parts: along links from node to node, and from a file to the modules that import it, which all nodes of a file share."""
+
+    direct: DataFrame  # dst, src
+    places: DataFrame  # node, file
+    importers: DataFrame  # file, src
+
+    def rows(self) -> DataFrame:
+        """(dst, src): both parts spelled out by node."""
+        imported = self.places.join(self.importers, "file").select(F.col("node").alias("dst"), "src")
+        return self.direct.unionByName(imported).distinct()
+
+
+def steps(graph: Graph, ambiguous: bool = False, edges: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = store) -> Steps:
     rows = (links(graph) if edges is None else edges).where("src <> dst")
     if not ambiguous:
         rows = rows.where("resolved")
-    importers = graph.nodes.select(F.col("id").alias("dst"), "file_id").join(file_links(graph).withColumnRenamed("dst", "file_id"), "file_id").select("dst", "src")
-    return rows.select("dst", "src").unionByName(importers).distinct()
+    imports = file_links(graph).select(F.col("dst").alias("file"), "src")
+    return Steps(keep(rows.select("dst", "src").distinct()), graph.nodes.select(F.col("id").alias("node"), F.col("file_id").alias("file")), keep(imports))
 
 
-def blast_radius(step: DataFrame, starts: DataFrame, depth: int, keep=None) -> DataFrame:
-    """(start, node, depth): everything upstream of each start (a column id), once, at its least depth.
+def blast_radius(step: Steps, starts: DataFrame, depth: int, keep: Callable[[DataFrame], DataFrame] = store) -> DataFrame:
+    """(start, node, depth): everything upstream of each start (a column id), once, at its least depth; nothing for a depth below 1.
 
-    Level by level for all starts at once: the frontier meets the steps, and what was seen before is taken out. keep cuts the
-    lineage of a level (for instance by writing it).
+    Level by level for all starts at once: the frontier meets the steps, and what was seen before is taken out. Importers are met by
+    file, and a file once for each start. Every level is a table of its own, so that none is computed twice.
     """
     if depth > MAX_DEPTH:
         raise ValueError(f"depth {depth} is over {MAX_DEPTH}")
-    keep = keep or (lambda df: df)
-    seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("depth"))
-    frontier = seen
+    frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct()
+    seen, opened, out = frontier, None, None
     for level in range(1, depth + 1):
-        met = frontier.select("start", F.col("node").alias("dst")).join(step, "dst").select("start", F.col("src").alias("node")).distinct()
-        frontier = keep(met.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(level)))
+        files = frontier.join(step.places, "node").select("start", "file").distinct()
+        if opened is not None:
+            files = files.join(opened, ["start", "file"], "left_anti")
+        files = keep(files)
+        opened = files if opened is None else opened.unionByName(files)
+        met = frontier.join(step.direct, frontier["node"] == step.direct["dst"]).select("start", F.col("src").alias("node"))
+        met = met.unionByName(files.join(step.importers, "file").select("start", F.col("src").alias("node"))).distinct()
+        frontier = keep(met.join(seen, ["start", "node"], "left_anti"))
+        seen = seen.unionByName(frontier)
+        found = frontier.select("start", "node", F.lit(level).alias("depth"))
+        out = found if out is None else out.unionByName(found)
+        if level < depth and frontier.isEmpty():
+            break
+    return out if out is not None else frontier.select("start", "node", F.lit(0).alias("depth")).limit(0)
+
+
+def walk(
+    graph: Graph, starts: DataFrame, depth: int = 0, floor: float = 0.05, edges: DataFrame | None = None, direction: str = "up", kinds: tuple[str, ...] | None = None, ambiguous: bool = False, keep: Callable[[DataFrame], DataFrame] = store
+) -> DataFrame:
+    """(start, node, depth, kind, confidence, evidence) along links at or above a floor, each node once, at its least depth, with its surest link of that depth.
+
+    A path that visits no node twice exists at the least depth of any path, so levels of nodes not seen yet give the same rows as paths
+    would, of which there may be exponentially many. A depth of 0 or less means MAX_DEPTH; one over it is an error.
+    """
+    if depth > MAX_DEPTH:
+        raise ValueError(f"depth {depth} is over {MAX_DEPTH}")
+    if direction not in ("up", "down"):
+        raise ValueError(f"unknown direction {direction!r}; one of down, up")
+    here, there = ("dst", "src") if direction == "up" else ("src", "dst")
+    rows = (links(graph) if edges is None else edges).where((F.col("confidence") >= floor) & (F.col("src") != F.col("dst")))
+    if not ambiguous:
+        rows = rows.where("resolved")
+    if kinds is not None:
+        rows = rows.where(F.col("kind").isin(*kinds))
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), "kind", "evidence")).alias("b")
+    rows = keep(rows.groupBy(F.col(here).alias("h"), F.col(there).alias("t")).agg(best))
+    frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct()
+    seen, out = frontier, None
+    for level in range(1, (depth if depth > 0 else MAX_DEPTH) + 1):
+        met = frontier.join(rows, F.col("node") == F.col("h")).groupBy("start", F.col("t").alias("node")).agg(F.min("b").alias("b"))
+        found = keep(met.join(seen, ["start", "node"], "left_anti"))
+        frontier = found.select("start", "node")
         seen = seen.unionByName(frontier)
-    return seen.where("depth > 0")
-
-
-def walk(graph: Graph, starts: DataFrame, depth: int, floor: float = 0.05, edges: DataFrame | None = None) -> DataFrame:
-    """(start, node, depth) upstream along paths that visit no node twice, over resolved links at or above a floor; least depth. The path is carried, as a recursive query would."""
-    rows = (links(graph) if edges is None else edges).where(F.col("resolved") & (F.col("confidence") >= floor)).select("src", "dst").distinct()
-    level = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path"))
-    out = None
-    for d in range(1, min(depth, MAX_DEPTH) + 1):
-        level = (
-            level.join(rows, F.col("node") == F.col("dst"))
-            .where(~F.array_contains("path", F.col("src")))
-            .select("start", F.col("src").alias("node"), F.concat("path", F.array("src")).alias("path"))
-        )
-        found = level.select("start", "node", F.lit(d).alias("depth"))
+        found = found.select("start", "node", F.lit(level).alias("depth"), F.col("b.kind").alias("kind"), (-F.col("b.c")).alias("confidence"), F.col("b.evidence").alias("evidence"))
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("start", "node").agg(F.min("depth").alias("depth"))
+        if frontier.isEmpty():
+            break
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import files as X
 from quarry.operators import contain, fleet, incremental, measure, overlay, resolve, search, traverse
 from quarry.plans import oracle as O
-from quarry.sources import star
+from quarry.sources import star, tree
 from quarry.streaming import health
 
 QUERIES: dict = {}
@@ -50,9 +50,12 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.language(path).alias("lang"), X.indexable(path, F.octet_length("text")).alias("indexable"))
 
 
-@query("fil05_trigrams", "SELECT page_id, octet_length(encode(html)) AS size, octet_length(encode(html)) >= 65536 AS scanned FROM pages")
+@query("fil05_generated", """
+WITH t AS (SELECT page_id, count(DISTINCT substr(h, i * 2 - 1, 6)) AS n FROM (SELECT page_id, hex(encode(html)) AS h FROM pages), unnest(range(1, CAST(length(h) // 2 - 1 AS BIGINT))) t(i) GROUP BY page_id)
+SELECT page_id, octet_length(encode(html)) AS size, octet_length(encode(html)) >= 65536 AND n > 20000 AS generated, octet_length(encode(html)) >= 1500 AND n > 700 AS dense FROM pages JOIN t USING (page_id)""")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").cast("long").alias("size"), (F.octet_length("html") >= X.SCAN_BYTES).alias("scanned"))
+    html = F.encode("html", "UTF-8")
+    return table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").cast("long").alias("size"), X.generated(html).alias("generated"), X.generated(html, 1500, 700).alias("dense"))
 
 
 @query("agg23_distinct_trigrams", """
@@ -63,14 +66,17 @@ def _(spark, sf_dir):
 
 @query("src06_digests", "SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS size FROM documents")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return tree.digested(files).select("doc_id", "sha256", "size")
 
 
 @query("src10_embedded_scripts", r"""
-SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS script FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script>', 1) AS s FROM pages), unnest(range(1, len(s) + 1)) t(i)""")
+WITH s AS (SELECT page_id, html, regexp_extract_all(html, '(?is)<script\b[^>]*>.*?</script>') AS b FROM pages)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, regexp_extract(b[i], '(?is)<script\b[^>]*>(.*?)</script>', 1) AS script,
+  CAST(len(string_split(split_part(html, b[i], 1) || regexp_extract(b[i], '(?is)<script\b[^>]*>'), chr(10))) AS INTEGER) AS first_line
+FROM s, unnest(range(1, len(b) + 1)) t(i)""")
 def _(spark, sf_dir):
-    found = F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>(.*?)</script>"), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("pos", "script"))
+    return tree.scripts(table(spark, sf_dir, "pages").select("page_id", "html"), "html").select("page_id", "pos", "script", "first_line")
 
 
 @query("jon03_parents", f"{O.WITH}{O.CONTAIN} SELECT id, parent FROM parent")
@@ -162,7 +168,7 @@ SELECT start, count(*) FILTER (WHERE d = 1) AS depth1, count(*) FILTER (WHERE d
 FROM (SELECT start, 1 AS d FROM l1 UNION ALL SELECT start, 2 FROM n2 UNION ALL SELECT start, 3 FROM n3) GROUP BY start""")
 def _(spark, sf_dir):
     g = star.graph(spark, sf_dir)
-    reached = traverse.blast_radius(traverse.hops(g), g.nodes.select("id"), 3)
+    reached = traverse.blast_radius(traverse.steps(g), g.nodes.select("id"), 3)
     return reached.groupBy("start").agg(*[F.count_if(F.col("depth") == d).alias(f"depth{d}") for d in (1, 2, 3)])
 
 
@@ -172,7 +178,7 @@ walk AS (SELECT id AS start, id AS node, [id] AS path FROM nodes UNION ALL SELEC
 SELECT start, node, CAST(min(len(path)) - 1 AS INTEGER) AS depth FROM walk WHERE len(path) > 1 GROUP BY start, node""")
 def _(spark, sf_dir):
     g = star.graph(spark, sf_dir)
-    return traverse.walk(g, g.nodes.select("id"), 3)
+    return traverse.walk(g, g.nodes.select("id"), 3).select("start", "node", "depth")
 
 
 @query("agg01_counts", f"""{O.WITH}{O.LINKS} SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM nodes) AS nodes, count(*) AS links, count(*) FILTER (WHERE resolved) AS resolved_links, count(*) FILTER (WHERE candidate_count > 1) AS ambiguous_links FROM links""")
@@ -402,15 +408,22 @@ def _(spark, sf_dir):
     return fleet.inherited(projects, settings)
 
 
-@query("agg16_best_tier", "SELECT l_returnflag AS family, min(l_linenumber) AS tier FROM lineitem WHERE l_quantity > 30 GROUP BY l_returnflag")
+@query("agg16_readiness", """
+WITH t AS (SELECT l_returnflag AS family, l_linenumber AS tool, max(CAST(l_quantity > 49 AS INTEGER)) AS has_tool, max(CAST(l_discount > 0.09 AS INTEGER)) AS has_build, max(CAST(l_tax > 0.07 AS INTEGER)) AS has_index FROM lineitem GROUP BY ALL)
+SELECT family, min(CASE WHEN has_index = 1 AND has_build = 1 AND has_tool = 1 THEN 0 WHEN has_build = 1 AND has_tool = 1 THEN 1 WHEN has_tool = 1 THEN 2 ELSE 3 END) AS tier FROM t GROUP BY family""")
 def _(spark, sf_dir):
-    return fleet.best_tier(table(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_returnflag").alias("family"), F.col("l_linenumber").alias("tier")))
+    seen = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("family"), F.col("l_linenumber").alias("tool"), (F.col("l_quantity") > 49).alias("has_tool"), (F.col("l_discount") > 0.09).alias("has_build"), (F.col("l_tax") > 0.07).alias("has_index"))
+    return fleet.best_tier(fleet.readiness(seen))
 
 
 @query("sca33_nearest_key", """
-SELECT key, arg_min(n_name, levenshtein(key, n_name) * 1000 + i) AS meant FROM (SELECT DISTINCT left(p_name, 12) AS key FROM part), (SELECT n_name, row_number() OVER (ORDER BY n_name) AS i FROM nation) GROUP BY key""")
+SELECT key, arg_min(n_name, (1 - l, i)) FILTER (WHERE l >= 0.6) AS meant FROM (
+  SELECT key, n_name, i, 1 - levenshtein(key, n_name) / greatest(length(key), length(n_name)) AS l
+  FROM (SELECT DISTINCT left(p_name, 12) AS key FROM part UNION SELECT left(n_name, 6) || lower(left(n_name, 1)) FROM nation), (SELECT n_name, row_number() OVER (ORDER BY n_name) AS i FROM nation)) GROUP BY key""")
 def _(spark, sf_dir):
-    return fleet.nearest_key(table(spark, sf_dir, "part").select(F.substring("p_name", 1, 12).alias("key")).distinct(), table(spark, sf_dir, "nation").select(F.col("n_name").alias("key")))
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"))
+    typos = names.select(F.concat(F.substring("key", 1, 6), F.lower(F.substring("key", 1, 1))).alias("key"))
+    return fleet.nearest_key(table(spark, sf_dir, "part").select(F.substring("p_name", 1, 12).alias("key")).union(typos).distinct(), names)
 
 
 @query("ovl07_implements", f"""{O.WITH}{O.LINKS} SELECT DISTINCT d1.id AS src, d2.id AS dst FROM defs d1 JOIN defs d2 ON d1.file_id = d2.file_id AND d1.kind = 'class' AND d2.kind = 'function' AND d1.id % 10 <> 3 AND d2.id % 10 <> 3""")

@@ -28,6 +28,11 @@ def snapshot(spark: SparkSession, root: str, exclude: list[str] | None = None, l
     return own.where(~X.generated(F.col("content"))).select("path", "size", "mtime", F.sha2("content", 256).alias("sha256"), "lang", "content")
 
 
+def digested(files: DataFrame) -> DataFrame:
+    """files (content and others) with sha256 and size: what decides whether a file has changed."""
+    return files.withColumns({"sha256": F.sha2("content", 256), "size": F.octet_length("content").cast("long")})
+
+
 def texts(files: DataFrame) -> DataFrame:
     """files with text, null where the bytes are no UTF-8, and the reason for that."""
     text = F.col("content").cast("string")
