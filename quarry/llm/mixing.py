@@ -206,9 +206,10 @@ def plan(rows: DataFrame, *key: str, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     ordered = written(numbered(by_source, F.col("source").isNull().asc(), F.col("source").asc()))
     sources = written(shares(ordered, weights).withColumn("state", state(ordered)).withColumn("blocks", F.ceil(F.col("groups") / F.lit(BLOCK_ROWS)).cast("long")))
     tilts = balance(sources)
-    solved = written(sources.withColumn("a", F.when(F.col("state") == "free", own_tilt(tilts))).select(F.col("source").alias("m_source"), "source_no", "source_size", "target", "state", "a", "blocks"))
-    n, together = solved.agg(F.count(F.lit(1)), F.coalesce(F.count_if(F.col("blocks") <= 1), F.lit(0))).first()
-    together = max(1, together // 50)
+    solved = written(sources.withColumn("a", F.when(F.col("state") == "free", own_tilt(tilts))).select(F.col("source").alias("m_source"), "source_no", "source_size", "target", "state", "a", "blocks", "groups"))
+    n, small = solved.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("blocks") <= 1, F.col("groups"))), F.lit(0))).first()
+    together = max(1, -(-small // BLOCK_ROWS))
+    solved = solved.drop("groups")
     of = F.broadcast(solved) if n <= FEW_SOURCES else solved
     tilt = F.get(F.array(*map(F.lit, tilts)), band(F.col("size")))
     rated = groups.join(of, F.col("source").eqNullSafe(F.col("m_source"))).drop("m_source").withColumn("rate", rate(F.col("a"), tilt)).drop("a", "state")
