@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,7 +252,8 @@ SELECT query_id, doc_id, score, CAST(i AS INTEGER) AS rank FROM (SELECT *, row_n
 def _(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     terms = asked.select(F.col("item_id").alias("query_id"), F.explode(search.tokens(F.col("text"))).alias("token"))
-    return search.bm25(search.postings(docs, "doc_id", "text"), search.corpus(docs, "text"), terms, "doc_id", 20)
+    posts, corpus = search.indexed(docs, "doc_id", "text")
+    return search.bm25(posts, corpus, terms, "doc_id", 20)
 
 
 @query("sea03_find_symbol", f"""{O.WITH}, a AS (SELECT DISTINCT name FROM refs) SELECT name, node_id, exact FROM (
@@ -260,6 +263,54 @@ def _(spark, sf_dir):
     return search.find_symbol(g.nodes, g.refs.select("name").distinct())
 
 
+_NAMES = f"""{O.WITH}{O.CONTAIN},
+above AS (SELECT id, name AS q, id AS at FROM defs UNION ALL SELECT a.id, d.name || '.' || a.q, p.parent FROM above a JOIN parent p ON p.id = a.at JOIN defs d ON d.id = p.parent),
+qualified AS (SELECT id, arg_max(q, length(q)) AS qualified_name FROM above GROUP BY id),
+asked AS (
+  SELECT DISTINCT name AS asked FROM refs WHERE id % 7 = 0 UNION SELECT qualified_name FROM qualified WHERE id % 11 = 0 UNION SELECT upper(name) FROM defs WHERE id % 13 = 0
+  UNION SELECT DISTINCT regexp_replace(module, '^[a-z]+:', '') FROM placed WHERE id % 17 = 0),
+held AS (
+  SELECT n.id, n.name, q.qualified_name, n.file_id, {_TERMS.format('n.name')} AS a, {_TERMS.format("coalesce(q.qualified_name, '')")} AS b FROM nodes n LEFT JOIN qualified q USING (id)),
+whole AS (SELECT count(*) AS n, avg(len(a) + len(b)) AS avg_len FROM held),
+slots AS (SELECT id, field, i, ts FROM (SELECT id, 0 AS field, a AS ts FROM held UNION ALL SELECT id, 1, b FROM held), unnest(range(1, len(ts) + 1)) u(i)),
+words AS (SELECT asked, {_TERMS.format('asked')} AS q FROM asked),
+hits AS (SELECT w.asked, s.id, count(*) AS tf FROM words w JOIN slots s ON s.ts[s.i] = w.q[1] WHERE s.ts[s.i:s.i + len(w.q) - 1] = w.q GROUP BY w.asked, s.id),
+scored AS (
+  SELECT h.asked, h.id, h.asked = x.name OR coalesce(h.asked = x.qualified_name, false) AS exact, x.file_id,
+    round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (len(x.a) + len(x.b)) / avg_len)), 9) AS score
+  FROM hits h JOIN held x USING (id) JOIN (SELECT asked, count(*) AS df FROM hits GROUP BY asked) d USING (asked), whole)"""
+
+
+def named(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Nodes with qualified names, and what is asked for: names, qualified names, names in another case, and module paths, which are phrases."""
+    g = star.graph(spark, sf_dir)
+    qualified = g.derived("qualified_names", lambda: contain.qualified_names(g.nodes, g.derived("parents", lambda: contain.parents(g.nodes))))
+    nodes = g.nodes.select("id", "name", "file_id").join(qualified, "id", "left")
+    asked = [
+        g.refs.where("id % 7 = 0").select("name"),
+        qualified.where("id % 11 = 0").select(F.col("qualified_name").alias("name")),
+        contain.definitions(g.nodes).where("id % 13 = 0").select(F.upper("name").alias("name")),
+        g.files.where("id % 17 = 0").select(F.regexp_replace("module", "^[a-z]+:", "").alias("name")),
+    ]
+    return nodes, reduce(DataFrame.unionByName, asked).distinct()
+
+
+@query("sea01_symbol_search", f"""{_NAMES}
+SELECT asked AS name, id AS node_id, exact, CAST(i AS INTEGER) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY exact DESC, score DESC, id) AS i FROM scored) WHERE i <= 20""")
+def _(spark, sf_dir):
+    nodes, asked = named(spark, sf_dir)
+    return search.search_symbols(nodes, asked)
+
+
+@query("sea02_federated_search", f"""{_NAMES},
+best AS (SELECT s.asked, s.id, s.exact, s.score, f.project_no, row_number() OVER (PARTITION BY s.asked, f.project_no ORDER BY s.exact DESC, s.score DESC, s.id) AS i FROM scored s JOIN files f ON f.id = s.file_id)
+SELECT asked AS name, project_no, id AS node_id, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY project_no, i) AS r FROM best WHERE i <= 20) WHERE r <= 20""")
+def _(spark, sf_dir):
+    nodes, asked = named(spark, sf_dir)
+    files = star.graph(spark, sf_dir).files.select(F.col("id").alias("file_id"), "project_no")
+    return search.federated(nodes.join(files, "file_id"), asked).select("name", "project_no", "node_id", "rank")
+
+
 @query("jon12_snapshot_diff", """
 SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'added' WHEN doc_id % 5 = 0 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 3 = 0""")
 def _(spark, sf_dir):
@@ -305,12 +356,15 @@ def _(spark, sf_dir):
     return incremental.upsert(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), ["user_id"], "o").select("user_id", "event_id")
 
 
-def occurrences(g: star.Graph) -> DataFrame:
+_TOOLS = {"scip-x": ("python", "go", "php", "typescript", "elisp"), "scip-go": ("go",), "scip-php": ("php", "hack"), "scip-none": ("cobol",)}
+
+
+def occurrences(g: star.Graph, tool: str = "scip-x", wanted: str = "true") -> DataFrame:
     """A made-up compiler's index: it defines what it saw, and names the only definition of a name at call sites that spell it."""
     defs = contain.definitions(g.nodes)
-    seen = defs.where("id % 10 <> 3").select(F.lit("scip-x").alias("tool"), "file_id", "start_byte", "end_byte", F.concat(F.lit("s "), F.col("id").cast("string")).alias("symbol"), F.lit(True).alias("definition"))
+    seen = defs.where(f"id % 10 <> 3 AND ({wanted})").select(F.lit(tool).alias("tool"), "file_id", "start_byte", "end_byte", F.concat(F.lit("s "), F.col("id").cast("string")).alias("symbol"), F.lit(True).alias("definition"))
     one = defs.groupBy("name").agg(F.min("id").alias("d_id"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    used = g.refs.join(one, "name").select(F.lit("scip-x").alias("tool"), "file_id", F.col("site").alias("start_byte"), (F.col("site") + 5).alias("end_byte"), F.concat(F.lit("s "), F.col("d_id").cast("string")).alias("symbol"), F.lit(False).alias("definition"))
+    used = g.refs.where(wanted).join(one, "name").select(F.lit(tool).alias("tool"), "file_id", F.col("site").alias("start_byte"), (F.col("site") + 5).alias("end_byte"), F.concat(F.lit("s "), F.col("d_id").cast("string")).alias("symbol"), F.lit(False).alias("definition"))
     return seen.unionByName(used)
 
 
@@ -319,27 +373,55 @@ one AS (SELECT name, min(id) AS d_id FROM defs GROUP BY name HAVING count(*) = 1
 decided AS (SELECT a.id AS ref_id, min(d_id) AS dst FROM r a JOIN r b ON a.file_id = b.file_id AND a.site = b.site JOIN one ON one.name = b.name WHERE a.kind = 'CALLS' AND d_id % 10 <> 3 GROUP BY a.id)"""
 
 
-@query("ovl03_coverage", f"""{O.WITH} SELECT 'scip-x' AS tool, round(count(DISTINCT file_id) / (SELECT count(*) FROM files), 6) AS files, round(count(*) FILTER (WHERE seen) / (SELECT count(*) FROM defs), 6) AS definitions,
-  round(count(DISTINCT file_id) / (SELECT count(*) FROM files), 6) < 0.6 OR round(count(*) FILTER (WHERE seen) / (SELECT count(*) FROM defs), 6) < 0.4 AS refused
-FROM (SELECT file_id, true AS seen FROM defs WHERE id % 10 <> 3 UNION ALL SELECT file_id, false FROM refs WHERE name IN (SELECT name FROM defs GROUP BY name HAVING count(*) = 1))""")
+@query("ovl03_coverage", f"""{O.WITH}, tools(tool, lang) AS (VALUES {", ".join(f"('{t}', '{lang}')" for t, langs in _TOOLS.items() for lang in langs)}),
+seen AS (
+  SELECT t.tool, o.file_id, o.seen FROM (VALUES ('scip-x', 1, 0), ('scip-go', 1, 0), ('scip-php', 5, 2), ('scip-none', 1, 0)) t(tool, m, r)
+  JOIN (SELECT file_id, true AS seen FROM defs WHERE id % 10 <> 3 UNION ALL SELECT file_id, false FROM refs WHERE name IN (SELECT name FROM defs GROUP BY name HAVING count(*) = 1)) o ON o.file_id % t.m = t.r),
+own AS (SELECT tool, f.id AS file_id FROM files f JOIN tools USING (lang)),
+census AS (SELECT tool, count(*) AS f, sum((SELECT count(*) FROM defs d WHERE d.file_id = own.file_id)) AS d FROM own GROUP BY tool),
+met AS (SELECT tool, count(DISTINCT file_id) AS f, count(*) FILTER (WHERE seen) AS d FROM seen SEMI JOIN own USING (tool, file_id) GROUP BY tool),
+shares AS (SELECT tool, CASE WHEN c.f > 0 THEN round(coalesce(m.f, 0) / c.f, 6) ELSE 0 END AS files, CASE WHEN c.d > 0 THEN round(coalesce(m.d, 0) / c.d, 6) ELSE 0 END AS definitions FROM (SELECT DISTINCT tool FROM seen) LEFT JOIN census c USING (tool) LEFT JOIN met m USING (tool))
+SELECT *, files < 0.6 OR definitions < 0.4 AS refused FROM shares""")
 def _(spark, sf_dir):
     g = star.graph(spark, sf_dir)
-    return overlay.coverage(g, occurrences(g))
+    seen = occurrences(g).unionByName(occurrences(g, "scip-go")).unionByName(occurrences(g, "scip-php", "file_id % 5 = 2")).unionByName(occurrences(g, "scip-none"))
+    return overlay.coverage(g, seen, overlay.languages_of(spark, _TOOLS))
 
 
-@query("ovl06_exact_calls", f"""{O.WITH}{O.LINKS}{_OVERLAY}
-SELECT ref_id, src, dst, evidence, candidate_count FROM links WHERE kind = 'CALLS' AND ref_id NOT IN (SELECT ref_id FROM decided)
-UNION ALL SELECT ref_id, coalesce(e.enclosing, r.file_id), dst, 'scip', 1 FROM decided JOIN r ON r.id = ref_id LEFT JOIN enclosing e USING (ref_id)""")
+@query("ovl05_upgraded_nodes", f"""{O.WITH}
+SELECT id, name, CASE WHEN u AND id % 3 = 0 AND id % 4 = 1 THEN 'method' WHEN u AND id % 3 = 0 AND id % 4 = 2 THEN 'field' ELSE kind END AS kind, CASE WHEN u AND id % 3 < 2 THEN 'about ' || id ELSE '' END AS doc,
+  CASE WHEN u AND id % 3 < 2 THEN 's ' || id ELSE '' END AS qualified_name, CASE WHEN u THEN 'scip' ELSE '' END AS tier
+FROM (SELECT *, kind <> 'module' AND id % 10 <> 3 AS u FROM nodes)""")
 def _(spark, sf_dir):
     g = star.graph(spark, sf_dir)
-    return overlay.calls(g, traverse.links(g).where("kind = 'CALLS'"), occurrences(g)).select("ref_id", "src", "dst", "evidence", "candidate_count")
+    known = overlay.symbols(g, occurrences(g))
+    kind = F.when(F.col("id") % 4 == 1, 26).when(F.col("id") % 4 == 2, 15).otherwise(F.col("id") % 4 * 1000).cast("int")
+    tool = F.when(F.col("id") % 3 == 0, "scip-go").otherwise("scip-python")
+    infos = contain.definitions(g.nodes).where("id % 3 < 2").select(tool.alias("tool"), F.concat(F.lit("s "), F.col("id").cast("string")).alias("symbol"), kind.alias("kind"), F.concat(F.lit("about "), F.col("id").cast("string")).alias("doc"))
+    return overlay.upgraded(g.nodes, known, infos).select("id", "name", "kind", "doc", "qualified_name", "tier")
 
 
-@query("sea02_federated_counts", f"{O.WITH} SELECT project_no, count(DISTINCT f.id) AS files, count(d.id) AS definitions FROM files f LEFT JOIN defs d ON d.file_id = f.id GROUP BY project_no")
+@query("fil12_fresh_documents", f"{O.WITH} SELECT id AS file_id, path AS rel_path FROM files WHERE lang = 'go' AND id % 4 <> 1")
+def _(spark, sf_dir):
+    files = star.graph(spark, sf_dir).files
+    documents = files.where("lang = 'go'").select(F.col("path").alias("rel_path"), F.lit(100.0).alias("built")).unionByName(spark.createDataFrame([("gone.go", 100.0)], "rel_path string, built double"))
+    return overlay.fresh(documents, files.withColumn("mtime", F.when(F.col("id") % 4 == 1, 100.5).otherwise(100.0))).select("file_id", "rel_path")
+
+
+@query("fil13_build_units", f"{O.WITH} SELECT path, CASE WHEN lang = 'go' AND nation % 2 = 0 THEN 'n' || nation || '/p' || (id % 5) WHEN nation % 2 = 0 AND lang IN ('python', 'typescript', 'elisp') AND id % 6 <> 0 THEN 'n' || nation WHEN lang = 'go' AND nation % 2 = 1 THEN '' ELSE '' END AS unit FROM files")
+def _(spark, sf_dir):
+    even = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("unit"))
+    deeper = even.crossJoin(spark.range(5).select(F.concat(F.lit("/p"), F.col("id").cast("string")).alias("p"))).select(F.concat("unit", "p").alias("unit"))
+    units = even.unionByName(deeper).unionByName(spark.createDataFrame([("",)], "unit string"))
+    return overlay.owned(star.graph(spark, sf_dir).files.select("path"), units)
+
+
+@query("ovl06_exact_calls", f"""{O.WITH}{O.LINKS}{_OVERLAY}
+SELECT ref_id, src, dst, evidence, candidate_count FROM links WHERE kind = 'CALLS' AND ref_id NOT IN (SELECT ref_id FROM decided)
+UNION ALL SELECT ref_id, coalesce(e.enclosing, r.file_id), dst, 'scip', 1 FROM decided JOIN r ON r.id = ref_id LEFT JOIN enclosing e USING (ref_id)""")
 def _(spark, sf_dir):
     g = star.graph(spark, sf_dir)
-    defs = contain.definitions(g.nodes).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-    return g.files.join(defs, F.col("id") == F.col("file_id"), "left").groupBy("project_no").agg(F.count(F.lit(1)).alias("files"), F.sum(F.coalesce("n", F.lit(0))).alias("definitions"))
+    return overlay.calls(g, traverse.links(g).where("kind = 'CALLS'"), occurrences(g)).select("ref_id", "src", "dst", "evidence", "candidate_count")
 
 
 @query("win07_failing_twice", """

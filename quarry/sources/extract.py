@@ -148,14 +148,35 @@ def braces(text: str, lang: str) -> tuple[list, list, list]:
     return rows, refs, imports
 
 
+_SCRIPT = re.compile(r"(?is)<script\b([^>]*)>(.*?)</script>")
+_TYPED = re.compile(r"lang\s*=\s*[\"']?(?:ts|tsx)\b", re.IGNORECASE)
+#: Languages of pages and components, whose script blocks are read.
+HOSTS = frozenset({"vue", "svelte", "html"})
+
+
+def embedded(text: str) -> tuple[list, list, list]:
+    """The facts of every script block, at the places where they stand in the whole text."""
+    defs, refs, imports, read = [], [], [], False
+    for m in _SCRIPT.finditer(text):
+        try:
+            d, r, i = braces(m[2], "typescript" if _TYPED.search(m[1]) else "javascript")
+        except (ValueError, RecursionError):
+            continue
+        at, down = len(text[: m.start(2)].encode()), text.count("\n", 0, m.start(2))
+        defs += [(k, n, a + at, b + at, e + at, line + down) for k, n, a, b, e, line in d]
+        refs += [(k, n, receiver, member, own, site + at, line + down) for k, n, receiver, member, own, site, line in r]
+        imports += [(*x[:3], x[3] + down) for x in i]
+    return defs, refs, imports
+
+
 def facts(lang: str, text: str | None) -> tuple[str, list, list, list]:
     """(reason, definitions, references, imports). What was seen before at the same place is not repeated."""
     if text is None:
         return "unreadable", [], [], []
-    if lang != "python" and lang not in BRACES:
+    if lang != "python" and lang not in BRACES and lang not in HOSTS:
         return "no_parser", [], [], []
     try:
-        defs, refs, imports = python(text) if lang == "python" else braces(text, lang)
+        defs, refs, imports = python(text) if lang == "python" else embedded(text) if lang in HOSTS else braces(text, lang)
     except (SyntaxError, ValueError, RecursionError):
         return "query_failed", [], [], []
     refs = list({(r[0], r[1], r[5]): r for r in reversed(refs)}.values())[::-1]

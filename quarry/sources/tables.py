@@ -86,6 +86,13 @@ class Scratch:
             table.drop()
 
 
+class Given:
+    """A table that somebody else keeps."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+
 class Tables:
     """Tables of one source, each made when it is first asked for, and made anew when the source's files are others."""
 
@@ -93,7 +100,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, source: str, stamp: str = ""):
         self.spark, self.source, self.stamp = spark, source, stamp
-        self.made: dict[str, Stored] = {}
+        self.made: dict[str, Stored | Given] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, source: str, stamp: str = "") -> Tables:

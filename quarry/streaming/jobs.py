@@ -16,40 +16,53 @@ DELETE_AFTER_MS = 30_000
 
 
 class Queue(StatefulProcessor):
-    """One project's waiting job. Events (path; null: the whole tree) merge into it; a done event takes it off.
+    """One project's job. Events (path; null: the whole tree) merge into the one that waits, a taken event sends it to work, and a done event ends that.
 
-    Output: root, status (queued, merged, done) and paths, null for the whole tree.
+    Output: root, status (queued, merged, requeued: it waits while another runs, running, done) and paths, null for the whole tree.
+    State holds at most CAP paths: beyond them the job is the whole tree, and its paths go.
     """
 
     SCHEMA = "root string, status string, paths string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.whole = handle.getValueState("whole", "whole boolean")
+        self.running = handle.getValueState("running", "running boolean")
         self.paths = handle.getMapState("paths", "path string", "seen boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        status = "merged" if self.whole.exists() else "queued"
-        done = False
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        waiting, running = self.whole.exists(), self.running.exists()
+        whole = waiting and self.whole.get()[0]
+        held = set() if whole or not waiting else {k[0] for k in self.paths.keys()}
+        stored, status = set(held), None
         for pdf in rows:
             for kind, path in zip(pdf["kind"], pdf["path"]):
-                if kind == "done":
-                    done = True
-                elif path is None or pd.isna(path):
-                    self.whole.update((True,))
+                if kind == "taken":
+                    if waiting:
+                        yield self.row(key, "running", whole, held)
+                        waiting, whole, held, running, status = False, False, set(), True, None
+                elif kind == "done":
+                    running, status = False, "done" if not waiting else status
                 else:
-                    if not self.whole.exists():
-                        self.whole.update((False,))
-                    self.paths.updateValue((path,), (True,))
-        if done:
-            self.whole.clear()
-            self.paths.clear()
-            yield pd.DataFrame({"root": [key[0]], "status": ["done"], "paths": [None]})
-            return
-        held = sorted(k[0] for k in self.paths.keys())
-        if len(held) > CAP:
-            self.whole.update((True,))
-        every = self.whole.exists() and self.whole.get()[0]
-        yield pd.DataFrame({"root": [key[0]], "status": [status], "paths": [None if every else ",".join(held)]})
+                    status = "merged" if waiting else "requeued" if running else "queued"
+                    waiting = True
+                    if path is None or pd.isna(path):
+                        whole = True
+                    elif not whole:
+                        held.add(path)
+                    if whole or len(held) > CAP:
+                        whole, held = True, set()
+        for gone in stored - held:
+            self.paths.removeKey((gone,))
+        for new in held - stored:
+            self.paths.updateValue((new,), (True,))
+        self.whole.update((whole,)) if waiting else self.whole.clear()
+        self.running.update((True,)) if running else self.running.clear()
+        if status is not None:
+            yield self.row(key, status, whole or not waiting, held)
+
+    @staticmethod
+    def row(key, status: str, whole: bool, held: set[str]) -> pd.DataFrame:
+        return pd.DataFrame({"root": [key[0]], "status": [status], "paths": [None if whole else ",".join(sorted(held))]})
 
     def close(self) -> None:
         pass
@@ -64,18 +77,18 @@ class Deletions(StatefulProcessor):
         self.handle = handle
         self.due = handle.getValueState("due", "at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kinds = [k for pdf in rows for k in pdf["kind"]]
         if self.due.exists():
             self.handle.deleteTimer(self.due.get()[0])
             self.due.clear()
         if kinds and kinds[-1] == "gone":
-            at = timer_values.getCurrentProcessingTimeInMs() + DELETE_AFTER_MS
+            at = timerValues.getCurrentProcessingTimeInMs() + DELETE_AFTER_MS
             self.handle.registerTimer(at)
             self.due.update((at,))
         yield pd.DataFrame({"path": pd.Series(dtype=str), "deleted": pd.Series(dtype=bool)})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.due.clear()
         yield pd.DataFrame({"path": [key[0]], "deleted": [True]})
 

@@ -1,6 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
+from quarry import cli
 from quarry.operators import fleet, incremental, measure
+from quarry.sources import projects
 
 
 def rows(df):
@@ -28,6 +31,7 @@ def test_settings(spark):
     assert rows(fleet.inherited(projects, settings)) == [("p", "depth", "1"), ("p", "floor", "3"), ("q", "floor", "5")]
     keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
     assert rows(fleet.nearest_key(keys("depht", "flor"), keys("depth", "floor", "languages"))) == [("depht", "depth"), ("flor", "floor")]
+    assert rows(fleet.nearest_key(keys("flor", "q"), keys(*[f"known{i}" for i in range(1500)], "zfloor"))) == [("flor", "zfloor"), ("q", None)]
 
 
 def test_retention_and_ledger(spark):
@@ -52,3 +56,55 @@ def test_scores_and_digest(spark):
     assert got == {"a": (0.5, 0.5, 0.5), "b": (1.0, 1.0, 1.0), None: (0.666667, 0.666667, 0.666667)}
     one, same, other = (measure.digest(df, "g", "item").first()[0] for df in (truth, truth.orderBy(F.desc("item")).repartition(3), answer))
     assert one == same != other and len(one) == 16
+
+
+def test_settings_documents():
+    assert projects.settings('{"exclude": ["a/*"], "enabled": false}') == {"exclude": ["a/*"], "enabled": False} and projects.settings("") == {}
+    for text, why in (('{"exlude": []}', "exclude"), ('{"enabled": "yes"}', "true or false"), ('{"members": "x"}', "list"), ("[1]", "mapping"), ("{", "not valid")):
+        with pytest.raises(projects.ConfigError, match=why):
+            projects.settings(text, "here")
+
+
+def test_a_registry_of_claims(spark, tmp_path):
+    known = projects.Registry(spark, f"file://{tmp_path}/registry")
+    known.put(projects.claim(known.rows(), ["/r"], direct=True))
+    known.put(projects.claim(known.rows(), ["/a", "/b", "/r"], root="/r"))
+    got = {r.path: (r.roots, r.direct, r.enabled) for r in known.rows().collect()}
+    assert got == {"/r": ([], True, True), "/a": (["/r"], False, True), "/b": (["/r"], False, True)}
+    before = projects.digest(known.rows()).first()[0]
+    known.put(projects.mark_indexed(known.rows(), "/a", counts=(5, 4, 3), capabilities={"go": ["defs"]}))
+    known.put(projects.mark_indexed(known.rows(), "/a", error="broken"))
+    row = known.rows().where("path = '/a'").first()
+    assert (row.node_count, row.edge_count, row.resolved_edge_count, row.last_error, row.capabilities) == (5, 4, 3, "broken", {"go": ["defs"]}) and row.last_indexed > 0
+    assert projects.digest(known.rows()).first()[0] != before
+    assert projects.status(known.rows()).first()[:] == (3, 3, 1, 1, 1, 5, 4, 3)
+    assert {r.path for r in projects.release(known.rows(), "/b", "/r").collect()} == {"/r", "/a"}
+    left, dropped, released = projects.forget(known.rows(), ["/r"])
+    assert (left.count(), {r.path for r in dropped.collect()}, {r.path for r in released.collect()}) == (0, {"/r"}, {"/a", "/b"})
+    judged = known.rows().select("path", F.when(F.col("path") == "/a", "deleted").otherwise("live").alias("verdict"))
+    assert [r.path for r in known.prune(judged).collect()] == ["/a"] and {r.path for r in known.rows().collect()} == {"/r", "/b"}
+    with pytest.raises(ValueError, match="refused"):
+        known.prune(judged.withColumn("verdict", F.lit("deleted")))
+
+
+def test_command_line(spark, tmp_path):
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.py").write_text("def one():\n    two()\n\n\ndef two():\n    pass\n")
+    (root / "skip.py").write_text("def three():\n    two()\n")
+    (tmp_path / "settings").write_text('{"exclude": ["skip*"]}')
+    said = lambda *words: cli.run(spark, cli.parser().parse_args(["--home", f"file://{tmp_path}/home", *words]))
+    assert said("index", str(root), "--config", str(tmp_path / "settings"))["nodes"] == 3
+    assert [r["name"] for r in said("neighbors", str(root), "two")["results"]] == ["one"]
+    assert [r["name"] for r in said("find", str(root), "two")["results"]] == ["two"]
+    assert [r["name"] for r in said("blast-radius", str(root), "two", "--depth", "2")["results"]] == ["one"]
+    assert said("doctor", str(root))["files"] == [{"lang": "python", "tier": "symbols", "reason": "", "count": 1}]
+    assert said("status")["projects"] == 1
+    assert said("forget", str(root)) == {"dropped": [str(root)], "released": []} and said("status")["projects"] == 0
+
+
+def test_places_that_are_no_project(spark):
+    from quarry.functions import files as X
+
+    df = spark.createDataFrame([("/",), ("/tmp/",), ("file:/usr",), ("/home/me",), ("/home/me/x",), ("/data",)], "p string")
+    assert [r[0] for r in df.select(X.forbidden(F.col("p"), "/home/me/")).collect()] == [True, True, True, True, False, False]

@@ -1,11 +1,15 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import contain, incremental, measure, resolve, search, traverse
+from quarry.operators import contain, incremental, measure, overlay, resolve, search, traverse
 from quarry.plans import index
-from quarry.sources import extract, scip, star, tree
+from quarry.sources import catalog, extract, scip, star, tree
 
-CYCLE = {"a.py": "from b import beta\ndef alpha():\n    beta()\n", "b.py": "from c import gamma\ndef beta():\n    gamma()\n", "c.py": "from a import alpha\ndef gamma():\n    alpha()\n"}
+RING = {
+    "kitchen/oven.py": "from kitchen.plate import serve\n\ndef bake(dough):\n    return serve(dough)\n",
+    "kitchen/plate.py": "from kitchen.guest import eat\n\n\ndef serve(meal):\n    eat(meal)\n    eat(meal)\n",
+    "kitchen/guest.py": "import kitchen.oven as o\nfrom kitchen.oven import bake\n\ndef eat(meal):\n    if meal:\n        return bake(meal)\n",
+}
 TREE = {
     "pkg/core.py": "import os\nfrom pkg.util import thing as t\n\nclass Box:\n    def put(self):\n        return self.take()\n    def take(self):\n        return helper()\n\ndef helper():\n    return os.path.join('a')\n\ndef other():\n    return thing()\n",
     "pkg/util.py": "def thing():\n    pass\n",
@@ -24,23 +28,23 @@ def names(answer):
 
 
 @pytest.fixture(scope="module")
-def cycle(spark):
-    return graph_of(spark, CYCLE)[0]
+def ring(spark):
+    return graph_of(spark, RING)[0]
 
 
-def test_callers_and_blast_radius_of_a_cycle(spark, cycle):
-    assert names(index.neighbors(cycle, "gamma")) == ["beta"]
-    reached = index.blast_radius(cycle, "gamma", 8).rows.collect()
+def test_callers_and_blast_radius_of_a_ring(spark, ring):
+    assert names(index.neighbors(ring, "eat")) == ["serve"]
+    reached = index.blast_radius(ring, "eat", 8).rows.collect()
     assert len({r.node for r in reached}) == len(reached)
-    assert {"alpha", "beta"} <= {r.name for r in reached}
+    assert {"serve", "bake"} <= {r.name for r in reached}
     with pytest.raises(ValueError):
-        index.blast_radius(cycle, "gamma", 9)
+        index.blast_radius(ring, "eat", 9)
     with pytest.raises(ValueError, match="callers"):
-        index.neighbors(cycle, "gamma", "friends")
+        index.neighbors(ring, "eat", "friends")
 
 
-def test_answers_carry_gaps(spark, cycle):
-    answer = index.neighbors(cycle, "nobody")
+def test_answers_carry_gaps(spark, ring):
+    answer = index.neighbors(ring, "nobody")
     assert answer.rows.count() == 0 and answer.gaps and "python" in answer.capabilities
 
 
@@ -105,17 +109,122 @@ def test_symbols_are_ranked_before_the_cut(spark):
 
 
 def test_update_reads_changed_files_only_and_keeps_other_ids(spark):
-    g, old = graph_of(spark, CYCLE)
-    _, new = graph_of(spark, {"a.py": CYCLE["a.py"], "b.py": "def beta2():\n    pass\n", "d.py": "def delta():\n    pass\n"})
+    g, old = graph_of(spark, RING)
+    _, new = graph_of(spark, {"kitchen/oven.py": RING["kitchen/oven.py"], "kitchen/plate.py": "def wash():\n    pass\n", "cellar.py": "def wine():\n    pass\n"})
     fresh, changes = index.update(g, new, project="t")
-    assert {(r.path, r.change) for r in changes.collect()} == {("b.py", "changed"), ("c.py", "removed"), ("d.py", "added")}
-    assert {r.name for r in fresh.nodes.where("kind <> 'module'").collect()} == {"alpha", "beta2", "delta"}
-    assert {r.id for r in g.nodes.where("name = 'alpha'").collect()} == {r.id for r in fresh.nodes.where("name = 'alpha'").collect()}
-    hinted, changes = index.update(g, new, spark.createDataFrame([("d.py",), ("../x",), ("/y",)], "path string"), "t")
-    assert [(r.path, r.change) for r in changes.collect()] == [("d.py", "added")]
+    assert {(r.path, r.change) for r in changes.collect()} == {("kitchen/plate.py", "changed"), ("kitchen/guest.py", "removed"), ("cellar.py", "added")}
+    assert {r.name for r in fresh.nodes.where("kind <> 'module'").collect()} == {"bake", "wash", "wine"}
+    assert {r.id for r in g.nodes.where("name = 'bake'").collect()} == {r.id for r in fresh.nodes.where("name = 'bake'").collect()}
+    hinted, changes = index.update(g, new, spark.createDataFrame([("cellar.py",), ("../x",), ("/y",)], "path string"), "t")
+    assert [(r.path, r.change) for r in changes.collect()] == [("cellar.py", "added")]
     assert hinted.files.count() == 4
 
 
+def test_nests_are_followed_to_the_top(spark):
+    depth = 40
+    rows = [(i, 1, "class" if i == 0 else "function", f"f{i}", i * 10, i * 10 + 2, 10_000 - i) for i in range(depth + 1)]
+    nodes = spark.createDataFrame(rows, "id long, file_id long, kind string, name string, start_byte long, end_byte long, body_end long")
+    parents = contain.parents(nodes)
+    assert {r.id: r.class_id for r in contain.classes(nodes, parents).collect()} == {i: 0 for i in range(depth + 1)}
+    assert {r.id: r.qualified_name for r in contain.qualified_names(nodes, parents).collect()}[depth] == ".".join(f"f{i}" for i in range(depth + 1))
+    circle = spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long")
+    assert contain.classes(nodes.where("id IN (1, 2)"), circle).count() == 0
+
+
+def test_blast_radius_equals_a_plain_search(spark, ring):
+    for g in (ring, graph_of(spark, TREE)[0]):
+        steps = {}
+        for r in traverse.steps(g).rows().collect():
+            steps.setdefault(r.dst, set()).add(r.src)
+        expected = set()
+        for start in (r.id for r in g.nodes.collect()):
+            seen, level = {start}, {start}
+            for depth in range(1, 4):
+                level = {s for n in level for s in steps.get(n, ())} - seen
+                seen |= level
+                expected |= {(start, n, depth) for n in level}
+        assert {tuple(r) for r in traverse.blast_radius(traverse.steps(g), g.nodes.select("id"), 3).collect()} == expected
+    assert traverse.blast_radius(traverse.steps(ring), ring.nodes.select("id"), 0).count() == 0
+
+
+def test_a_kept_index_is_read_again_in_another_session(spark, tmp_path):
+    root, at = tmp_path / "tree", f"file://{tmp_path}/kept"
+    for name, text in TREE.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    first = index.index(spark, str(root), path=at)
+    other = spark.newSession()
+    again = index.reopen(other, at, str(root))
+    assert names(index.neighbors(again, "helper")) == names(index.neighbors(first, "helper")) == ["take"]
+    assert {r.kind for r in again.derived("edges", None).select("kind").distinct().collect()} >= {"CALLS", "DEFINES", "CONTAINS"}
+    assert index.index(spark, str(root), path=at).files.count() == 3 and catalog.Catalog(spark, at).versions().count() == 1  # nothing has changed
+    (root / "pkg/util.py").write_text("def thing():\n    return helper()\n")
+    changed = index.index(spark, str(root), path=at)
+    assert names(index.neighbors(changed, "helper", ambiguous=True)) == ["take", "thing"]
+    kept = catalog.Catalog(spark, at)
+    assert [r.version for r in kept.versions().collect()] == [2, 1] and kept.compact() == [1] and [r.version for r in kept.versions().collect()] == [2]
+    assert index.reopen(spark, at).files.count() == 3
+    catalog.ALGORITHM, before = "other", catalog.ALGORITHM
+    try:
+        with pytest.raises(catalog.Incompatible, match=before):
+            index.reopen(spark, at)
+    finally:
+        catalog.ALGORITHM = before
+    kept.wipe()
+    with pytest.raises(catalog.Incompatible):
+        kept.read()
+
+
+def test_scripts_in_pages_are_read():
+    text = "<p>é</p>\n<script lang='ts'>\nimport { a } from './m';\nfunction run() { a() }\n</script>\n<script>run()</script>"
+    for lang in ("vue", "svelte", "html"):
+        reason, defs, refs, imports = extract.facts(lang, text)
+        data = text.encode()
+        assert reason == "" and [d[1] for d in defs] == ["run"] and [r[1] for r in refs] == ["a", "run"] and imports == [("./m", "a", "", 3)]
+        assert data[defs[0][2] : defs[0][3]] == b"run" and defs[0][5] == 4 and all(data[r[5] :].startswith(r[1].encode()) for r in refs) and refs[1][6] == 6
+    assert extract.facts("vue", "<p></p>")[0] == "no_symbols"
+
+
+def test_an_index_is_laid_over_the_graph(spark, tmp_path):
+    g, snapshot = graph_of(spark, TREE)
+    text = TREE["pkg/core.py"]
+
+    def at(word, nth=0):
+        place = -1
+        for _ in range(nth + 1):
+            place = text.index(word, place + 1)
+        line = text.count("\n", 0, place)
+        return line, place - (text.rfind("\n", 0, place) + 1)
+
+    def said(word, symbol, roles, nth=0):
+        line, column = at(word, nth)
+        return encoded((8, encoded((1, line), (2, column), (3, column + len(word)))), (2, symbol.encode()), (3, roles))
+
+    info = encoded((1, b"s Box"), (3, b"A box."), (3, b"More."), (5, 26), (4, encoded((1, b"s helper"), (3, 1))))
+    doc = encoded((1, b"pkg/core.py"), *[(2, said(*x)) for x in (("Box", "s Box", 1), ("put", "s put", 1), ("take", "s take", 1, 1), ("helper", "s helper", 1, 1), ("other", "s other", 1), ("take", "s other", 0))], (3, info))
+    (tmp_path / "index.scip").write_bytes(encoded((1, encoded((2, encoded((1, b"scip-go"))))), (2, doc)))
+    documents = scip.documents(spark, str(tmp_path))
+    texts = snapshot.join(g.files.select("path", F.col("id").alias("file_id")), "path").select("file_id", F.col("content").cast("string").alias("text"))
+    tools = spark.createDataFrame([("scip-go", "python")], "tool string, lang string")
+    _, links, covered = overlay.ingest(g, documents, texts, traverse.links(g), tools)
+    assert covered.first().refused and round(covered.first().files, 2) == 0.33  # one file of three
+    assert not links.where("evidence = 'scip'").count()
+    small, _ = graph_of(spark, {"pkg/core.py": text})
+    nodes, links, covered = overlay.ingest(small, documents, texts.withColumn("file_id", texts["file_id"]), traverse.links(small), tools)
+    assert not covered.first().refused
+    box = nodes.where("name = 'Box'").first()
+    assert (box.kind, box.doc, box.qualified_name, box.tier) == ("method", "A box.\nMore.", "s Box", "scip")
+    name = {r.id: r.name for r in nodes.collect()}
+    assert {(name[r.src], name[r.dst], r.kind) for r in links.where("evidence = 'scip'").collect()} == {("put", "other", "CALLS"), ("Box", "helper", "IMPLEMENTS")}
+    assert overlay.fresh(documents.withColumn("built", F.lit(-1.0)), small.files).count() == 0
+
+
+def test_column_units_by_tool():
+    assert scip.encoding_of("scip-go", 0) == 1 and scip.encoding_of("any", 3) == 3
+    with pytest.raises(ValueError, match="scip-go"):
+        scip.encoding_of("any", 0)
+
+
 def test_hints_merge(spark):
     rows = [("r", "a"), ("r", "b"), ("r", "a"), ("w", None), ("w", "x")] + [("big", str(i)) for i in range(201)]
     got = {r.root: r.paths for r in incremental.merged_hints(spark.createDataFrame(rows, "root string, path string")).collect()}
@@ -193,7 +302,20 @@ def test_offsets():
     assert scip.byte_offset(text, 1, 2, 1) == 4 and scip.byte_offset(text, 7, 0) == 9
 
 
-def test_walks_never_visit_a_node_twice(spark, cycle):
-    start = cycle.nodes.where("name = 'gamma'").select("id")
-    rows = traverse.walk(cycle, start, 8).collect()
-    assert sorted(r.depth for r in rows) == [1, 2] and star.module_nodes(cycle.files).count() == 3
+def test_walks_see_a_node_once_at_its_least_depth(spark, ring):
+    start = ring.nodes.where("name = 'eat'").select("id")
+    rows = traverse.walk(ring, start, 8).collect()
+    assert sorted(r.depth for r in rows) == [1, 2] and star.module_nodes(ring.files).count() == 3
+    assert sorted(map(tuple, traverse.walk(ring, start, 0).collect())) == sorted(map(tuple, rows)) and {r.kind for r in rows} == {"CALLS"}
+    name = {r.id: r.name for r in ring.nodes.collect()}
+    assert {(name[r.node], r.depth) for r in traverse.walk(ring, start, 1, direction="down").collect()} == {("bake", 1)}
+    assert traverse.walk(ring, start, 2, kinds=("IMPLEMENTS",)).count() == 0
+    with pytest.raises(ValueError):
+        traverse.walk(ring, start, 9)
+
+
+def test_search_over_projects_takes_the_first_ones_first(spark):
+    rows = [(i, f"alpha x{i}", None, i % 3) for i in range(30)] + [(100, "alpha", None, 2), (200, "z", None, 0)]
+    nodes = spark.createDataFrame(rows, "id long, name string, qualified_name string, project_no int")
+    got = search.federated(nodes, spark.createDataFrame([("alpha",)], "name string"), 12).orderBy("rank").collect()
+    assert [r.project_no for r in got] == [0] * 10 + [1] * 2 and [r.rank for r in got] == list(range(1, 13))

@@ -5,7 +5,7 @@ from quarry.functions import files as X
 from quarry.functions import modules as M
 
 NAMES = [
-    ("src/app/orders.py", "python", "app.orders"), ("pkg/__init__.py", "python", "pkg"), ("src/x.py", "python", "x"), ("src/main/java/com/acme/Foo.java", "java", "com.acme.Foo"), ("lib/a/b.py", "python", "a.b"),
+    ("src/app/orders.py", "python", "app.orders"), ("pkg/__init__.py", "python", "pkg"), ("src/x.py", "python", "x"), ("src/main/java/com/acme/Foo.java", "java", "com.acme.Foo"), ("app/src/main/kotlin/com/acme/Foo.kt", "kotlin", "com.acme.Foo"), ("lib/a/b.py", "python", "a.b"),
     ("internal/billing/rates.go", "go", "package:internal/billing"), ("main.go", "go", "package:."), ("app/Models/Order.php", "php", "namespace:app/models/order"), ("web/ui/index.ts", "typescript", "relative:web/ui"),
     ("web/config.schema.ts", "typescript", "relative:web/config.schema"), ("index.ts", "typescript", "relative:."), ("a.py", "python", "a"), ("src.py", "python", "src"),
 ]

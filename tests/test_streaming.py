@@ -19,7 +19,11 @@ def test_queue_merges_while_a_job_waits(rocks, tmp_path):
     steps = [
         [("r", "saved", "a"), ("r", "saved", "b"), ("q", "saved", "x")],
         [("r", "saved", "c"), ("q", "saved", None)],
-        [("r", "done", None), ("q", "saved", "y")],
+        [("r", "taken", None), ("q", "saved", "y")],
+        [("r", "saved", "e")],
+        [("r", "done", None)],
+        [("r", "taken", None)],
+        [("r", "done", None)],
         [("r", "saved", "d")] + [("big", "saved", str(i)) for i in range(201)],
     ]
     source, seen = tmp_path / "events", []
@@ -31,8 +35,26 @@ def test_queue_merges_while_a_job_waits(rocks, tmp_path):
     got = {(i, root): (status, paths) for i, root, status, paths in seen}
     assert got[0, "r"] == ("queued", "a,b") and got[0, "q"] == ("queued", "x")
     assert got[1, "r"] == ("merged", "a,b,c") and got[1, "q"] == ("merged", None)
-    assert got[2, "r"] == ("done", None) and got[2, "q"] == ("merged", None)
-    assert got[3, "r"] == ("queued", "d") and got[3, "big"] == ("queued", None)
+    assert got[2, "r"] == ("running", "a,b,c") and got[2, "q"] == ("merged", None)
+    assert got[3, "r"] == ("requeued", "e") and (4, "r") not in got  # what waits goes on waiting
+    assert got[5, "r"] == ("running", "e") and got[6, "r"] == ("done", None)
+    assert got[7, "r"] == ("queued", "d") and got[7, "big"] == ("queued", None)
+
+
+def test_a_deletion_counts_when_nothing_comes_back(rocks, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "DELETE_AFTER_MS", 1500)
+    source, seen = tmp_path / "events", []
+    rocks.createDataFrame([("gone.py", "gone"), ("back.py", "gone"), ("back.py", "here")], "path string, kind string").coalesce(1).write.mode("append").json(str(source))
+    stream = jobs.deletions(rocks.readStream.schema("path string, kind string").json(str(source)))
+    run = stream.writeStream.foreachBatch(lambda df, n: seen.extend(tuple(r) for r in df.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(60):
+            if seen:
+                break
+            run.awaitTermination(1)
+    finally:
+        run.stop()
+    assert seen == [("gone.py", True)]
 
 
 def test_batches_are_routed_and_failures_stay_apart(spark):
