@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +54,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 class Stored:
     """A DataFrame written once: its lineage ends there, its size is known to later joins, and a lost executor costs nothing."""
 
+    #: Where tables are noted as they are made, if anybody asks for that.
+    noted: list[Stored] | None = None
+
     def __init__(self, df: DataFrame, codec: str = "zstd"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/quarry/{uuid.uuid4().hex}"
         save(df, self.path, codec)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if Stored.noted is not None:
+            Stored.noted.append(self)
 
     def drop(self) -> None:
         """Delete the table; only when nothing reads it any more."""
@@ -68,6 +74,16 @@ def store(df: DataFrame) -> DataFrame:
     return Stored(df).df
 
 
+@contextmanager
+def noted() -> Iterator[list[Stored]]:
+    """All tables that are stored within, by whomever, for a caller that will drop them when it has what it wants."""
+    before, Stored.noted = Stored.noted, []
+    try:
+        yield Stored.noted
+    finally:
+        Stored.noted = before
+
+
 class Scratch:
     """Tables for the length of one job: all of them are deleted at the end but those that were asked to stay."""
 

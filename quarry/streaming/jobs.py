@@ -43,7 +43,8 @@ class Queue(StatefulProcessor):
                 elif kind == "done":
                     running, status = False, "done" if not waiting else status
                 else:
-                    status = "merged" if waiting else "requeued" if running else "queued"
+                    if status in (None, "done"):  # what the first event of a batch meets
+                        status = "merged" if waiting else "requeued" if running else "queued"
                     waiting = True
                     if path is None or pd.isna(path):
                         whole = True
