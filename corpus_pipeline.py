@@ -1,11 +1,18 @@
-"""A corpus in five stages: each takes (spark, docs, sf_dir), works on all that the one before kept, and is written as Parquet and read again."""
+"""A corpus in five stages: each takes (spark, docs, sf_dir), works on all that the one before kept, and is written as Parquet and read again.
+
+A null or empty text passes the classifier at the weight of nothing known, has no line to lose, is no duplicate, is mixed in once and
+encodes to no id. Very long texts are read in pieces. Rows that repeat are one document to line dedup and one of them stays in near-dedup;
+ties go to the smaller doc_id, null last. Columns beside those of documents pass through all stages but the last, which returns doc_id,
+lang, source and the ids. An empty table gives an empty result at every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bpe, line_dedup, mixing, near_dedup, quality_resample
-from quarry.llm.common import read_table, written
+from quarry.llm.common import Written, read_table
+from quarry.sources.tables import noted
 
 STAGES = [
     ("quality classifier", quality_resample.stage),
@@ -20,9 +27,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+    """The last stage's rows. What a stage stored on its way is dropped once its result is written, and that result once the next one is."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with noted() as made:
+            kept = Written(stage(spark, docs, sf_dir))
+        for table in made:
+            if table is not kept:
+                table.drop()
+        if before:
+            before.drop()
+        docs, before = kept.df, kept
+    return STAGES[-1][1](spark, docs, sf_dir)
