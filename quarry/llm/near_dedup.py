@@ -6,10 +6,10 @@ only similar content. Texts that share a sketch are candidates; a banded alignme
 aligned in order, texts of a and b shingles are linked if m / (a + b - m) is at least 0.8.
 
 Equal texts (by words, letter case aside) are one node throughout. In a bucket of equal sketches every node is compared with the
-smallest one. Where that leaves several components in a bucket, its nodes are dealt into narrower buckets: of each node's shingles,
-rarest first, as many as a text of similarity 0.8 cannot all lack (prefix filter). Those buckets are treated alike, and only pairs
-across components that are still open then are compared, block by block. So a group of g copies costs about g comparisons, a
-passage that many texts share does not make pairs, and no pair that shares a sketch is left undecided.
+smallest one. Where that leaves several components in a bucket, its pairs across components are compared block by block, as long as it
+has at most WIDE nodes. The nodes of wider ones are dealt into narrower buckets first: of each node's shingles, rarest first, as many as
+a text of similarity 0.8 cannot all lack (prefix filter); those are treated alike. So a group of g copies costs about g comparisons, a
+passage that very many texts share does not make pairs, and no pair that shares a sketch is left undecided.
 
 With similarity 0.8, one sketch of SHINGLES shingles is shared with probability about 0.8 ** SHINGLES; SKETCHES of them miss a
 link with probability about 3e-6. Texts of few shingles have sketches of SHORT_SHINGLES as well or instead, so that a short text and
@@ -43,6 +43,8 @@ SKETCHES = 24
 SHORT_SHINGLES, SHORT, LONG = 2, 16, 12
 #: Nodes of a block when a bucket's remaining pairs are compared.
 BLOCK = 256
+#: Nodes of a bucket whose pairs are compared as they are; a wider one is narrowed first.
+WIDE = 4 * BLOCK
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]
 
@@ -271,12 +273,29 @@ def starred(members: DataFrame, seqs: DataFrame) -> DataFrame:
 
 
 def undecided(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, label) of buckets that hold several components; buckets of two are decided by their star."""
-    held = members.where("c > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    """(key, node, label, c) of buckets that hold several components; buckets of two are decided by their star."""
+    held = members.where("c > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "c")
     several = held.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     return held.join(several, "key", "left_semi")
 
 
+def decided(members: DataFrame, seqs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label) of all nodes that are linked with another."""
+    edges = scratch.keep(starred(members, seqs))
+    labels = components(edges)
+    open_ = scratch.keep(undecided(members, labels))
+    if open_.isEmpty():
+        return labels
+    edges = scratch.keep(edges.unionByName(remaining(open_.where(F.col("c") <= WIDE), seqs)))
+    wide = scratch.keep(open_.where(F.col("c") > WIDE).select("node").distinct())
+    if not wide.isEmpty():
+        held = scratch.keep(seqs.join(wide, "node", "left_semi"))
+        narrow = scratch.keep(gathered(prefixes(held)))
+        edges = scratch.keep(edges.unionByName(starred(narrow, held)))
+        edges = scratch.keep(edges.unionByName(remaining(undecided(narrow, components(edges)), held)))
+    return components(edges)
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, h, node, kept_id, kept_h, size) for each row of docs: which document of its class stays, and the class's number of rows."""
     rows = written(sketched(docs))
@@ -287,17 +306,7 @@ def classes(docs: DataFrame) -> DataFrame:
         members = scratch.keep(gathered(nodes.select("node", F.explode("keys").alias("key"))))
         places = nodes.select("node", "at").join(members.select("node").distinct(), "node", "left_semi")
         seqs = scratch.keep(sequences(docs, places))
-        edges = scratch.keep(starred(members, seqs))
-        labels = components(edges)
-        left = scratch.keep(undecided(members, labels).select("node").distinct())
-        if not left.isEmpty():
-            held = scratch.keep(seqs.join(left, "node", "left_semi"))
-            narrow = scratch.keep(gathered(prefixes(held)))
-            edges = scratch.keep(edges.unionByName(starred(narrow, held)))
-            labels = components(edges)
-            more = scratch.keep(remaining(undecided(narrow, labels), held))
-            if not more.isEmpty():
-                labels = components(edges.unionByName(more))
+        labels = decided(members, seqs, scratch)
     grouped = nodes.select("node", "at", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     kept = grouped.groupBy("label").agg(F.min("at").alias("kept"), F.sum("n").alias("size"))
     by_node = grouped.select("node", "label").join(kept, "label").select("node", "kept", "size")

@@ -134,7 +134,8 @@ def test_short_texts_one_word_apart_are_linked(spark):
     assert not missed
 
 
-def test_open_buckets_are_narrowed_without_losing_a_pair(spark, folder):
+def test_open_buckets_are_narrowed_without_losing_a_pair(spark, folder, monkeypatch):
+    monkeypatch.setattr(nd, "WIDE", 30)
     passage = prose(5, 60, 10_000)
     rows = [(i, f"{prose(1000 + i // 3, 40, 10_000)} {passage} {'x' if i % 3 else ''}", "en", "s", 1) for i in range(240)]  # 80 classes that share more than half of their text
     rows += [(1000 + i, f"{passage} {prose(9000 + i, 90, 10_000)}", "en", "s", 1) for i in range(300)]
