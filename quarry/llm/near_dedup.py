@@ -44,7 +44,7 @@ SHORT_SHINGLES, SHORT, LONG = 2, 16, 12
 #: Nodes of a block when a bucket's remaining pairs are compared.
 BLOCK = 256
 #: Nodes of a bucket whose pairs are compared as they are; a wider one is narrowed first.
-WIDE = 4 * BLOCK
+WIDE = 32 * BLOCK
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = (np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None]
 
