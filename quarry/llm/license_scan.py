@@ -122,7 +122,7 @@ def blocks(rows: DataFrame, ranks: DataFrame, templates: Sequence[Template]) ->
     inside = []
     for width in sorted({t.width for t in templates}):
         block = F.floor(at / width).cast("int")
-        cells = F.transform(F.when(block > 0, F.array(block, block - 1)).otherwise(F.array(block)), lambda b, width=width: F.struct(F.lit(width).alias("width"), b.alias("block")))
+        cells = F.transform(F.when(block > 0, F.array(block, block - 1)).otherwise(F.array(block)), lambda b: F.struct(F.lit(width).alias("width"), b.alias("block")))
         inside.append(F.when(F.col("word").isin(vocabulary(templates, width)), cells).otherwise(F.slice(cells, F.lit(1), F.lit(0))))
     dealt = found.join(F.broadcast(ranks), "word").select("h1", "h2", "rank", F.explode(F.concat(*inside)).alias("c")).select("h1", "h2", "c.width", "c.block", "rank")
     return dealt.groupBy("h1", "h2", "width", "block").agg(F.sort_array(F.collect_set("rank")).alias("held"))
