@@ -18,6 +18,8 @@ there is such a column, is the new length of a text that lost lines and stays as
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,11 +66,13 @@ def side_keys(line: Column, n: Column, m: Column) -> Column:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """A row for each line that is not blank: its place, 128-bit hash, length and side keys."""
-    own = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    # the hash stands below the explode: beside it, it would be computed from the whole text for every line
+    own = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     line, n = F.col("line"), F.col("n")
     none = F.array().cast("array<bigint>")
     return (
-        own.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
+        own.select("doc_id", "h", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
         .where(~blank(line))
         .withColumn("n", F.length(line))  # a column of its own, so that it is counted once and not in every key
         .select(
@@ -105,10 +109,10 @@ def window_texts(docs: DataFrame, found: DataFrame) -> DataFrame:
     )
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("h", F.xxhash64("text"))
+    picked = lambda x: F.transform(x["asked"], lambda a: F.struct(a.alias("a"), F.get(x["lines"], a["at"]["line_no"]).alias("line")))
     joined = (
         texts.join(asked, F.col("doc_id").eqNullSafe(F.col("a_doc")) & (F.col("h") == F.col("a_h")))
-        .withColumn("parts", lines_of(F.col("text")))
-        .select(F.explode(F.transform("asked", lambda a: F.struct(a.alias("a"), F.get(F.col("parts"), a["at"]["line_no"]).alias("line")))).alias("z"))
+        .select(F.explode(once(F.struct(lines_of(F.col("text")).alias("lines"), F.col("asked").alias("asked")), picked)).alias("z"))
         .select("z.a.*", "z.line")
     )
     line, n, m, j = (F.col(c) for c in ("line", "n", "m", "j"))
@@ -175,14 +179,28 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         )
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often the result looks into it: a lambda's variable is never spelled out again."""
+    return F.transform(F.array(value), use)[0]
+
+
+def without(text: Column, dropped: Column) -> Column:
+    """The text less its lines of these numbers; takes as long as the text and the numbers are, not their product."""
+
+    def left(x: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), x["dropped"])
+        return F.array_join(F.transform(numbers, lambda i: F.get(x["lines"], i)), "\n")
+
+    return once(F.struct(lines_of(text).alias("lines"), dropped.alias("dropped")), left)
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the dropped lines taken out of text; a document that loses every non-blank line goes."""
     gone = dropped_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h"), "dropped")
     own = packed(docs, F.col("doc_id").cast("long").alias("d_id"), F.xxhash64(F.col("text").cast("string")).alias("d_h"))
     joined = own.join(gone, F.col("d_id").eqNullSafe(F.col("g_id")) & (F.col("d_h") == F.col("g_h")), "left")
     old = F.col(ROW)["text"]
-    kept = F.array_join(F.filter(lines_of(old), lambda _, i: ~F.array_contains("dropped", i)), "\n")
-    left = joined.withColumn("left", F.when(F.col("dropped").isNull(), old).otherwise(kept)).where(F.col("dropped").isNull() | ~blank(F.col("left")))
+    left = joined.withColumn("left", F.when(F.col("dropped").isNull(), old).otherwise(without(old, F.col("dropped")))).where(F.col("dropped").isNull() | ~blank(F.col("left")))
     new = [F.col("left").alias("text")]
     if "n_chars" in docs.columns:
         was = F.col(ROW)["n_chars"]
