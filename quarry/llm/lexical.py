@@ -43,7 +43,7 @@ PAIRS = 50_000
 #: Items whose bounds are computed together.
 TOGETHER = 64
 #: Entries of a task's share of the arranged documents.
-SHARE = 2_000_000
+SHARE = 500_000
 MARGIN = 1e-9
 #: Bytes of terms keep their value, A-Z in lower case; all others separate. Bytes from 0x80 on belong to code points above 0x7F.
 _TERM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
