@@ -109,3 +109,22 @@ def test_pipeline_end_to_end(spark, folder):
     assert set(range(60)) <= ids[1] and not any(100 <= i < 200 for i in ids[1])
     assert set(range(60)) <= ids[2]
     assert ids[4] == ids[3] and {400, 401} <= ids[4]
+
+
+def test_near_copies_go_in_their_stage(spark):
+    """The stage on its own input: line dedup before it cuts from a near copy the lines that it shares, and so decides most of them."""
+    stage = dict(corpus_pipeline.STAGES)["MinHash near-dedup"]
+    rows = [(i, prose(i, 120, 3000) + "\n" + prose(i + 500, 60, 3000), "en", f"s{i % 3}", 1) for i in range(60)]
+    rows += [(200 + i, rows[i][1].replace("w1", "v", 3), "en", "s1", 1) for i in range(5)]
+    assert {r.doc_id for r in stage(spark, spark.createDataFrame(rows, DOCS), "").collect()} == set(range(60))
+
+
+def test_pipeline_of_an_empty_table_and_clashing_columns(spark, empty, clashing, folder):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    path = folder(labels=labels)
+    for docs in (empty, clashing):
+        left = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, path)
+            assert left.columns == docs.columns, name
+        assert (corpus_pipeline.STAGES[-1][1](spark, left, path).count() == 0) == docs.isEmpty()
