@@ -13,7 +13,9 @@ bin a query is multiplied with the runs of cells that it visits, not with the ot
 Defined cases: vectors that are null, all zero, of another length than most of the sample, or that hold a null or non-finite
 component take no part, nor do rows without an id; rows that repeat an id and vector count once; an id with several vectors is
 asked with each, and its list has each other id once, by its best score; ties go to the smaller id; fewer candidates than asked for
-are all returned; an empty table gives an empty result; extra columns are ignored.
+are all returned; an empty table gives an empty result; extra columns are ignored. Finite vectors of any magnitude take part: the index works
+on vectors scaled by one power of two, products on queries scaled by one each, so nothing overflows on the way. A score of infinity says that
+the inner product itself is beyond the doubles; such rows stay in the order of their true products.
 """
 
 from __future__ import annotations
@@ -42,6 +44,16 @@ BIN = 20_000
 QUERIES = 2_000  # of a group, about
 
 
+#: What rounding may hide, in parts of the largest product that could have been.
+NOISE = 1e-9
+
+
+def scaled(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row by a power of two, so that its products with any finite doubles are finite; and the power that was taken out."""
+    shift = np.frexp(np.abs(q).max(axis=1))[1] + math.ceil(math.log2(q.shape[1])) + 1
+    return np.ldexp(q, -shift[:, None]), shift
+
+
 def usable(table: DataFrame) -> DataFrame:
     """(vec_id, v, h1, h2): vectors in double precision; h1 and h2 are a 128-bit hash, equal for equal vectors."""
     v = F.transform(F.col("embedding"), lambda x: x.cast("double") + F.lit(0.0))  # no negative zero
@@ -84,13 +96,21 @@ class Index:
 
     def __init__(self, sample: np.ndarray, k: int):
         self.half, self.k = sample.shape[1] // 2, k
+        self.shift = int(np.frexp(np.abs(sample).max())[1])
+        sample = self.own(sample)
         self.first, self.second = along_axis(codebook(sample[:, : self.half], k)), along_axis(codebook(sample[:, self.half :], k))
 
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """Vectors in the index's scale; those far above all of the sample are held at its edge, which decides only their cell."""
+        return np.clip(np.ldexp(x, -self.shift), -(2.0**100), 2.0**100)
+
     def cells(self, x: np.ndarray) -> np.ndarray:
+        x = self.own(x)
         return nearest(x[:, : self.half], self.first) * self.k + nearest(x[:, self.half :], self.second)
 
     def sums(self, q: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Nearness of each query to each cell: the sum of its inner products with both centroids."""
+        q = self.own(q)
         return (q[:, : self.half] @ self.first.T)[:, cells // self.k] + (q[:, self.half :] @ self.second.T)[:, cells % self.k]
 
     def walk(self, q: np.ndarray, counts: np.ndarray, enough: int) -> tuple[np.ndarray, float]:
@@ -99,6 +119,7 @@ class Index:
         The heap has the next STEP cells of each row of centroid pairs that has begun, by the nearest of them; what is popped is complete
         down to the nearest that is still on the heap.
         """
+        q = self.own(q)
         a, b = self.first @ q[: self.half], self.second @ q[self.half :]
         rows, columns = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
         a, b = a[rows], b[columns]
@@ -134,7 +155,7 @@ def share(index: Index, sample: np.ndarray, recall: float = RECALL, near: int =
     q = sample[np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(int)]
     near = min(near + 1, len(sample))  # the query itself is found as well
     cells = index.cells(sample)
-    best = np.argpartition(-(q @ sample.T), near - 1, axis=1)[:, :near]
+    best = np.argpartition(-(scaled(q)[0] @ sample.T), near - 1, axis=1)[:, :near]
     order = np.argsort(-index.sums(q, cells), axis=1, kind="stable")
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(len(sample))[None, :].repeat(len(q), 0), 1)
@@ -207,14 +228,17 @@ def search(table: DataFrame, every: int = 20, near: int = 20) -> DataFrame:
     offered = placed.join(groups, "bin").select("h1", "h2", "first_id", "v", "cell", "bin", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["q1", "q2", "h1", "h2", "first_id", "score"]
+        names = ["q1", "q2", "h1", "h2", "first_id", "score", "shift"]
         if left.empty or right.empty:
             return pd.DataFrame({n: pd.Series(dtype="float64" if n == "score" else "int64") for n in names})
         right = right.sort_values("cell", kind="stable")
         x, q, cell = np.stack(right["v"].to_numpy()), np.stack(left["q"].to_numpy()), right["cell"].to_numpy()
         ids, (q1, q2, h1, h2) = right["first_id"].to_numpy(), (t[c].to_numpy() for t, c in ((left, "q1"), (left, "q2"), (right, "h1"), (right, "h2")))
         cells, start = np.unique(cell, return_index=True)
-        seen = index.sums(q, cells) >= left["least"].to_numpy()[:, None] - 1e-9
+        sums = index.sums(q, cells)
+        seen = sums >= (left["least"].to_numpy() - NOISE * (np.abs(left["least"].to_numpy()) + np.abs(sums).max(axis=1)))[:, None]
+        q, shift = scaled(q)
+        noise = NOISE * np.abs(q).sum(axis=1) * np.abs(x).max()
         met, scores, rows_ = [], [], []
         for run in np.split(np.arange(len(cells)), np.flatnonzero(np.diff(start // RUN)) + 1):
             asks = np.flatnonzero(seen[:, run].any(axis=1))
@@ -226,7 +250,7 @@ def search(table: DataFrame, every: int = 20, near: int = 20) -> DataFrame:
             if len(at) > near + 1:
                 best = np.argpartition(-score, near, axis=1)[:, : near + 1]
                 # as many as tie with the last one, within what rounding may hide
-                bar = np.take_along_axis(score, best, 1).min(axis=1) - 1e-9
+                bar = np.take_along_axis(score, best, 1).min(axis=1) - noise[asks]
                 i, j = np.nonzero(score >= np.maximum(bar, np.finfo(float).min)[:, None])
             else:
                 i, j = np.nonzero(score > -np.inf)
@@ -239,7 +263,7 @@ def search(table: DataFrame, every: int = 20, near: int = 20) -> DataFrame:
         order = np.lexsort((-scores, met))
         met, rows_, scores = met[order], rows_[order], scores[order]
         begin = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
-        last = scores[np.minimum(begin + near, np.concatenate([begin[1:], [len(met)]]) - 1)] - 1e-9
+        last = scores[np.minimum(begin + near, np.concatenate([begin[1:], [len(met)]]) - 1)] - noise[met[begin]]
         some = scores >= np.repeat(last, np.diff(np.concatenate([begin, [len(met)]])))
         met, rows_ = met[some], rows_[some]
         exact = np.concatenate([(x[rows_[k : k + 4096]] * q[met[k : k + 4096]]).sum(axis=1) for k in range(0, len(met), 4096)])  # the same sum wherever the row stands
@@ -249,9 +273,9 @@ def search(table: DataFrame, every: int = 20, near: int = 20) -> DataFrame:
         place = np.arange(len(met)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(met)]])))
         some = place <= near
         met, rows_, exact = met[some], rows_[some], exact[some]
-        return pd.DataFrame(dict(zip(names, (q1[met], q2[met], h1[rows_], h2[rows_], ids[rows_], exact))))
+        return pd.DataFrame(dict(zip(names, (q1[met], q2[met], h1[rows_], h2[rows_], ids[rows_], exact, shift[met].astype(np.int64)))))
 
-    found = asked.groupBy("bin", "part").cogroup(offered.groupBy("bin", "part")).applyInPandas(rank, "q1 long, q2 long, h1 long, h2 long, first_id long, score double")
+    found = asked.groupBy("bin", "part").cogroup(offered.groupBy("bin", "part")).applyInPandas(rank, "q1 long, q2 long, h1 long, h2 long, first_id long, score double, shift long")
 
     def top(df: DataFrame, n: int, by: list[str], *order) -> DataFrame:
         return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
@@ -263,9 +287,12 @@ def search(table: DataFrame, every: int = 20, near: int = 20) -> DataFrame:
     listed = top(best.join(few, ["h1", "h2"]), near + 1, ["q1", "q2"], F.desc("score"), "vec_id").drop("rank", "h1", "h2")
     asking = ids.where(F.col("vec_id") % every == 0).select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("vec_id").alias("query_id"))
     # an id of several vectors is found or asked with each of them: its best score counts
-    met = asking.join(listed, ["q1", "q2"]).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = top(met, near, ["query_id"], F.desc("score"), "vec_id")
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    half = F.floor(F.col("shift") / 2)
+    true = F.col("score") * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), F.col("shift") - half)
+    beyond = F.when(F.abs(true) == F.lit(float("inf")), F.col("score"))  # what orders scores that no double can hold
+    both = asking.join(listed, ["q1", "q2"]).where("vec_id <> query_id").select("query_id", "vec_id", F.struct(true.alias("score"), beyond.alias("beyond")).alias("s"))
+    ranked = top(both.groupBy("query_id", "vec_id").agg(F.max("s").alias("s")), near, ["query_id"], F.desc("s"), "vec_id")
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "s.score")
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Audit of how far the sources of a language diverge: CountVectorizer vectors, sums by group, sparse evaluation of pairs.
 
-Terms are tagged with their document's lang, so one ``CountVectorizer`` (minDF, vocabSize the largest integer) fits the vocabularies of all
-languages in one pass, each with exactly the terms in at least MIN_DF of its documents, however many languages there are. The sparse vectors
-of the documents are added up by lang, source and index, and what follows works on these sums.
+Terms are tagged with their document's lang, so one ``CountVectorizer`` (minDF, vocabSize the largest integer) holds the vocabularies of all
+languages, each with exactly the terms in at least MIN_DF of its documents, however many languages there are. The sparse vectors of the
+documents are added up by lang, source and index, and what follows works on these sums.
 
 A group's share of a term is p = 1 + floor(SCALE * (count + 1) / (N + V)), and two shares p, q diverge by floor((p - q) ** 2 / q). Pairs of
 sources are evaluated sparsely: D(g, h) = V * f(p0, q0) + sum over g's terms of f(p, q0) - f(p0, q0) + sum over h's terms of f(p*, q) - f(p*, q0)
@@ -20,8 +20,11 @@ long texts are one array of words in one row; ties rank by item in UTF-8 order;
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,36 +36,125 @@ MIN_DF, SCALE, TERM_RANKS = 3, 1_000_000_000, 200
 #: Tagged terms that a model may hold; more stay in a table.
 MAX_TERMS = 1_000_000
 ENTRIES, BLOCK = 20_000, 256
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Entries of sums that a task holds before it hands them on.
+HELD = 1_000_000
+#: Terms in the documents of a bucket of sums, about, and the number of buckets at most.
+BUCKET, MOST_BUCKETS = 2_000_000, 2_048
 #: Between lang and term; no term holds it, so the last one in a tagged term is this one.
-TAG = " "
+TAG = b" "
+#: Bytes of terms keep their value, A-Z in lower case; all others separate. Bytes from 0x80 on belong to code points above 0x7F.
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def terms_of(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms): a document's terms, each tagged with its lang."""
+    """(lang, source, terms, n): a document's terms, each tagged with its lang, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                starts, terms = [0], []
+                for lang, text in zip(part.column(0), part.column(2)):
+                    tag = lang.as_py() + TAG
+                    terms += [tag + w for w in text.as_py().translate(_LETTERS).split()]
+                    starts.append(len(terms))
+                flat = pa.concat_arrays([pa.array(terms[k : k + 1_000_000], pa.binary()) for k in range(0, max(1, len(terms)), 1_000_000)]).view(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0).view(pa.string()), part.column(1), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), flat), pa.array(np.diff(starts).astype(np.int32))], ["lang", "source", "terms", "n"])
+
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    words = F.regexp_extract_all(F.translate(plain("text"), UPPER, LOWER), F.lit(TERM), 0)
-    return docs.select(plain("lang").alias("lang"), plain("source").alias("source"), words.alias("words")).select(
-        "lang", "source", F.transform("words", lambda w: F.concat(F.col("lang"), F.lit(TAG), w)).alias("terms")
-    )
+    return docs.select(plain("lang").cast("binary").alias("lang"), plain("source").alias("source"), plain("text").cast("binary").alias("text")).mapInArrow(run, "lang string, source string, terms array<string>, n int")
 
 
 def vocabulary(documents: DataFrame) -> DataFrame:
     """(term, lang) of the tagged terms in at least MIN_DF documents of their lang."""
     each = documents.select(F.explode(F.array_distinct("terms")).alias("term"))
     found = each.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= MIN_DF).select("term")
-    return found.withColumn("lang", F.expr(f"left(term, length(term) - length(substring_index(term, '{TAG}', -1)) - 1)"))
+    return found.withColumn("lang", F.expr("left(term, length(term) - length(substring_index(term, ' ', -1)) - 1)"))
+
+
+class Sums:
+    """Counts by key, a group's number << 31 | a term's index, as sorted arrays."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[str, str], int] = {}
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def groups(self, names: Iterable[tuple[str, str]]) -> np.ndarray:
+        return np.array([self.numbers.setdefault(n, len(self.numbers)) for n in names], np.int64)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        keys, counts = np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+    def batch(self, at: np.ndarray | slice, names: list[str]) -> pa.RecordBatch:
+        """(lang, source, index, c) of the entries at these places."""
+        known = list(self.numbers)
+        own = pa.array(self.keys[at] >> 31)
+        columns = [pa.array([n[k] for n in known], pa.string()).take(own) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array((self.keys[at] & (2**31 - 1)).astype(np.int32)), pa.array(self.counts[at])], names)
+
+
+ENTRY = ["lang", "source", "index", "c"]
+
+
+def summed(vectors: DataFrame, buckets: int) -> DataFrame:
+    """(lang, source, index, c): sparse vectors (lang, source, indices, values) added up by group.
+
+    A task adds up what it reads and hands it on as one row of arrays for each bucket of indices; a bucket's rows are added up as they arrive,
+    so it holds its own sums alone, terms by groups, however many documents there are.
+    """
+
+    def cut(sums: Sums) -> Iterator[pa.RecordBatch]:
+        of = (sums.keys & (2**31 - 1)) % buckets
+        order = np.argsort(of, kind="stable")
+        found, first = np.unique(of[order], return_index=True)
+        names = list(sums.numbers)
+        for bucket, at in zip(found, np.split(order, first[1:])):
+            own, code = np.unique(sums.keys[at] >> 31, return_inverse=True)
+            arrays = [[[names[g][k] for g in own]] for k in (0, 1)]
+            packed = [[code.astype(np.int32).tobytes()], [(sums.keys[at] & (2**31 - 1)).astype(np.int32).tobytes()], [sums.counts[at].tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket)], pa.int32()), *[pa.array(a, pa.list_(pa.string())) for a in arrays], *[pa.array(x, pa.binary()) for x in packed]], ["bucket", "langs", "sources", "own", "index", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
+        for batch in batches:
+            group = sums.groups(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            keys = np.repeat(group, np.diff(batch.column(2).offsets.to_numpy())) << 31 | batch.column(2).flatten().to_numpy()
+            sums.add(keys, batch.column(3).flatten().to_numpy().astype(np.int64))
+            if len(sums.keys) > HELD:
+                yield from cut(sums)
+                sums = Sums()
+        yield from cut(sums)
+
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
+        for batch in batches:
+            for _, langs, sources, own, index, c in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                group = sums.groups(zip(langs, sources))
+                sums.add(group[np.frombuffer(own, np.int32)] << 31 | np.frombuffer(index, np.int32), np.frombuffer(c, np.int64))
+        for first in range(0, len(sums.keys), 50_000):
+            yield sums.batch(slice(first, first + 50_000), ENTRY)
+
+    rows = vectors.mapInArrow(run, "bucket int, langs array<string>, sources array<string>, own binary, index binary, c binary")
+    return rows.groupBy("bucket").applyInArrow(merge, "lang string, source string, index int, c long")
 
 
 def vector_sums(documents: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(lang, source, term, c): the documents' sparse count vectors, summed by group."""
-    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(MIN_DF), vocabSize=2**31 - 1).fit(documents)
+    """(lang, source, term, c): the documents' sparse count vectors, summed by group.
+
+    The vectorizer is fitted on the vocabulary's table, in which each term has its least number of documents, so that it learns what it would
+    learn from the corpus without reading that once more.
+    """
+    counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(MIN_DF), vocabSize=2**31 - 1)
+    model = counter.fit(vocab.select(F.explode(F.array_repeat(F.array("term"), MIN_DF)).alias("terms")))
     entries = F.unwrap_udt(F.col("vector"))
     vectors = model.transform(documents).select("lang", "source", entries.alias("v")).select("lang", "source", "v.indices", "v.values")
-    sums = vectors.select("lang", "source", F.explode(F.arrays_zip("indices", "values")).alias("e")).groupBy("lang", "source", F.col("e.indices").alias("index")).agg(F.sum(F.col("e.values").cast("long")).alias("c"))
     names = model.transform(vocab.select("term", F.array("term").alias("terms"))).select("term", F.unwrap_udt(F.col("vector"))["indices"][0].alias("index"))
-    return sums.join(names, "index").select("lang", "source", "term", "c")
+    buckets = min(MOST_BUCKETS, -(-(documents.agg(F.sum("n")).first()[0] or 1) // BUCKET))
+    return summed(vectors, buckets).join(names, "index").select("lang", "source", "term", "c")
 
 
 def table_sums(documents: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -112,14 +204,17 @@ def sparse_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(present):
             total[present] += np.add.reduceat(f(p, share_of) - f(p, absent[own]), bounds[present])
         out += [(source, sources[h], int(total[h]), int(base[g] * nothing[h])) for h in others]
-    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]] * len(out)} | {c: [r[i] for r in out] for i, c in enumerate(("source", "item", "part_sum", "base"))})
+    lang = pdf["lang"].iloc[0]
+    kinds = {"lang": object, "source": object, "item": object, "part_sum": np.int64, "base": np.int64}
+    return pd.DataFrame({c: pd.Series([(lang, *r)[i] for r in out], dtype=kind) for i, (c, kind) in enumerate(kinds.items())})
 
 
-def pairs(groups: DataFrame, entries: DataFrame) -> DataFrame:
+def pairs(groups: DataFrame, entries: DataFrame, scratch: Scratch) -> DataFrame:
     """(lang, source, item, value) of all ordered pairs of a language's sources."""
     sizes = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     chunks = entries.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / ENTRIES).cast("int").alias("chunks"))
-    plan = sizes.join(chunks, "lang", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    # a table of its own, so that its size is known and the rows of a very common lang need not meet
+    plan = scratch.keep(sizes.join(chunks, "lang", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))))
     heads = groups.join(plan, "lang").select("lang", "source", F.lit(None).cast("string").alias("term"), F.when(F.col("v") > 0, share(F.lit(0), F.col("n"), F.greatest("v", F.lit(1)))).otherwise(1).alias("p"), "v", "blocks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     held = entries.join(plan, "lang").select("lang", "source", "term", "p", F.lit(0).cast("long").alias("v"), "blocks", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int").alias("chunk"))
     dealt = heads.unionByName(held).withColumn("block", F.pmod(F.xxhash64("source"), F.col("blocks")).cast("int"))
@@ -132,23 +227,23 @@ def pairs(groups: DataFrame, entries: DataFrame) -> DataFrame:
 def audit(docs: DataFrame) -> DataFrame:
     """(lang, source, part, item, value, rank): see the module's docstring; part ``pair`` ranks sources, part ``term`` the terms a source holds above its lang."""
     with Scratch() as scratch:
-        documents = terms_of(docs)
+        documents = scratch.keep(terms_of(docs))
         vocab = scratch.keep(vocabulary(documents))
         n_terms = vocab.count()
         sums = scratch.keep((vector_sums if n_terms <= MAX_TERMS else table_sums)(documents, vocab))
         there = documents.select("lang", "source").distinct()
         sizes = sums.groupBy("lang", "source").agg(F.sum("c").alias("n"))
-        kept = vocab.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
+        kept = scratch.keep(vocab.groupBy("lang").agg(F.count(F.lit(1)).alias("v")))
         zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
         groups = scratch.keep(there.join(sizes, ["lang", "source"], "left").join(kept, "lang", "left").select("lang", "source", zero("n"), zero("v")))
         entries = sums.join(groups, ["lang", "source"]).withColumn("p", share(F.col("c"), F.col("n"), F.col("v"))).select("lang", "source", "term", "c", "p", "v")
         entries = scratch.keep(entries)
-        whole = groups.groupBy("lang").agg(F.sum("n").alias("all"))
-        totals = sums.groupBy("lang", "term").agg(F.sum("c").alias("t")).join(whole, "lang").join(kept, "lang").select("lang", "term", share(F.col("t"), F.col("all"), F.col("v")).alias("q"))
+        whole = scratch.keep(groups.groupBy("lang").agg(F.sum("n").alias("all"), F.max("v").alias("v")))
+        totals = sums.groupBy("lang", "term").agg(F.sum("c").alias("t")).join(whole, "lang").select("lang", "term", share(F.col("t"), F.col("all"), F.col("v")).alias("q"))
         above = entries.join(totals, ["lang", "term"]).where("p > q")
-        bare = F.substring_index("term", TAG, -1)
+        bare = F.substring_index("term", " ", -1)
         terms = above.select("lang", "source", F.lit("term").alias("part"), bare.alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
-        both = pairs(groups, entries).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
+        both = pairs(groups, entries, scratch).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
         order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
         ranked = terms.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TERM_RANKS).unionByName(both.withColumn("rank", F.row_number().over(order)))
         return Stored(ranked).df

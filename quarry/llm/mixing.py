@@ -163,6 +163,8 @@ def balance(sources: DataFrame, slack: float = SLACK, steps: int = 40) -> list[f
         else:
             break  # nothing lower in this direction: rounding error is all that is left
         b, (value, gradient, hessian) = b + share * step, there
+    if (left := np.abs(gradient).max()) > 1e-6 * total:
+        raise ArithmeticError(f"the dual was not solved in {steps} Newton steps: a band is {left:.3g} tokens of {total:.3g} off")
     return b.tolist()
 
 

@@ -162,9 +162,14 @@ def upper_bound(good: int, n: int, confidence: float = CONFIDENCE) -> float:
         return 1.0
 
     def at_most(p: float) -> float:
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, good - 20_000), good + 1)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
+        """The lower tail at a share above good / n: terms fall from the last one down, and are added until no more are felt."""
+        total, term, i = 1.0, 1.0, good
+        while i > 0 and term > 1e-18 * total:
+            k = np.arange(i, max(i - 65_536, 0), -1, dtype=float)
+            terms = term * np.cumprod(k / (n - k + 1) * ((1 - p) / p))
+            total, term, i = total + float(terms.sum()), float(terms[-1]), i - len(k)
+        last = math.lgamma(n + 1) - math.lgamma(good + 1) - math.lgamma(n - good + 1) + good * math.log(p) + (n - good) * math.log1p(-p)
+        return math.exp(last) * total
 
     lo, hi = good / n, 1.0
     for _ in range(50):

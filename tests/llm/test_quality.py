@@ -70,6 +70,9 @@ def test_upper_bound_is_exact():
         tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(good + 1))
         assert tail == pytest.approx(1 - q.CONFIDENCE, rel=1e-6)
     assert q.upper_bound(7, 7) == 1.0
+    # far more labels than the terms that are felt: the normal distribution's bound is as good there
+    n, good = 400_000_000, 300_000_000
+    assert abs(q.upper_bound(good, n) - (0.75 + 1.959964 * math.sqrt(0.75 * 0.25 / n))) < 1e-7
 
 
 def test_classes_are_told_apart_on_rows_without_labels(spark, folder):

@@ -87,6 +87,21 @@ def test_odd_vectors(spark, folder):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out) == [(0, 1, 5, 0.5), (0, 2, 20, -1.0), (20, 1, 5, -0.5), (20, 2, 0, -1.0)]
 
 
+def test_vectors_of_any_magnitude_take_part(spark, folder):
+    rng = np.random.default_rng(6)
+    plain = rng.normal(size=(200, 8))
+    expected = brute([(i, [float(x) for x in v], 0) for i, v in enumerate(plain.astype(np.float32))])
+    for n, power in enumerate((0, 500, 1000, -400)):
+        rows = [(i, [float(x) for x in np.ldexp(v.astype(np.float32).astype(float), power)], 0) for i, v in enumerate(plain)]
+        (spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).write.parquet(f"{(path := folder(**{f'x{n}': spark.range(1)}))}/v{n}.parquet")
+        out = {}
+        for r in ann.search(spark.read.parquet(f"{path}/v{n}.parquet")).collect():
+            out.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert {q: [v for _, v, _ in sorted(f)] for q, f in out.items()} == {q: [v for v, _ in f] for q, f in expected.items()}, power
+        big = [s for f in out.values() for _, _, s in f]
+        assert not np.isnan(big).any() and np.isinf(big).any() == (power == 1000)
+
+
 def test_no_vectors(spark, folder):
     assert ann.op8_query(spark, folder(embeddings=spark.createDataFrame([], VECTORS))).count() == 0
 
