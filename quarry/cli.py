@@ -72,7 +72,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         except Exception as error:  # the registry says how the pass ended; the caller hears of it too
             known.put(projects.mark_indexed(known.rows(), args.root, error=repr(error)[:500]))
             raise
-        edges = graph.derived("edges", lambda: index.derived(graph)["edges"])
+        edges = graph.derived("edges", None)
         counts = (graph.nodes.count(), edges.count(), edges.where("resolved").count())
         known.put(projects.mark_indexed(known.rows(), args.root, counts=counts, capabilities=index.capabilities(graph)))
         return dict(zip(("nodes", "edges", "resolved"), counts))
