@@ -1,5 +1,7 @@
 """The oracle's own reading of the rules, as SQL over the star schema: written from the rules, not from the engine's plans."""
 
+import re
+
 from quarry.sources.star import FACTS
 
 #: Modules as made up by the facts: known from where a file was put, without any rule of module identity.
@@ -12,6 +14,16 @@ placed AS (
 named AS (SELECT s.id, s.file_id, s.target, s.symbol, s.alias, p.module AS module_abs FROM spelled s JOIN placed p ON p.id = s.target),
 nodes AS (SELECT id, file_id, kind, name, start_byte, end_byte, body_end FROM defs UNION ALL SELECT id, id, 'module', module, 0, 0, 0 FROM placed)"""
 
+
+
+def within(files: str) -> str:
+    """WITH, for the definitions and references of some files alone: a condition on {}, a file's id. Imports and modules stay as they are."""
+    facts, rest = WITH.split(",\nplaced AS", 1)
+    facts = re.sub(r"\b(defs|refs)\b", r"\g<1>_of_all", facts)
+    few = ", ".join(f"{t} AS (SELECT * FROM {t}_of_all WHERE {files.format('file_id')})" for t in ("defs", "refs"))
+    return f"{facts},\n{few},\nplaced AS" + rest.replace("0, 0, 0 FROM placed)", f"0, 0, 0 FROM placed WHERE {files.format('id')})")
+
+
 CONTAIN = """,
 parent AS (
   SELECT a.id, arg_min(b.id, (b.body_end - b.start_byte) * 10000000000 + b.id) AS parent

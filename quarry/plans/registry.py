@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import files as X
 from quarry.operators import contain, fleet, incremental, measure, overlay, resolve, search, traverse
+from quarry.plans import index
 from quarry.plans import oracle as O
-from quarry.sources import star, tree
+from quarry.sources import star, tables, tree
 from quarry.streaming import health
 
 QUERIES: dict = {}
@@ -260,7 +261,10 @@ def _(spark, sf_dir):
   SELECT a.name, n.id AS node_id, true AS exact, row_number() OVER (PARTITION BY a.name ORDER BY n.id) AS i FROM a JOIN nodes n ON n.name = a.name) WHERE i <= 20""")
 def _(spark, sf_dir):
     g = star.graph(spark, sf_dir)
-    return search.find_symbol(g.nodes, g.refs.select("name").distinct())
+    nodes = g.nodes.select("id", "name", F.lit(None).cast("string").alias("qualified_name"))
+    found = search.scored_symbols(nodes, g.refs.select("name").distinct()).where("exact")
+    order = Window.partitionBy("asked").orderBy("id")
+    return found.withColumn("i", F.row_number().over(order)).where("i <= 20").select(F.col("asked").alias("name"), F.col("id").alias("node_id"), "exact")
 
 
 _NAMES = f"""{O.WITH}{O.CONTAIN},
@@ -302,6 +306,43 @@ def _(spark, sf_dir):
     return search.search_symbols(nodes, asked)
 
 
+#: The files that are left by the updates of replayed().
+LEFT = "({0} % 7 <> 0 OR {0} % 21 = 0)"
+
+
+def replayed(spark, sf_dir) -> tuple[star.Graph, star.Graph]:
+    """The graph of all files, and one that was kept and updated: some files first, then the others, then some taken away, then some of these again."""
+    g = star.graph(spark, sf_dir)
+    catalog = index.kept(spark, f"{tables.shared_dir(spark)}/quarry/replayed-{abs(hash((sf_dir, g.tables.stamp, spark.sparkContext.applicationId)))}")
+
+    def part(files: str) -> star.Graph:
+        own = [df.where(files.format(c)) for df, c in ((g.files, "id"), (g.nodes, "file_id"), (g.refs, "file_id"), (g.imports, "file_id"))]
+        return star.Graph(*own, tables.Tables(spark, ""))
+
+    if len(catalog.numbers()) < 4:
+        catalog.wipe()
+        index.save(part("{0} % 5 <> 0"), catalog.path)
+        for fresh, gone in (("{0} % 5 = 0", "false"), ("false", "{0} % 7 = 0"), ("{0} % 21 = 0", "false")):
+            before = index.reopen(spark, catalog.path)
+            index.renew(catalog, before, part(fresh), before.files.where(gone.format("id")).select("id"))
+    return g, index.reopen(spark, catalog.path)
+
+
+@query("snk05_kept_edges", f"{O.within(LEFT)}{O.LINKS} SELECT src, dst, kind, round(confidence, 4) AS confidence, evidence, candidate_count, resolved, ref_id FROM links")
+def _(spark, sf_dir):
+    return index.edges_of(replayed(spark, sf_dir)[1]).withColumn("confidence", F.round("confidence", 4))
+
+
+@query("snk06_kept_postings", f"""{_NAMES.replace(O.WITH, O.within(LEFT))}
+SELECT asked AS name, id AS node_id, exact, CAST(i AS INTEGER) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY exact DESC, score DESC, id) AS i FROM scored) WHERE i <= 20""")
+def _(spark, sf_dir):
+    g, now = replayed(spark, sf_dir)
+    qualified, modules = now.derived("qualified_names", None), F.regexp_replace("module", "^[a-z]+:", "").alias("name")
+    asked = [now.refs.where("id % 7 = 0").select("name"), qualified.where("id % 11 = 0").select(F.col("qualified_name").alias("name")), contain.definitions(now.nodes).where("id % 13 = 0").select(F.upper("name").alias("name")), g.files.where("id % 17 = 0").select(modules)]
+    nodes = now.nodes.select("id", "name").join(qualified, "id", "left")
+    return search.search_symbols(nodes, reduce(DataFrame.unionByName, asked).distinct(), 20, now.derived("postings", None), now.derived("posting_sizes", None))
+
+
 @query("sea02_federated_search", f"""{_NAMES},
 best AS (SELECT s.asked, s.id, s.exact, s.score, f.project_no, row_number() OVER (PARTITION BY s.asked, f.project_no ORDER BY s.exact DESC, s.score DESC, s.id) AS i FROM scored s JOIN files f ON f.id = s.file_id)
 SELECT asked AS name, project_no, id AS node_id, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY project_no, i) AS r FROM best WHERE i <= 20) WHERE r <= 20""")
