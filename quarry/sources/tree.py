@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import files as X
+from quarry.sources import tables
 
 #: Why a file yields less than its language promises (fixed values).
 REASONS = ("unreadable", "no_parser", "no_capability", "query_failed", "no_symbols")
 
 
-def snapshot(spark: SparkSession, root: str, exclude: list[str] | None = None, languages: list[str] | None = None) -> DataFrame:
-    """(path, size, mtime, sha256, lang, content) of every admitted file below a root, which any of Spark's file systems may hold.
+FOUND = "path string, modificationTime timestamp, length long, content binary"
+
+
+def found(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
+    """Files below a root, by Spark's reader; of some paths alone (a few, given by the caller) where they are named, as far as they are there."""
+    base = root.rstrip("/")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if only is None:
+        return reader.load(base)
+    there = [f"{base}/{p}" for p in only if tables.exists(spark, f"{base}/{p}")]
+    return reader.load(there) if there else spark.createDataFrame([], FOUND)
+
+
+def relative(root: str) -> Column:
+    """A file's path below its root."""
+    bare = root.rstrip("/").split(":", 1)[-1].lstrip("/")
+    return F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", ""), F.lit("^" + "".join(f"[{c}]" if c not in "^\\" else f"\\{c}" for c in bare) + "/"), F.lit(""))
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, mtime) of every file below a root; no content is read."""
+    return found(spark, root).select(relative(root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"))
+
+
+def snapshot(spark: SparkSession, root: str, exclude: list[str] | None = None, languages: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
+    """(path, size, mtime, sha256, lang, content) of every admitted file below a root, which any of Spark's file systems may hold, or of those among some paths.
 
     Files too large or of an unknown language are left out before their content is looked at; generated ones after.
     """
-    base = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    bare = base.split(":", 1)[-1].lstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", ""), F.lit("^" + "".join(f"[{c}]" if c not in "^\\" else f"\\{c}" for c in bare) + "/"), F.lit(""))
-    own = found.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), "content")
+    own = found(spark, root, only).select(relative(root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), "content")
     own = own.where(X.indexable(F.col("path"), F.col("size")) & ~X.excluded(F.col("path"), exclude or []))
     own = own.withColumn("lang", X.language(F.col("path")))
     if languages:
@@ -40,27 +61,6 @@ def texts(files: DataFrame) -> DataFrame:
     return files.withColumn("text", F.when(valid, text)).withColumn("reason", F.when(valid, "").otherwise("unreadable"))
 
 
-def listed_by_git(spark: SparkSession, root: str) -> DataFrame:
-    """(path): tracked files and untracked ones that are not ignored, of a local work tree and of the work trees inside it."""
-    import subprocess
-    from pathlib import Path
-
-    def below(folder: Path, prefix: str, depth: int) -> list[str]:
-        said = subprocess.run(["git", "-C", str(folder), "ls-files", "-z", "--cached", "--others", "--exclude-standard", "--stage"], capture_output=True, text=True)
-        other = subprocess.run(["git", "-C", str(folder), "ls-files", "-z", "--others", "--exclude-standard"], capture_output=True, text=True)
-        out = []
-        for entry in filter(None, said.stdout.split("\0")):
-            head, _, name = entry.partition("\t")
-            if head.startswith("160000"):
-                if depth < 4 and (folder / name).is_dir():
-                    out += below(folder / name, f"{prefix}{name}/", depth + 1)
-            elif name:
-                out.append(prefix + name)
-        return out + [prefix + n for n in other.stdout.split("\0") if n and not n.endswith("/")]
-
-    return spark.createDataFrame([(p,) for p in sorted(set(below(Path(root), "", 0)))], "path string")
-
-
 def scripts(pages: DataFrame, text: str) -> DataFrame:
     """pages with pos, attributes, script and first_line: each script block of a single-file component or page, and the line it starts on."""
     block = r"(?is)<script\b([^>]*)>(.*?)</script>"
