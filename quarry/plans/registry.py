@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from quarry.operators import contain, fleet, incremental, measure, overlay, reso
 from quarry.plans import index
 from quarry.plans import oracle as O
 from quarry.sources import star, tables, tree
-from quarry.streaming import health
+from quarry.streaming import changes, health, ledger
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -518,6 +519,38 @@ def _(spark, sf_dir):
     return fleet.ledger(rows, 50, errors_only=True).select("id", "error")
 
 
+@query("snk10_ledger_stream", ORACLE["srt07_ledger"])
+def _(spark, sf_dir):
+    book = ledger.Ledger(spark, f"{tables.shared_dir(spark)}/quarry/ledger-{uuid.uuid4().hex}")
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet").select(  # a glob, as a plain path must be a folder
+        "ts", F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", F.col("event_type")).alias("error")
+    )
+
+    def twice(rows: DataFrame, batch: int) -> None:  # as after a kill between the write and the checkpoint
+        book.put(rows, batch)
+        book.put(rows, batch)
+
+    events.writeStream.foreachBatch(twice).option("checkpointLocation", f"{book.path}-state").trigger(availableNow=True).start().awaitTermination()
+    return book.newest(50, errors_only=True).select("id", "error")
+
+
+@query("str01_changes", """
+SELECT 1 AS version, doc_id, 'added' AS kind FROM documents WHERE doc_id % 5 <> 0
+UNION ALL SELECT 2, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'added' ELSE 'changed' END FROM documents WHERE doc_id % 5 = 0 OR doc_id % 11 = 0
+UNION ALL SELECT 3, doc_id, 'gone' FROM documents WHERE doc_id % 7 = 0""")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    listed = lambda size: docs.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), size.cast("long").alias("size"), F.lit(0.0).alias("mtime"), "doc_id")
+    grown = listed(F.col("n_chars") + F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0))
+    watch = changes.Changes(spark, f"{tables.shared_dir(spark)}/quarry/changes-{uuid.uuid4().hex}")
+    for listing in (listed(F.col("n_chars")).where("doc_id % 5 <> 0"), grown, grown.where("doc_id % 7 <> 0")):
+        watch.look(listing)
+    kept = f"{watch.home}/told"
+    watch.stream(1).writeStream.format("parquet").option("path", kept).option("checkpointLocation", f"{watch.home}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(kept).select(F.col("version").cast("int").alias("version"), F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("doc_id"), "kind")
+
+
 @query("jon21_inherited", """
 SELECT c_name AS path, 'depth' AS key, coalesce(CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) END, n_name) AS value FROM customer JOIN nation ON n_nationkey = c_nationkey
 UNION ALL SELECT c_name, 'floor', r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")

@@ -60,9 +60,12 @@ def test_scores_and_digest(spark):
 
 def test_settings_documents():
     assert projects.settings('{"exclude": ["a/*"], "enabled": false}') == {"exclude": ["a/*"], "enabled": False} and projects.settings("") == {}
-    for text, why in (('{"exlude": []}', "exclude"), ('{"enabled": "yes"}', "true or false"), ('{"members": "x"}', "list"), ("[1]", "mapping"), ("{", "not valid")):
+    for text, why in (('{"exclud": []}', "here: there is no setting exclud .exclude is one"), ('{"enabled": 1}', "enabled must be a switch"), ('{"members": "x"}', "members must be a list"), ("[1]", "something else"), ("{", "cannot be parsed")):
         with pytest.raises(projects.ConfigError, match=why):
             projects.settings(text, "here")
+    with pytest.raises(projects.ConfigError) as found:
+        projects.settings('{"enabled": "yes", "languages": [1], "colour": true}')
+    assert len(found.value.faults) == 3
 
 
 def test_a_registry_of_claims(spark, tmp_path):
