@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import files as X
-from quarry.operators import contain, fleet, incremental, measure, overlay, resolve, search, traverse
+from quarry.operators import contain, fleet, incremental, measure, members, overlay, resolve, search, traverse
 from quarry.plans import index
 from quarry.plans import oracle as O
 from quarry.sources import star, tables, tree
@@ -551,6 +551,55 @@ def _(spark, sf_dir):
     return spark.read.parquet(kept).select(F.col("version").cast("int").alias("version"), F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("doc_id"), "kind")
 
 
+#: Links by supplier, below one region's root or within one, to the projects of nations: some too deep, skipped, excluded, or back into the root.
+_LINKED = """l AS (
+  SELECT s_suppkey AS k, '/w/r' || n_regionkey AS root, '/w/r' || n_regionkey || CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN '/a' WHEN 2 THEN '/a/b' ELSE '/a/b/c/d' END ||
+    CASE WHEN s_suppkey % 13 = 0 THEN '/node_modules' ELSE '' END || CASE WHEN s_suppkey % 11 = 0 THEN '/skip' ELSE '/l' END || s_suppkey AS link,
+    CASE WHEN s_suppkey % 7 = 0 THEN '/w/r' || n_regionkey || '/own' ELSE '/p/n' || (s_suppkey * 3 % 25) END AS target
+  FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+m AS (
+  SELECT root, target AS member, k FROM l WHERE k % 4 < 3 AND k % 7 <> 0 AND k % 11 <> 0 AND k % 13 <> 0 AND k * 3 % 25 % 6 <> 0
+  UNION ALL SELECT '/w/r' || n_regionkey, '/p/n' || n_nationkey, NULL FROM nation WHERE n_nationkey % 4 = 0),
+reached AS (
+  SELECT '/w/r' || r_regionkey AS root, '/w/r' || r_regionkey AS path, 0 AS links, 0 AS after FROM region
+  UNION ALL SELECT root, member, count(DISTINCT k), 1 FROM m GROUP BY root, member)"""
+
+
+def reached(spark, sf_dir) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    k, text = F.col("s_suppkey"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    root = text("/w/r", F.col("n_regionkey"))
+    folder = F.when(k % 4 == 0, "").when(k % 4 == 1, "/a").when(k % 4 == 2, "/a/b").otherwise("/a/b/c/d")
+    link = text(root, folder, F.when(k % 13 == 0, "/node_modules").otherwise(""), F.when(k % 11 == 0, "/skip").otherwise("/l"), k)
+    target = F.when(k % 7 == 0, text(root, "/own")).otherwise(text("/p/n", k * 3 % 25))
+    links = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(link.alias("link"), target.alias("target"))
+    roots = table(spark, sf_dir, "region").select(text("/w/r", F.col("r_regionkey")).alias("root"))
+    projects = nation.where("n_nationkey % 6 <> 0").select(text("/p/n", F.col("n_nationkey")).alias("path")).unionByName(roots.select(text(F.col("root"), "/own").alias("path")))
+    declared = nation.where("n_nationkey % 4 = 0").select(root.alias("root"), text("/p/n", F.col("n_nationkey")).alias("member")).unionByName(roots.select("root", F.col("root").alias("member"))).unionByName(roots.select("root", F.lit("/usr").alias("member")))
+    return members.reach(roots, declared, members.discovered(links, roots, projects, ["*skip*"]))
+
+
+@query("ctl01_members", f"WITH {_LINKED} SELECT root, CAST(row_number() OVER (PARTITION BY root ORDER BY after, path) - 1 AS INTEGER) AS place, path, links FROM reached")
+def _(spark, sf_dir):
+    return reached(spark, sf_dir)
+
+
+@query("jon20_within", f"""WITH {_LINKED} SELECT root, path, EXISTS (SELECT 1 FROM reached r WHERE r.root = a.root AND (a.path = r.path OR starts_with(a.path, r.path || '/'))) AS within
+FROM (SELECT DISTINCT '/w/r' || c_custkey % 5 AS root, CASE c_custkey % 3 WHEN 0 THEN '/w/r' || c_custkey % 4 || '/f' ELSE '/p/n' || c_nationkey || CASE c_custkey % 2 WHEN 0 THEN '0/x' ELSE '/src/x' END END AS path FROM customer) a""")
+def _(spark, sf_dir):
+    c, text = F.col("c_custkey"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    path = F.when(c % 3 == 0, text("/w/r", c % 4, "/f")).otherwise(text("/p/n", F.col("c_nationkey"), F.when(c % 2 == 0, "0/x").otherwise("/src/x")))
+    asked = table(spark, sf_dir, "customer").select(text("/w/r", c % 5).alias("root"), path.alias("path")).distinct()
+    return members.within(asked, reached(spark, sf_dir))
+
+
+@query("srt09_unindexed", f"""WITH {_LINKED}, missing AS (SELECT root, path, row_number() OVER (PARTITION BY root ORDER BY path) AS i FROM reached WHERE after = 1 AND CAST(regexp_extract(path, '[0-9]+$') AS INTEGER) % 2 = 1)
+SELECT root, count(*) AS unindexed, string_agg(path, ',' ORDER BY path) FILTER (i <= 5) AS first FROM missing GROUP BY root""")
+def _(spark, sf_dir):
+    kept = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("/p/n"), F.col("n_nationkey").cast("string")).alias("path"))
+    return members.gaps(reached(spark, sf_dir), kept)
+
+
 @query("jon21_inherited", """
 SELECT c_name AS path, 'depth' AS key, coalesce(CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) END, n_name) AS value FROM customer JOIN nation ON n_nationkey = c_nationkey
 UNION ALL SELECT c_name, 'floor', r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
