@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import files as X
+from quarry.functions import symbols
 from quarry.operators import contain, fleet, incremental, measure, members, overlay, resolve, search, traverse
 from quarry.plans import index
 from quarry.plans import oracle as O
@@ -600,6 +601,24 @@ def _(spark, sf_dir):
     return members.gaps(reached(spark, sf_dir), kept)
 
 
+@query("sca30_descriptors", """
+WITH d AS (SELECT p_partkey AS k, p_brand, p_name, p_type FROM part),
+u AS (
+  SELECT k, 0 AS pos, 'n' || k % 9 AS name, 'module' AS kind FROM d
+  UNION ALL SELECT k, 1, p_brand, 'class' FROM d
+  UNION ALL SELECT k, 2, CASE WHEN k % 2 = 0 THEN p_name || '`' || k ELSE 'f' || k END, CASE k % 5 WHEN 0 THEN 'method' WHEN 1 THEN 'function' WHEN 2 THEN 'field' WHEN 3 THEN 'function' ELSE 'class' END FROM d
+  UNION ALL SELECT k, 3, p_type, 'field' FROM d WHERE k % 5 = 0)
+SELECT k AS part, CAST(pos AS INTEGER) AS pos, name, kind FROM u WHERE k % 17 <> 0""")
+def _(spark, sf_dir):
+    k, text = F.col("p_partkey"), lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    quoted = lambda c: text("`", F.replace(c, F.lit("`"), F.lit("``")), "`")
+    name = F.when(k % 2 == 0, quoted(text(F.col("p_name"), "`", k))).otherwise(text("f", k))
+    last = F.when(k % 5 == 0, text(name, "(+1).(", quoted(F.col("p_type")), ")")).when(k % 5 == 1, text(name, ".")).when(k % 5 == 2, text(name, ":")).when(k % 5 == 3, text(name, "!")).otherwise(text(name, "#"))
+    whole = F.when(k % 17 == 0, text("local ", k)).otherwise(text("scip-x gomod example.com/m v1 n", k % 9, "/", quoted(F.col("p_brand")), "#", last))
+    parts = table(spark, sf_dir, "part").select(k.alias("part"), F.posexplode(symbols.descriptors(whole)).alias("pos", "d"))
+    return parts.select("part", "pos", "d.name", "d.kind")
+
+
 @query("jon21_inherited", """
 SELECT c_name AS path, 'depth' AS key, coalesce(CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) END, n_name) AS value FROM customer JOIN nation ON n_nationkey = c_nationkey
 UNION ALL SELECT c_name, 'floor', r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")

@@ -62,6 +62,17 @@ def test_updates_write_what_changed_and_equal_a_fresh_index(spark, tmp_path):
             assert hits(kept, name) == hits(fresh, name)
 
 
+def test_a_name_is_found_over_a_workspace_and_members_without_an_index_are_told(spark, tmp_path):
+    at = lambda path: f"file://{tmp_path}/kept/{path.rsplit('/', 1)[-1]}"
+    for name, files in (("one", {"a.py": "def thing():\n    pass\n"}), ("two", {"b.py": "def thing():\n    pass\n\ndef other():\n    pass\n"})):
+        put(tmp_path / name, files)
+        index.index(spark, str(tmp_path / name), path=at(name))
+    reached = spark.createDataFrame([(0, "/w/two"), (1, "/w/one"), *[(i, f"/w/no{i}") for i in range(2, 9)]], "place int, path string")
+    answer = index.find_in_members(spark, reached, at, "thing")
+    assert [(r.project, r.path, r.exact) for r in answer.rows.collect()] == [("/w/two", "b.py", True), ("/w/one", "a.py", True)]
+    assert answer.gaps == ["7 projects of this workspace have no index: /w/no2, /w/no3, /w/no4, /w/no5, /w/no6 and 2 more"]
+
+
 def test_segments_are_merged_and_old_ones_dropped(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalog, "MOST", 3)
     kept = catalog.Catalog(spark, f"file://{tmp_path}/c", {"t": {"k": "key"}})
