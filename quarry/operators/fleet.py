@@ -75,9 +75,14 @@ def best_tier(readiness: DataFrame) -> DataFrame:
 def nearest_key(unknown: DataFrame, known: DataFrame, least: float = 0.6) -> DataFrame:
     """(key, meant): the known settings name most like each unknown one, by the share of its letters that stay; null where none is like it enough.
 
-    Known names go along as one array, whatever their number, and meet each unknown one in its row.
+    Names meet by pairs of letters, with an edge at either end: of the n + 1 pairs of a name of n letters one edit takes two at most, so names
+    that keep a share over a half of their letters keep one pair at least.
     """
-    names = known.select("key").distinct().agg(F.sort_array(F.collect_list("key")).alias("_names"))
-    like = lambda k: 1 - F.levenshtein(F.col("key"), k) / F.greatest(F.length("key"), F.length(k), F.lit(1))
-    ranked = F.array_sort(F.transform(F.filter("_names", lambda k: like(k) >= least), lambda k: F.struct((-like(k)).alias("d"), k.alias("k"))))
-    return unknown.select("key").crossJoin(names).select("key", F.get(ranked, F.lit(0))["k"].alias("meant"))  # one row
+    if least <= 0.5:
+        raise ValueError("names that keep half of their letters or fewer need share no pair of them")
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(F.concat(F.lit("\x02"), c, F.lit("\x03")), i, F.lit(2))))
+    asked, there = unknown.select("key").distinct(), known.select(F.col("key").alias("k")).distinct()
+    met = asked.select("key", F.explode(grams(F.col("key"))).alias("gram")).join(there.select("k", F.explode(grams(F.col("k"))).alias("gram")), "gram").select("key", "k").distinct()
+    like = 1 - F.levenshtein("key", "k") / F.greatest(F.length("key"), F.length("k"), F.lit(1))
+    best = met.withColumn("like", like).where(F.col("like") >= least).groupBy("key").agg(F.min(F.struct((-F.col("like")).alias("d"), "k")).alias("b"))
+    return asked.join(best, "key", "left").select("key", F.col("b.k").alias("meant"))

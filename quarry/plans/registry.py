@@ -313,7 +313,7 @@ LEFT = "({0} % 7 <> 0 OR {0} % 21 = 0)"
 
 
 def replayed(spark, sf_dir) -> tuple[star.Graph, star.Graph]:
-    """The graph of all files, and one that was kept and updated: some files first, then the others, then some taken away, then some of these again."""
+    """The graph of all files, and one that was kept and updated: some files first, then others for some of them, then some of these again."""
     g = star.graph(spark, sf_dir)
     catalog = index.kept(spark, f"{tables.shared_dir(spark)}/quarry/replayed-{abs(hash((sf_dir, g.tables.stamp, spark.sparkContext.applicationId)))}")
 
@@ -321,10 +321,10 @@ def replayed(spark, sf_dir) -> tuple[star.Graph, star.Graph]:
         own = [df.where(files.format(c)) for df, c in ((g.files, "id"), (g.nodes, "file_id"), (g.refs, "file_id"), (g.imports, "file_id"))]
         return star.Graph(*own, tables.Tables(spark, ""))
 
-    if len(catalog.numbers()) < 4:
+    if len(catalog.numbers()) < 3:
         catalog.wipe()
         index.save(part("{0} % 5 <> 0"), catalog.path)
-        for fresh, gone in (("{0} % 5 = 0", "false"), ("false", "{0} % 7 = 0"), ("{0} % 21 = 0", "false")):
+        for fresh, gone in (("{0} % 5 = 0 AND {0} % 7 <> 0", "{0} % 7 = 0"), ("{0} % 21 = 0", "false")):
             before = index.reopen(spark, catalog.path)
             index.renew(catalog, before, part(fresh), before.files.where(gone.format("id")).select("id"))
     return g, index.reopen(spark, catalog.path)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -97,7 +98,8 @@ def braces(text: str, lang: str) -> tuple[list, list, list]:
     for c in text:
         total += len(c.encode())
         points.append(total)
-    line = lambda i: text.count("\n", 0, i) + 1
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    line = lambda i: bisect_left(breaks, i) + 1
     defs, own = {}, {}
     for m in _DEFINES.finditer(bare):
         group = 2 if m[2] else 4 if m[4] else 5
@@ -114,20 +116,24 @@ def braces(text: str, lang: str) -> tuple[list, list, list]:
         for m in _METHOD.finditer(bare):
             if m[1] not in _NOT_CALLED and m.start(1) not in defs:
                 defs[m.start(1)] = ("function", m[1], m.start(1), m.end(1), close.get(m.end() - 1, m.end()))
-    classes = [d for d in defs.values() if d[0] == "class"]
-    for at, (kind, name, a, b, end) in defs.items():
-        if kind == "function" and any(c[2] < a < c[4] for c in classes):
-            inner = [d for d in defs.values() if d[2] < a < d[4]]
-            if min(inner, key=lambda d: d[4] - d[2])[0] == "class":
-                defs[at] = ("method", name, a, b, end)
-    refs = []
+    spans = sorted(defs.values(), key=lambda d: d[2])
+    opened: list = []  # definitions that have begun and not ended, in order
+    for d in spans:
+        opened = [o for o in opened if o[4] > d[2]]
+        if d[0] == "function" and opened and min(opened, key=lambda o: o[4] - o[2])[0] == "class":
+            defs[d[2]] = ("method", *d[1:])
+        opened.append(d)
+    refs, opened, begun = [], [], 0
     for m in _CALL.finditer(bare):
         at, name = m.start(3), m[3]
         if name in _NOT_CALLED or at in defs:
             continue
+        while begun < len(spans) and spans[begun][2] <= at:
+            opened.append(spans[begun])
+            begun += 1
+        opened = [o for o in opened if o[4] > at]
         receiver = "" if m[1] in (None, ")") else m[1]
-        holder = max((d for d in defs.values() if d[2] <= at < d[4]), key=lambda d: d[2], default=None)
-        bound = bool(holder and receiver and own.get(holder[2]) == receiver)
+        bound = bool(opened and receiver and own.get(opened[-1][2]) == receiver)
         refs.append(("CALLS", name, receiver, m[2] is not None, bound, points[at], line(at)))
     imports = []
     if lang in ("typescript", "tsx", "javascript"):
