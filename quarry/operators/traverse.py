@@ -118,6 +118,73 @@ def blast_radius(step: Steps, starts: DataFrame, depth: int, keep: Callable[[Dat
     return out if out is not None else frontier.select("start", "node", F.lit(0).alias("depth")).limit(0)
 
 
+def importers_within(step: Steps, numbers: DataFrame, depth: int, keep: Callable[[DataFrame], DataFrame] = store) -> DataFrame:
+    """(file, within, bucket, bits): the modules that import a file in at most so many steps, as bitmaps over their numbers (src, number)."""
+    near = step.importers.join(numbers, "src").groupBy("file", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+    near = last = keep(near)
+    out = near.withColumn("within", F.lit(1))
+    for level in range(2, depth + 1):
+        farther = step.importers.join(last.withColumnRenamed("file", "src"), "src").select("file", "bucket", "bits")
+        last = keep(farther.unionByName(near).groupBy("file", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
+        out = out.unionByName(last.withColumn("within", F.lit(level)))
+    return out
+
+
+def blast_sizes(step: Steps, starts: DataFrame, depth: int, keep: Callable[[DataFrame], DataFrame] = store) -> DataFrame:
+    """(start, depth1, depth2 ..): how many nodes blast_radius finds at each depth; starts that reach nothing are left out.
+
+    All nodes of a file share its importers, so these are followed by file, as bitmaps over modules numbered in the order of their
+    files' ids; what a start reaches along links is followed by node, and its bitmaps are those of the files it comes to, merged.
+    Importers take no further link, for links lead to definitions; where one leads to a module, rows of blast_radius are counted.
+    """
+    if depth > MAX_DEPTH:
+        raise ValueError(f"depth {depth} is over {MAX_DEPTH}")
+    levels = range(1, depth + 1)
+    counted = [F.coalesce(F.sum(F.when(F.col("level") == n, F.col("n"))), F.lit(0)).alias(f"depth{n}") for n in levels]
+    modules = step.places.where("node = file").select(F.col("file").alias("src"))
+    if depth < 1:
+        return starts.select(F.col("id").alias("start")).limit(0)
+    if not step.direct.join(modules, F.col("dst") == modules["src"], "left_semi").isEmpty():
+        return blast_radius(step, starts, depth, keep).groupBy("start", F.col("depth").alias("level")).agg(F.count("*").alias("n")).groupBy("start").agg(*counted)
+    # numbers have gaps between ranges of ids and none within one: a bitmap covers 32,768 of them
+    numbers = keep(modules.repartitionByRange("src").sortWithinPartitions("src").withColumn("number", F.monotonically_increasing_id()))
+    upstream = keep(importers_within(step, numbers, depth, keep))
+    starts = starts.select(F.col("id").alias("start")).distinct()
+
+    frontier = seen = starts.withColumn("node", F.col("start"))
+    linked = None  # start, node, level: along links alone
+    for level in levels:
+        met = frontier.join(step.direct, F.col("node") == F.col("dst")).select("start", F.col("src").alias("node")).distinct()
+        frontier = keep(met.join(seen, ["start", "node"], "left_anti"))
+        seen = seen.unionByName(frontier)
+        found = frontier.withColumn("level", F.lit(level))
+        linked = found if linked is None else linked.unionByName(found)
+        if frontier.isEmpty():
+            break
+    linked = linked.join(step.places, "node")
+    mixed = keep(linked.select("start").distinct())
+
+    # a start without links has what its file has, less itself if it is a module that imports itself in a circle
+    own = numbers.select(F.col("src").alias("file"), F.bitmap_bucket_number("number").alias("own"), F.bitmap_bit_position("number").alias("bit"))
+    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    inside = F.when(F.col("bucket") == F.col("own"), F.try_divide(byte, F.pow(F.lit(2), F.col("bit") % 8)).cast("int") % 2).otherwise(0)
+    by_file = upstream.join(own, "file").groupBy("file", F.col("within").alias("level")).agg(F.sum(F.bitmap_count("bits")).alias("all"), F.sum(inside).alias("self"))
+    plain = starts.join(mixed, "start", "left_anti").join(step.places, F.col("start") == F.col("node")).join(by_file, "file")
+    plain = plain.select("start", "level", (F.col("all") - F.when(F.col("start") == F.col("file"), F.col("self")).otherwise(0)).alias("n"))
+
+    come = mixed.join(step.places, F.col("start") == F.col("node")).select("start", "file", F.lit(0).alias("level"))
+    come = come.unionByName(linked.select("start", "file", "level")).groupBy("start", "file").agg(F.min("level").alias("level"))
+    merged = come.join(upstream, "file").select("start", (F.col("level") + F.col("within")).alias("level"), "bucket", "bits").where(F.col("level") <= depth)
+    later = lambda rows: rows.withColumn("level", F.explode(F.sequence("level", F.lit(depth))))
+    alone = later(linked.where("node = file")).join(numbers, F.col("node") == F.col("src")).groupBy("start", "level", F.bitmap_bucket_number("number").alias("bucket"))
+    merged = merged.unionByName(alone.agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")))
+    merged = merged.groupBy("start", "level", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n")).drop("bucket")
+    defined = later(linked.where("node <> file")).groupBy("start", "level").agg(F.count("*").alias("n"))
+
+    upto = plain.unionByName(merged).unionByName(defined).groupBy("start").agg(*counted).where(f"depth{depth} > 0")
+    return upto.select("start", *[(F.col(f"depth{n}") - (F.col(f"depth{n - 1}") if n > 1 else F.lit(0))).alias(f"depth{n}") for n in levels])
+
+
 def walk(
     graph: Graph, starts: DataFrame, depth: int = 0, floor: float = 0.05, edges: DataFrame | None = None, direction: str = "up", kinds: tuple[str, ...] | None = None, ambiguous: bool = False, keep: Callable[[DataFrame], DataFrame] = store
 ) -> DataFrame:

@@ -173,8 +173,7 @@ SELECT start, count(*) FILTER (WHERE d = 1) AS depth1, count(*) FILTER (WHERE d
 FROM (SELECT start, 1 AS d FROM l1 UNION ALL SELECT start, 2 FROM n2 UNION ALL SELECT start, 3 FROM n3) GROUP BY start""")
 def _(spark, sf_dir):
     g = star.graph(spark, sf_dir)
-    reached = traverse.blast_radius(traverse.steps(g), g.nodes.select("id"), 3)
-    return reached.groupBy("start").agg(*[F.count_if(F.col("depth") == d).alias(f"depth{d}") for d in (1, 2, 3)])
+    return traverse.blast_sizes(traverse.steps(g), g.nodes.select("id"), 3)
 
 
 @query("gra01_walk", f"""{O.WITH}{O.LINKS},

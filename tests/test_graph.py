@@ -131,6 +131,29 @@ def test_nests_are_followed_to_the_top(spark):
     assert contain.classes(nodes.where("id IN (1, 2)"), circle).count() == 0
 
 
+@pytest.mark.parametrize("depth", [3])
+def test_blast_sizes_equal_the_rows_counted(spark, ring, depth):
+    import random
+
+    draw = random.Random(depth)
+    places = [(f, f) for f in range(40)] + [(100 + d, d % 40) for d in range(150)]
+    links = {(draw.randrange(100, 250), draw.choice(places)[0]) for _ in range(120)}  # dst, src: from modules as well
+    importers = {(draw.randrange(40), draw.randrange(40)) for _ in range(50)} | {(7, 8), (8, 7)}
+    frame = lambda rows, names: spark.createDataFrame(sorted(rows), ", ".join(f"{n} long" for n in names.split()))
+    built = [traverse.steps(ring)]
+    for more in (set(), {(3, 120), (5, 6)}):  # the second has links that lead to modules
+        built.append(traverse.Steps(frame({x for x in links | more if x[0] != x[1]}, "dst src"), frame(places, "node file"), frame({x for x in importers if x[0] != x[1]}, "file src")))
+    for step in built:
+        starts = step.places.select(F.col("node").alias("id"))
+        levels = [F.count_if(F.col("depth") == n).alias(f"depth{n}") for n in range(1, depth + 1)]
+        expected = {tuple(r) for r in traverse.blast_radius(step, starts, depth).groupBy("start").agg(*levels).collect()}
+        assert expected and {tuple(r) for r in traverse.blast_sizes(step, starts, depth).collect()} == expected
+    assert traverse.blast_sizes(step, starts, 0).count() == 0
+    assert traverse.blast_sizes(step, starts.limit(0), depth).count() == 0
+    with pytest.raises(ValueError):
+        traverse.blast_sizes(step, starts, 9)
+
+
 def test_blast_radius_equals_a_plain_search(spark, ring):
     for g in (ring, graph_of(spark, TREE)[0]):
         steps = {}
