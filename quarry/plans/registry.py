@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import files as X
 from quarry.functions import symbols
-from quarry.operators import contain, fleet, incremental, measure, members, overlay, resolve, search, traverse
+from quarry.operators import contain, fleet, ignore, incremental, measure, members, overlay, resolve, search, traverse
 from quarry.plans import index
 from quarry.plans import oracle as O
 from quarry.sources import star, tables, tree
@@ -75,6 +75,19 @@ def _(spark, sf_dir):
     return tree.digested(files).select("doc_id", "sha256", "size")
 
 
+@query("src02_ignored_paths", """
+SELECT doc_id, coalesce(lang, 'xx') = 'de' OR doc_id % 5 = 3 OR (doc_id % 3 = 1 AND doc_id % 10 <> 0) OR (doc_id % 3 = 2 AND doc_id % 5 <> 1) AS ignored FROM documents""")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    folder = F.concat(F.lit("r/s"), F.col("doc_id") % 4)
+    ending = F.element_at(F.array(F.lit(".py"), F.lit(".log"), F.lit(".tmp")), (F.col("doc_id") % 3).cast("int") + 1)
+    paths = docs.select("doc_id", F.concat(folder, F.lit("/"), F.coalesce("lang", F.lit("xx")), F.lit("/d"), F.col("doc_id") % 5, F.lit("/f"), "doc_id", ending).alias("path"))
+    written = docs.select(F.concat(folder, F.lit("/.gitignore")).alias("path"), F.lit("!f*0.log\nd3/\n*.tmp\n!**/d1/*.tmp\n").alias("text")).distinct()
+    written = written.unionByName(docs.limit(1).select(F.lit(".gitignore").alias("path"), F.lit("*.log\n/r/*/de/\n").alias("text")))
+    gone = ignore.ignored(paths.select("path"), ignore.rules(written)).withColumn("ignored", F.lit(True))
+    return paths.join(gone, "path", "left").select("doc_id", F.coalesce("ignored", F.lit(False)).alias("ignored"))
+
+
 @query("src10_embedded_scripts", r"""
 WITH s AS (SELECT page_id, html, regexp_extract_all(html, '(?is)<script\b[^>]*>.*?</script>') AS b FROM pages)
 SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, regexp_extract(b[i], '(?is)<script\b[^>]*>(.*?)</script>', 1) AS script,

@@ -1,51 +1,58 @@
-"""Source trees as tables: listing, digests, admission and reading, through Spark's file reader alone."""
+"""Source trees as tables: listing, digests, admission and reading, in tasks of bounded work."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import files as X
-from quarry.sources import tables
+from quarry.operators import ignore
+from quarry.sources import tables, walk
 
 #: Why a file yields less than its language promises (fixed values).
 REASONS = ("unreadable", "no_parser", "no_capability", "query_failed", "no_symbols")
 
 
-FOUND = "path string, modificationTime timestamp, length long, content binary"
-
-
-def found(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
-    """Files below a root, by Spark's reader; of some paths alone (a few, given by the caller) where they are named, as far as they are there."""
-    base = root.rstrip("/")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if only is None:
-        return reader.load(base)
-    there = [f"{base}/{p}" for p in only if tables.exists(spark, f"{base}/{p}")]
-    return reader.load(there) if there else spark.createDataFrame([], FOUND)
-
-
-def relative(root: str) -> Column:
-    """A file's path below its root."""
+def plainly(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, mtime, content) below a root on a file system that only Spark opens; its reader passes over names that start with '_' or '.'."""
     bare = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    return F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", ""), F.lit("^" + "".join(f"[{c}]" if c not in "^\\" else f"\\{c}" for c in bare) + "/"), F.lit(""))
+    below = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", ""), F.lit("^" + "".join(f"[{c}]" if c not in "^\\" else f"\\{c}" for c in bare) + "/"), F.lit(""))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.rstrip("/"))
+    return read.select(below.alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), "content")
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, mtime) of every file below a root; no content is read."""
-    return found(spark, root).select(relative(root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"))
+    """(path, size, mtime) of every file below a root but those in folders that are never read; no content is read."""
+    return walk.walked(spark, root) if walk.reachable(root) else plainly(spark, root).drop("content")
+
+
+def unignored(root: str, files: DataFrame) -> DataFrame:
+    """files (path) without those that ignore files of the tree leave out."""
+    places = files.select(F.explode(walk.folders_of(F.col("path"))).alias("f")).distinct()
+    written = walk.contents(root, places.select(F.when(F.col("f") == "", ignore.NAME).otherwise(F.concat("f", F.lit(f"/{ignore.NAME}"))).alias("path")))
+    rules = tables.store(ignore.rules(written.select("path", F.col("content").cast("string").alias("text"))))
+    return files if rules.isEmpty() else files.join(ignore.ignored(files.select("path"), rules), "path", "left_anti")
 
 
 def snapshot(spark: SparkSession, root: str, exclude: list[str] | None = None, languages: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
-    """(path, size, mtime, sha256, lang, content) of every admitted file below a root, which any of Spark's file systems may hold, or of those among some paths.
+    """(path, size, mtime, sha256, lang, content) of every admitted file below a root, or of those among some paths (a few, given by the caller).
 
-    Files too large or of an unknown language are left out before their content is looked at; generated ones after.
+    Files too large or of an unknown language, and in a repository those that its ignore files leave out, are never opened; generated
+    ones are left out after.
     """
-    own = found(spark, root, only).select(relative(root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), "content")
-    own = own.where(X.indexable(F.col("path"), F.col("size")) & ~X.excluded(F.col("path"), exclude or []))
-    own = own.withColumn("lang", X.language(F.col("path")))
+    reachable = walk.reachable(root)
+    if only is not None:
+        asked = spark.createDataFrame([(p,) for p in only], "path string")
+        own = walk.contents(root, asked) if reachable else plainly(spark, root).join(asked, "path", "left_semi")
+    else:
+        own = walk.walked(spark, root) if reachable else plainly(spark, root)
+    own = own.withColumn("lang", X.language(F.col("path"))).where(X.indexable(F.col("path"), F.col("size")) & ~X.excluded(F.col("path"), exclude or []))
     if languages:
         own = own.where(F.col("lang").isin(*languages))
+    if reachable and walk.there(root, ".git"):
+        own = unignored(root, own)
+    if reachable and only is None:
+        own = walk.contents(root, own).where("content IS NOT NULL").withColumn("lang", X.language(F.col("path")))
     return own.where(~X.generated(F.col("content"))).select("path", "size", "mtime", F.sha2("content", 256).alias("sha256"), "lang", "content")
 
 
