@@ -4,8 +4,9 @@ Base spans come from fixed formats and always count. High-recall generators prop
 each one by the words around it and by what it looks like once its format is masked; spans over a threshold that was calibrated on
 held-out documents are added where they overlap nothing already chosen.
 
-The trees learn from a bounded sample of candidates (MAX_TRAINING of them, by a hash of document and place) as from positive and unlabelled ones. A candidate that
-coincides with a base span is a positive. One that overlaps a base span of another kind is a negative. Any other is unlabelled, as it
+The trees learn from all candidates as from positive and unlabelled ones. Candidates with equal features are counted, and trees, bars,
+calibration and thresholds need sums of those counts alone; where more than HELD differ, tasks sum them over the table, with the same
+result. A candidate that coincides with a base span is a positive. One that overlaps a base span of another kind is a negative. Any other is unlabelled, as it
 may be personal data in a format that no base pattern reads: it counts as a negative only where first trees, which were given a part
 of the positives as unlabelled (spies), rate it below nearly all spies of its kind; the rest is left out of learning and calibration.
 Features must not tell a base format from another, so signs for '@' and '.', a phone's '+' and country code, and a card's or an
@@ -24,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.boosting import BoostedTrees
+from quarry.llm.boosting import LIMIT, UNIT, BoostedTrees, Rows, edges_of, grow, quantiles
 from quarry.llm.common import ROW, packed, read_table, unpacked, written
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-MAX_TRAINING = 20_000
+#: Candidates that differ in features, standing or half, of which the driver may hold so many while trees grow; more stay in a table.
+HELD = 200_000
 #: The precision that held-out candidates over a kind's threshold must show, as a lower bound.
 PRECISION = 0.97
 #: One of so many positives is a spy; an unlabelled candidate is a negative if its rate is under this quantile of its kind's spies.
@@ -230,20 +232,22 @@ def find(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def drawn(found: DataFrame, limit: int = MAX_TRAINING) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, standing and half of at most limit candidates, all of equal chance; a document's candidates are in one half."""
+def each_candidate(found: DataFrame) -> DataFrame:
+    """(h, half, spy, stands, x) of every candidate that may be learnt from; a document's candidates are in one half."""
     of = F.transform(F.sequence(F.lit(0), F.floor(F.size("_more") / 4).cast("int") - 1), lambda i: F.struct(F.slice("_more", 4 * i + 1, F.lit(4)).alias("more"), F.slice("_features", FEATURES * i + 1, F.lit(FEATURES)).alias("x")))
     each = found.where(F.size("_more") > 0).select("doc_id", F.explode(of).alias("c")).where(F.col("c.more")[3] != SAME_KIND)
-    each = each.select(F.xxhash64("doc_id", "c.more").alias("h"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).alias("half"), F.col("c.more")[3].alias("stands"), "c.x")
-    n = each.count()
-    if n > limit:  # few more than wanted, so that tasks do not each send as many as that
-        each = each.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * limit / n)))
-    rows = each.orderBy("h", "stands", "half", "x").limit(limit).collect()
+    spy = (F.pmod(F.xxhash64(F.lit(2), "doc_id", "c.more"), F.lit(SPIES)) == 0) & (F.col("c.more")[3] == BASE)
+    return each.select(F.xxhash64("doc_id", "c.more").alias("h"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).alias("half"), spy.alias("spy"), F.col("c.more")[3].alias("stands"), "c.x")
+
+
+def drawn(found: DataFrame, limit: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, standing and half of at most limit candidates, all of equal chance: for a look at them, nothing is learnt from these."""
+    rows = each_candidate(found).orderBy("h", "stands", "half", "x").limit(limit).collect()
     return np.array([r.x for r in rows], np.float64).reshape(-1, FEATURES), np.array([r.stands for r in rows], int), np.array([r.half for r in rows], int)
 
 
 class Halves:
-    """Trees of each half of the sample; a span must be rated by both."""
+    """Trees of each half of the documents; a span must be rated by both."""
 
     def __init__(self, models: list[BoostedTrees]):
         self.models = models
@@ -252,66 +256,104 @@ class Halves:
         return np.minimum.reduce([m.probability(x) for m in self.models])
 
 
-def learn(x: np.ndarray, stands: np.ndarray) -> tuple[BoostedTrees, BoostedTrees, list[float]] | None:
-    """Trees over positives and sure negatives; the first trees and each kind's bar, under which they call an unlabelled candidate a negative."""
-    positive = stands == BASE
-    spy = np.zeros(len(x), bool)
-    spy[np.flatnonzero(positive)[::SPIES]] = True
-    if not (positive & ~spy).any() or positive.all():
-        return None
-    first = BoostedTrees().fit(x, (positive & ~spy).astype(float))
-    rate = first.probability(x)
-    bars = [float(np.quantile(rate[own], QUANTILE)) if (own := spy & (x[:, 0] == kind)).any() else 0.0 for kind in range(len(KINDS))]
-    used = positive | negatives(x, stands, first, bars)
-    if positive[used].all():
-        return None
-    return BoostedTrees().fit(x[used], positive[used].astype(float)), first, bars
+def rows_of(batch: pa.RecordBatch | pa.Table) -> Rows:
+    half, spy, stands, x, n = (batch.column(i).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(i).to_numpy() for i in range(5))
+    x = np.stack(x).astype(np.float64) if len(x) else np.zeros((0, FEATURES))
+    return Rows(x, n.astype(np.int64), half=half.astype(int), spy=spy.astype(bool), stands=stands.astype(int), kind=x[:, 0].astype(int))
+
+
+def summing(counted: DataFrame) -> Callable:
+    """total(f): the sum of f(rows), an array of whole numbers, over all rows of the table; on the driver where they are no more than HELD, else by tasks."""
+    if counted.count() <= HELD:
+        rows = rows_of(counted.toArrow())
+        return lambda f: f(rows)
+    none = rows_of(pa.RecordBatch.from_pylist([], counted.limit(0).toArrow().schema))
+
+    def total(f: Callable) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = 0
+            for batch in batches:
+                sums = sums + f(rows_of(batch))
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([np.ravel(sums)[at].tobytes()], pa.binary())], ["at", "sums"])
+
+        out = np.zeros(np.shape(f(none)), np.int64)
+        for r in counted.mapInArrow(run, "at binary, sums binary").collect():
+            out.ravel()[np.frombuffer(r.at, np.int64)] += np.frombuffer(r.sums, np.int64)
+        return out
 
+    return total
 
-def negatives(x: np.ndarray, stands: np.ndarray, first: BoostedTrees, bars: list[float]) -> np.ndarray:
-    low = first.probability(x) < np.array(bars)[x[:, 0].astype(int)]
-    return (stands == OTHER_KIND) | ((stands == FREE) & low)
 
+def negatives(rows: Rows, first: BoostedTrees, bars: np.ndarray) -> np.ndarray:
+    return (rows.stands == OTHER_KIND) | ((rows.stands == FREE) & (rows.margin(first) < bars[rows.kind]))
 
-def train(found: DataFrame, limit: int = MAX_TRAINING) -> tuple[Halves, list[float]] | None:
-    """The trees and each kind's threshold, from a bounded sample of candidates: the trees of each half are calibrated on the other.
 
-    A threshold shows the precision among held-out positives and sure negatives, and is not under PRECISION, or what nearly all
-    held-out positives reach if that is less.
+def margins(rows: Rows, model: BoostedTrees, used: np.ndarray, *by: np.ndarray) -> np.ndarray:
+    """How many of the rows used have each margin, by kind and by what else is given, which is 0 or 1."""
+    out = np.zeros((len(KINDS), *[2 for _ in by], 2 * LIMIT + 1), np.int64)
+    np.add.at(out, (rows.kind[used], *[x[used].astype(int) for x in by], rows.margin(model)[used] + LIMIT), rows.n[used])
+    return out
+
+
+def train(found: DataFrame) -> tuple[Halves, list[float]] | None:
+    """The trees and each kind's threshold, from all candidates: the trees of each half are calibrated on the other.
+
+    Trees are grown over positives and sure negatives; first trees and each kind's bar, under which they call an unlabelled candidate a
+    negative, come before. A threshold shows the precision among held-out positives and sure negatives, and is not under PRECISION, or what
+    nearly all held-out positives reach if that is less.
     """
-    x, stands, half = drawn(found, limit)
-    if len(x) < 40:
+    counted = written(each_candidate(found).groupBy("half", "spy", "stands", "x").agg(F.count(F.lit(1)).alias("n")))
+    total, halves = summing(counted), range(2)
+
+    def sizes(rows: Rows) -> np.ndarray:
+        own = [rows.half == i for i in halves]
+        return np.array([[rows.n[o].sum(), rows.n[o & (rows.stands == BASE)].sum(), rows.n[o & (rows.stands == BASE) & ~rows.spy].sum()] for o in own], np.int64)
+
+    sized = total(sizes)
+    if sized[:, 0].sum() < 40 or (sized[:, 2] == 0).any() or (sized[:, 1] == sized[:, 0]).any():
+        return None
+    values = [[] for _ in range(FEATURES)]
+    for r in counted.select(F.posexplode("x").alias("j", "value"), "n").groupBy("j", "value").agg(F.sum("n").alias("n")).collect():
+        values[r.j].append((r.value, r.n))
+    edges = [edges_of(*np.array(v, np.float64).T) for v in values]
+    first = [BoostedTrees() for _ in halves]
+    grow(first, edges, total, lambda rows, i: (rows.half == i, (rows.stands == BASE) & ~rows.spy))
+    place, bars = np.arange(-LIMIT, LIMIT + 1), np.full((2, len(KINDS)), -np.inf)
+    spies = total(lambda rows: np.stack([margins(rows, first[i], rows.spy & (rows.half == i)) for i in halves]))
+    for i, kind in np.argwhere(spies.any(axis=2)):
+        bars[i, kind] = quantiles(place.astype(float), spies[i, kind], QUANTILE)
+    known = lambda rows, i: (rows.stands == BASE) | negatives(rows, first[i], bars[i])
+    used = total(lambda rows: np.array([[rows.n[o].sum(), rows.n[o & (rows.stands == BASE)].sum()] for o in ((rows.half == i) & known(rows, i) for i in halves)], np.int64))
+    if (used[:, 0] == used[:, 1]).any():
+        return None
+    models = [BoostedTrees() for _ in halves]
+    grow(models, edges, total, lambda rows, i: ((rows.half == i) & known(rows, i), rows.stands == BASE))
+    held = total(lambda rows: np.stack([margins(rows, models[i], (rows.half != i) & known(rows, i), rows.stands == BASE) for i in halves]))
+    if (held.sum(axis=(1, 3)) == 0).any():
         return None
-    models, p, y, kinds = [], [], [], []
-    for own in (0, 1):
-        learnt = learn(x[half == own], stands[half == own])
-        if learnt is None:
-            return None
-        model, first, bars = learnt
-        held, met = x[half != own], stands[half != own]
-        known = (met == BASE) | negatives(held, met, first, bars)
-        held, met = held[known], (met[known] == BASE).astype(float)
-        if not 0 < met.sum() < len(met):
-            return None
-        models.append(model.calibrate(held, met))
-        p, y, kinds = [*p, model.probability(held)], [*y, met], [*kinds, held[:, 0]]
-    p, y, kinds = map(np.concatenate, (p, y, kinds))
+    p, y, n, kinds = [], [], [], []
+    for model, own in zip(models, held):
+        kind, met, at = np.nonzero(own)
+        m, many = place[at] / UNIT, own[kind, met, at]
+        model.calibrate_margins(m, met.astype(float), many.astype(float))
+        p, y, n, kinds = [*p, model.rated(m)], [*y, met], [*n, many], [*kinds, kind]
+    p, y, n, kinds = map(np.concatenate, (p, y, n, kinds))
     thresholds = []
     for kind in range(len(KINDS)):
-        own = kinds == kind
-        reached = p[own & (y > 0)]
-        thresholds.append(max(threshold(p[own], y[own]), min(float(np.quantile(reached, QUANTILE)), PRECISION)) if len(reached) else 2.0)
+        own, met = kinds == kind, (kinds == kind) & (y > 0)
+        thresholds.append(max(threshold(p[own], y[own], n[own]), min(float(quantiles(p[met], n[met], QUANTILE)), PRECISION)) if met.any() else 2.0)
     return Halves(models), thresholds
 
 
-def threshold(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
-    """The least probability over which the lower bound (Wilson, 95 %) of precision holds; 2, over all, where none does."""
-    order = np.argsort(-p, kind="stable")
-    hits, n, z = np.cumsum(y[order]), np.arange(1, len(y) + 1), 1.645
+def threshold(p: np.ndarray, y: np.ndarray, times: np.ndarray, precision: float = PRECISION) -> float:
+    """The least probability over which the lower bound (Wilson, 95 %) of precision holds; 2, over all, where none does. Each p stands for as many as times says."""
+    rates, at = np.unique(-p, return_inverse=True)
+    hits, n, z = np.cumsum(np.bincount(at, times * y)), np.cumsum(np.bincount(at, times)), 1.645
     share = hits / n
     low = (share + z * z / (2 * n) - z * np.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     good = np.flatnonzero(low >= precision)
-    return float(p[order][good[-1]]) if len(good) else 2.0
+    return float(-rates[good[-1]]) if len(good) else 2.0
 
 
 def select(found: DataFrame, model: tuple[Halves, list[float]] | None) -> DataFrame:

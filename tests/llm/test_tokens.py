@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import random
@@ -403,6 +404,34 @@ def test_candidates_are_drawn_from_all_of_a_document(spark):
     assert len(pii.drawn(found, limit=40)[0]) <= 40
 
 
+def many_candidates(spark, docs, serials):
+    """Documents of many numbers that are nothing and, in two of three, an address of a host."""
+    rnd = random.Random(23)
+    rows = []
+    for i in range(docs):
+        what = [f"serial 77{rnd.randrange(10**6):06}" for _ in range(serials)] + [f"call +1 (555) 123-{rnd.randrange(1000, 9999)}"]
+        rows.append((i, " or ".join(what + [f"host 110.121.{rnd.randrange(10, 99)}.77"] * (i % 3 > 0)), "en", "s", 1))
+    return pii.written(pii.find(spark.createDataFrame(rows, DOCS).select("text", "doc_id")))
+
+
+def test_all_candidates_are_learnt_from(spark):
+    found = many_candidates(spark, 300, 200)
+    model, thresholds = pii.train(found)
+    assert thresholds[pii.IP] < 2  # 200 base spans of some 60,000 candidates: enough for a bound, a third of them would not be
+    assert pii.added(pii.select(found, (model, thresholds))).first().base_spans == 500
+
+
+def test_sums_by_tasks_give_the_same_trees(spark, monkeypatch):
+    found = many_candidates(spark, 200, 5)
+    monkeypatch.setattr(pii, "BoostedTrees", functools.partial(pii.BoostedTrees, rounds=3))
+    kept, ours = pii.train(found)
+    monkeypatch.setattr(pii, "HELD", 0)
+    summed, theirs = pii.train(found)
+    assert ours == theirs
+    for a, b in zip(kept.models, summed.models):
+        assert (a.base, a.a, a.b) == (b.base, b.a, b.b) and all(np.array_equal(x, y) for s, t in zip(a.trees, b.trees) for x, y in zip(s, t))
+
+
 def test_personal_data_in_odd_rows_and_an_empty_table(spark, odd, empty, clashing):
     out = pii.redact(odd).collect()
     assert len(out) == odd.count()
