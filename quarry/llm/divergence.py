@@ -1,8 +1,9 @@
 """Audit of how far the sources of a language diverge: CountVectorizer vectors, sums by group, sparse evaluation of pairs.
 
 Terms are tagged with their document's lang, so one ``CountVectorizer`` (minDF, vocabSize the largest integer) holds the vocabularies of all
-languages, each with exactly the terms in at least MIN_DF of its documents, however many languages there are. The sparse vectors of the
-documents are added up by lang, source and index, and what follows works on these sums.
+languages, each with exactly the terms in at least MIN_DF of its documents, however many languages there are. A task counts the terms of the
+documents that it reads by lang and source, and by lang the documents that hold each; what the vectorizer gets are these counts, digit by
+binary digit. Its sparse vectors are added up by lang, source and index, and what follows works on these sums.
 
 A group's share of a term is p = 1 + floor(SCALE * (count + 1) / (N + V)), and two shares p, q diverge by floor((p - q) ** 2 / q). Pairs of
 sources are evaluated sparsely: D(g, h) = V * f(p0, q0) + sum over g's terms of f(p, q0) - f(p0, q0) + sum over h's terms of f(p*, q) - f(p*, q0)
@@ -14,8 +15,8 @@ The model is held by the driver and broadcast, so its size is checked first: the
 terms (a parameter; about 100 MB) the sums come from a join with that table instead. Both ways give the same rows.
 
 Defined cases: null text, lang and source are ''; every row is a document of its own, so rows that repeat count as often as they come; a group
-without a kept term has N = 0 and still pairs with the others; a lang without kept terms has V = 0 and value 0 for all pairs, no term rows; very
-long texts are one array of words in one row; ties rank by item in UTF-8 order; an empty table gives no row; other columns aren't read.
+without a kept term has N = 0 and still pairs with the others; a lang without kept terms has V = 0 and value 0 for all pairs, no term rows; a very
+long text is split by itself; ties rank by item in UTF-8 order; an empty table gives no row; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,55 +38,39 @@ MIN_DF, SCALE, TERM_RANKS = 3, 1_000_000_000, 200
 #: Tagged terms that a model may hold; more stay in a table.
 MAX_TERMS = 1_000_000
 ENTRIES, BLOCK = 20_000, 256
-#: Entries of sums that a task holds before it hands them on.
-HELD = 1_000_000
+#: Entries of sums that a task holds before it hands them on, and entries that wait until they are added up, at least.
+HELD, WAITING = 1_000_000, 200_000
 #: Terms in the documents of a bucket of sums, about, and the number of buckets at most.
 BUCKET, MOST_BUCKETS = 2_000_000, 2_048
 #: Between lang and term; no term holds it, so the last one in a tagged term is this one.
-TAG = b" "
+TAG = " "
 #: Bytes of terms keep their value, A-Z in lower case; all others separate. Bytes from 0x80 on belong to code points above 0x7F.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def terms_of(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms, n): a document's terms, each tagged with its lang, and their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                starts, terms = [0], []
-                for lang, text in zip(part.column(0), part.column(2)):
-                    tag = lang.as_py() + TAG
-                    terms += [tag + w for w in text.as_py().translate(_LETTERS).split()]
-                    starts.append(len(terms))
-                flat = pa.concat_arrays([pa.array(terms[k : k + 1_000_000], pa.binary()) for k in range(0, max(1, len(terms)), 1_000_000)]).view(pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0).view(pa.string()), part.column(1), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), flat), pa.array(np.diff(starts).astype(np.int32))], ["lang", "source", "terms", "n"])
-
-    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.select(plain("lang").cast("binary").alias("lang"), plain("source").alias("source"), plain("text").cast("binary").alias("text")).mapInArrow(run, "lang string, source string, terms array<string>, n int")
-
-
-def vocabulary(documents: DataFrame) -> DataFrame:
-    """(term, lang) of the tagged terms in at least MIN_DF documents of their lang."""
-    each = documents.select(F.explode(F.array_distinct("terms")).alias("term"))
-    found = each.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= MIN_DF).select("term")
-    return found.withColumn("lang", F.expr("left(term, length(term) - length(substring_index(term, ' ', -1)) - 1)"))
-
-
 class Sums:
     """Counts by key, a group's number << 31 | a term's index, as sorted arrays."""
 
     def __init__(self) -> None:
         self.numbers: dict[tuple[str, str], int] = {}
         self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
 
     def groups(self, names: Iterable[tuple[str, str]]) -> np.ndarray:
         return np.array([self.numbers.setdefault(n, len(self.numbers)) for n in names], np.int64)
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        keys, counts = np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts])
-        order = np.argsort(keys, kind="stable")
+        self.waiting.append((keys, counts))
+        self.n_waiting += len(keys)
+        if self.n_waiting > max(WAITING, len(self.keys) // 2):
+            self.settle()
+
+    def settle(self) -> None:
+        """Add up what has come since; before that it is in neither keys nor counts."""
+        keys, counts = (np.concatenate([own, *[w[i] for w in self.waiting]]) for i, own in enumerate((self.keys, self.counts)))
+        self.waiting, self.n_waiting = [], 0
+        order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.diff(keys, prepend=-1))
         self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
@@ -100,14 +86,104 @@ class Sums:
 ENTRY = ["lang", "source", "index", "c"]
 
 
+PART_ROWS, PART_BYTES = 1_000, 16_000_000
+
+
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most PART_ROWS rows and, but for single rows, PART_BYTES of text."""
+    upto, first = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while first < batch.num_rows:
+        last = int(np.searchsorted(upto, (upto[first - 1] if first else 0) + PART_BYTES, side="right"))
+        last = min(max(last, first + 1), first + PART_ROWS)
+        yield batch.slice(first, last - first)
+        first = last
+
+
+class Counted:
+    """Terms of documents: occurrences by lang and source, and numbers of documents by lang."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, int] = {}
+        self.sums, self.held_by = Sums(), Sums()
+        self.n = np.zeros(0, np.int64)
+
+    def add(self, part: pa.RecordBatch) -> None:
+        langs, sources = part.column(0).to_pylist(), part.column(1).to_pylist()
+        lists = pc.ascii_split_whitespace(pa.array([t.as_py().translate(_LETTERS) for t in part.column(2)], pa.large_binary()).view(pa.large_string()))
+        flat = lists.flatten().dictionary_encode()
+        known = np.array([self.words.setdefault(w, len(self.words)) if w else -1 for w in flat.dictionary.to_pylist()], np.int64)
+        code, document = known[flat.indices.to_numpy()], np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        some = code >= 0  # blanks at an end have an empty word beside them
+        pairs, counts = np.unique(document[some] << 31 | code[some], return_counts=True)
+        document, code = pairs >> 31, pairs & (2**31 - 1)
+        group, lang = self.sums.groups(zip(langs, sources)), self.held_by.groups((g, "") for g in langs)
+        self.n = np.concatenate([self.n, np.zeros(len(self.sums.numbers) - len(self.n), np.int64)])
+        np.add.at(self.n, group[document], counts)
+        self.sums.add(group[document] << 31 | code, counts)
+        self.held_by.add(lang[document] << 31 | code, np.ones(len(code), np.int64))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        words = pa.array(list(self.words), pa.string())
+        for sums, of_groups in ((self.sums, True), (self.held_by, False)):
+            sums.settle()
+            names, group = list(sums.numbers), sums.keys >> 31
+            digits = range(int(sums.counts.max(initial=1)).bit_length()) if of_groups else range(1)
+            at = [np.flatnonzero(sums.counts >> d & 1) if of_groups else np.arange(len(sums.keys)) for d in digits]
+            key = np.concatenate([group[x] + d * len(names) for d, x in zip(digits, at)])
+            at, rows = np.concatenate(at), np.union1d(np.arange(len(names)), key)
+            lang = pa.array([n[0] for n in names], pa.string())
+            terms = pc.binary_join_element_wise(lang.take(pa.array(group[at])), words.take(pa.array(sums.keys[at] & (2**31 - 1))), TAG)
+            starts = pa.array(np.searchsorted(key, np.append(rows, rows[-1] + 1 if len(rows) else 0)).astype(np.int32))
+            own, digit = pa.array(rows % max(len(names), 1)), (rows // max(len(names), 1)).astype(np.int32)
+            nothing = lambda kind: pa.nulls(len(rows), kind)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    lang.take(own), pa.array([n[1] for n in names], pa.string()).take(own) if of_groups else nothing(pa.string()), pa.array(digit) if of_groups else nothing(pa.int32()),
+                    pa.ListArray.from_arrays(starts, terms), nothing(pa.list_(pa.int64())) if of_groups else pa.ListArray.from_arrays(starts, pa.array(sums.counts[at])),
+                    pa.array(np.where(digit == 0, self.n[rows % max(len(names), 1)], 0) if of_groups else np.zeros(len(rows), np.int64)),
+                ],
+                ["lang", "source", "digit", "terms", "df", "n"],
+            )
+
+
+def terms_of(docs: DataFrame) -> DataFrame:
+    """(lang, source, digit, terms, df, n): terms, tagged with their lang, of the documents that a task reads together.
+
+    A row with a digit has the terms whose number of occurrences in its lang and source has that binary digit: each occurrence counts, yet a term
+    comes once for a digit and not once for an occurrence. Every group has a row of digit 0, with its number n of terms. A row without a digit
+    has all terms of a lang and the number of documents that hold each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = Counted()
+        for batch in batches:
+            for part in parts(batch):
+                counted.add(part)
+                if len(counted.sums.keys) > HELD:
+                    yield from counted.batches()
+                    counted = Counted()
+        yield from counted.batches()
+
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return docs.select(plain("lang").alias("lang"), plain("source").alias("source"), plain("text").cast("binary").alias("text")).mapInArrow(run, "lang string, source string, digit int, terms array<string>, df array<long>, n long")
+
+
+def vocabulary(documents: DataFrame) -> DataFrame:
+    """(term, lang) of the tagged terms in at least MIN_DF documents of their lang."""
+    each = documents.where("df IS NOT NULL").select(F.inline(F.arrays_zip("terms", "df")))
+    found = each.groupBy(F.col("terms").alias("term")).agg(F.sum("df").alias("df")).where(F.col("df") >= MIN_DF).select("term")
+    return found.withColumn("lang", F.expr("left(term, length(term) - length(substring_index(term, ' ', -1)) - 1)"))
+
+
 def summed(vectors: DataFrame, buckets: int) -> DataFrame:
-    """(lang, source, index, c): sparse vectors (lang, source, indices, values) added up by group.
+    """(lang, source, index, c): sparse vectors (lang, source, digit, indices, values) added up by group, each worth two to its digit.
 
     A task adds up what it reads and hands it on as one row of arrays for each bucket of indices; a bucket's rows are added up as they arrive,
     so it holds its own sums alone, terms by groups, however many documents there are.
     """
 
     def cut(sums: Sums) -> Iterator[pa.RecordBatch]:
+        sums.settle()
         of = (sums.keys & (2**31 - 1)) % buckets
         order = np.argsort(of, kind="stable")
         found, first = np.unique(of[order], return_index=True)
@@ -122,8 +198,9 @@ def summed(vectors: DataFrame, buckets: int) -> DataFrame:
         sums = Sums()
         for batch in batches:
             group = sums.groups(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            keys = np.repeat(group, np.diff(batch.column(2).offsets.to_numpy())) << 31 | batch.column(2).flatten().to_numpy()
-            sums.add(keys, batch.column(3).flatten().to_numpy().astype(np.int64))
+            sizes = np.diff(batch.column(3).offsets.to_numpy())
+            keys = np.repeat(group, sizes) << 31 | batch.column(3).flatten().to_numpy()
+            sums.add(keys, batch.column(4).flatten().to_numpy().astype(np.int64) << np.repeat(batch.column(2).to_numpy(), sizes))
             if len(sums.keys) > HELD:
                 yield from cut(sums)
                 sums = Sums()
@@ -135,6 +212,7 @@ def summed(vectors: DataFrame, buckets: int) -> DataFrame:
             for _, langs, sources, own, index, c in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 group = sums.groups(zip(langs, sources))
                 sums.add(group[np.frombuffer(own, np.int32)] << 31 | np.frombuffer(index, np.int32), np.frombuffer(c, np.int64))
+        sums.settle()
         for first in range(0, len(sums.keys), 50_000):
             yield sums.batch(slice(first, first + 50_000), ENTRY)
 
@@ -143,7 +221,7 @@ def summed(vectors: DataFrame, buckets: int) -> DataFrame:
 
 
 def vector_sums(documents: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(lang, source, term, c): the documents' sparse count vectors, summed by group.
+    """(lang, source, term, c): sparse count vectors of the documents' terms, digit by digit, summed by group.
 
     The vectorizer is fitted on the vocabulary's table, in which each term has its least number of documents, so that it learns what it would
     learn from the corpus without reading that once more.
@@ -151,7 +229,7 @@ def vector_sums(documents: DataFrame, vocab: DataFrame) -> DataFrame:
     counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(MIN_DF), vocabSize=2**31 - 1)
     model = counter.fit(vocab.select(F.explode(F.array_repeat(F.array("term"), MIN_DF)).alias("terms")))
     entries = F.unwrap_udt(F.col("vector"))
-    vectors = model.transform(documents).select("lang", "source", entries.alias("v")).select("lang", "source", "v.indices", "v.values")
+    vectors = model.transform(documents.where("digit >= 0")).select("lang", "source", "digit", entries.alias("v")).select("lang", "source", "digit", "v.indices", "v.values")
     names = model.transform(vocab.select("term", F.array("term").alias("terms"))).select("term", F.unwrap_udt(F.col("vector"))["indices"][0].alias("index"))
     buckets = min(MOST_BUCKETS, -(-(documents.agg(F.sum("n")).first()[0] or 1) // BUCKET))
     return summed(vectors, buckets).join(names, "index").select("lang", "source", "term", "c")
@@ -159,7 +237,8 @@ def vector_sums(documents: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def table_sums(documents: DataFrame, vocab: DataFrame) -> DataFrame:
     """The same from the vocabulary's table, of any size."""
-    sums = documents.select("lang", "source", F.explode("terms").alias("term")).groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("c"))
+    each = documents.where("digit >= 0").select("lang", "source", F.explode("terms").alias("term"), F.expr("shiftleft(1L, digit)").alias("c"))
+    sums = each.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"))
     return sums.join(vocab.select("term"), "term", "left_semi").select("lang", "source", "term", "c")
 
 
@@ -231,7 +310,7 @@ def audit(docs: DataFrame) -> DataFrame:
         vocab = scratch.keep(vocabulary(documents))
         n_terms = vocab.count()
         sums = scratch.keep((vector_sums if n_terms <= MAX_TERMS else table_sums)(documents, vocab))
-        there = documents.select("lang", "source").distinct()
+        there = documents.where("digit = 0").select("lang", "source").distinct()
         sizes = sums.groupBy("lang", "source").agg(F.sum("c").alias("n"))
         kept = scratch.keep(vocab.groupBy("lang").agg(F.count(F.lit(1)).alias("v")))
         zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)

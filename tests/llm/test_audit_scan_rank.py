@@ -59,6 +59,17 @@ def test_audit_equals_brute_force_and_sql_however_it_is_dealt(spark, folder, mon
     assert got() == expected
 
 
+def test_terms_are_counted_before_they_are_handed_on(spark):
+    rows = [(i, "one two two", "en", "s", 1) for i in range(1000)] + [(2000, None, "en", "t", 0)]
+    found = dv.terms_of(table(spark, rows).coalesce(1)).collect()
+    assert sum(len(r.terms) for r in found) <= 30  # by digit, not by occurrence
+    assert {(r.source, r.n) for r in found if r.digit == 0} == {("s", 3000), ("t", 0)}
+    totals = Counter()
+    for r in found:
+        totals.update({(r.source, t): 1 << r.digit for t in r.terms} if r.digit is not None else {("df", t): c for t, c in zip(r.terms, r.df)})
+    assert totals == {("s", "en one"): 1000, ("s", "en two"): 2000, ("df", "en one"): 1000, ("df", "en two"): 1000}
+
+
 def test_audit_of_odd_rows_and_an_empty_table(spark, odd, empty, clashing):
     assert dv.audit(empty).count() == 0
     out = dv.audit(odd).collect()
