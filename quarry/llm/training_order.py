@@ -81,7 +81,8 @@ def encoding(data: dict):
     if "encoding" not in data:
         import tiktoken
 
-        data["encoding"] = tiktoken.Encoding("own", pat_str=bpe.PIECES, mergeable_ranks=data["ranks"], special_tokens={})
+        # a special token's pattern must not be empty; none is allowed in texts, so its name there is plain text
+        data["encoding"] = tiktoken.Encoding("own", pat_str=bpe.PIECES, mergeable_ranks=data["ranks"], special_tokens={"<|end|>": max(data["ranks"].values()) + 1})
     return data["encoding"]
 
 
@@ -93,7 +94,7 @@ def tokenised(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
     kind = "<u2" if end < 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoding(held.value).encode_ordinary, {}
+        encode, seen = encoding(held.value).encode_to_numpy, {}
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
@@ -102,10 +103,12 @@ def tokenised(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
                     again.append(seen.get(key, 0))
                     seen[key] = again[-1] + 1
                 for text in part.column(3):
-                    own = [i for segment in bpe.cut(text.as_py() or "") for i in encode(segment)]
-                    own.append(end)
-                    n_tokens.append(len(own))
-                    ids.append(np.array(own + [end] * (-len(own) % length), kind).tobytes())
+                    own = [encode(segment, disallowed_special=()) for segment in bpe.cut(text.as_py() or "")]
+                    n_tokens.append(n := sum(map(len, own)) + 1)
+                    filled = np.full(n + -n % length, end, kind)
+                    if own:
+                        filled[: n - 1] = np.concatenate(own)
+                    ids.append(filled.tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(again, pa.int64()), part.column(1), part.column(2), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary())], names)
 
     names = ["part", "again", "doc_id", "h", "n_tokens", "ids"]
@@ -172,18 +175,23 @@ def write_shards(sequences: DataFrame, total: int, path: str, shard_rows: int =
         at, held = None, []
 
         def whole() -> pa.RecordBatch:
-            content = b"".join(r[2] for r in held)
-            longs = [pa.array([v], pa.int64()) for v in (at, held[0][1], len(held), len(held[0][2]), zlib.crc32(content))]
-            lists = [pa.array([[r[i] for r in held]], pa.list_(kind)) for i, kind in ((3, pa.int64()), (4, pa.int32()), (5, pa.int32()), (6, pa.int64()))]
-            return pa.RecordBatch.from_arrays([*longs, pa.array([content], pa.binary()), *lists], names)
+            slots, records, *lists = (pa.concat_arrays([piece.column(i) for piece in held]) for i in range(1, 7))
+            n, ends = len(records), np.frombuffer(records.buffers()[1], np.int32)[records.offset : records.offset + len(records) + 1]
+            content = records.buffers()[2][int(ends[0]) : int(ends[-1])]
+            longs = [pa.array([v], pa.int64()) for v in (at, slots[0].as_py(), n, int(ends[1] - ends[0]), zlib.crc32(content))]
+            return pa.RecordBatch.from_arrays([*longs, pa.array([content.to_pybytes()], pa.binary()), *[pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), own) for own in lists]], names)
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != at:
-                    if held:
-                        yield whole()
-                    at, held = row[0], []
-                held.append(row)
+            shard = batch.column(0).to_numpy()
+            bounds = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for first, last in zip(bounds, bounds[1:]):
+                if first == last:
+                    continue
+                if held and shard[first] != at:
+                    yield whole()
+                    held = []
+                at = int(shard[first])
+                held.append(batch.slice(first, last - first))
         if held:
             yield whole()
 

@@ -404,6 +404,20 @@ def test_candidates_are_drawn_from_all_of_a_document(spark):
     assert len(pii.drawn(found, limit=40)[0]) <= 40
 
 
+def test_shards_and_ids_are_made_of_whole_arrays(spark, tmp_path):
+    texts = [prose(1, 300), "<|end|> and <|endoftext|> é 😀", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = [to.encoding(to.ranks(to.default_path())).encode_ordinary(t or "") for t in texts]
+    tokens = to.written(to.tokenised(docs, length=4))
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist()[: r.n_tokens - 1] for r in tokens.collect()}
+    assert got == dict(enumerate(plain))
+    sequences, total = to.ordered(tokens, 4, 8)
+    shards = to.write_shards(sequences, total, f"{tmp_path}/shards", 8).collect()
+    rows = sorted((r.slot, bytes(r.record)) for r in sequences.collect())
+    assert [b"".join(x for _, x in rows[r.first_slot : r.first_slot + r.rows]) for r in sorted(shards)] == [bytes(r.content) for r in sorted(shards)]
+    assert sum(r.rows for r in shards) == total == len(rows) and all(r.crc32 == zlib.crc32(r.content) for r in shards)
+
+
 def many_candidates(spark, docs, serials):
     """Documents of many numbers that are nothing and, in two of three, an address of a host."""
     rnd = random.Random(23)
