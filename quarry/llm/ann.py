@@ -40,6 +40,8 @@ MIN_CENTROIDS, MAX_CENTROIDS = 16, 1024
 STEP, RUN = 32, 256
 #: The share of true neighbours that sampled queries must find among the sample.
 RECALL = 0.96
+#: Vectors that a query visits at least, as many times as it asks for: of so few, a share leaves out neighbours and saves nothing.
+LEAST = 50
 BIN = 20_000
 QUERIES = 2_000  # of a group, about
 
@@ -204,7 +206,7 @@ def search(table: DataFrame, every: int = 20, near: int = 20) -> DataFrame:
     for r in entries.groupBy("cell").count().collect():  # MAX_CENTROIDS ** 2 rows at most
         counts[r.cell] = r["count"]
     first, split = bins(counts)
-    enough = max(int(np.ceil(part * counts.sum())), near + 1)
+    enough = max(int(np.ceil(part * counts.sum())), LEAST * near, near + 1)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
