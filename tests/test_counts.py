@@ -70,3 +70,10 @@ def test_counts_and_shares_of_evidence_equal_those_of_the_links(crowd):
 def test_files_of_candidates_are_counted_by_group(crowd):
     r = measure.collapse(crowd, resolve.sized(crowd)).first()
     assert (r.sites, r.scoped_sites, r.scoped_mean) == (2 * N + 2, 2 * N + 2, round((2 * (N - 2) * N + 4 + 1 + 1) / (2 * N + 2), 4))
+
+
+def test_settled_neighbors_make_no_pair(crowd):
+    """Callers that are sure come from counts alone: no group is spelled out for them."""
+    found = traverse.neighbors(crowd, "callers")
+    assert {(r.start, r.node) for r in found.collect()} == {(1000, 2000 + N), (1001, 2001 + N), (2001 + N, 2000 + N)}
+    assert "AS d_name" not in found._jdf.queryExecution().optimizedPlan().toString()
