@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import measure, resolve, traverse
+from quarry.operators import measure, overlay, resolve, traverse
+from quarry.plans import registry
 from quarry.sources import star, tables
 
 SOURCE = "/root/testdata/sf0.001"
@@ -77,3 +78,16 @@ def test_settled_neighbors_make_no_pair(crowd):
     found = traverse.neighbors(crowd, "callers")
     assert {(r.start, r.node) for r in found.collect()} == {(1000, 2000 + N), (1001, 2001 + N), (2001 + N, 2000 + N)}
     assert "AS d_name" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_implementations_of_an_index_ask_for_no_resolution(spark, tmp_path):
+    os.symlink(SOURCE, tmp_path / "claims")
+    where = str(tmp_path / "claims")
+    assert registry.QUERIES["ovl07_implements"](spark, where).count() > 0
+    assert not {"shares", "resolved"} & star.graph(spark, where).tables.made.keys()
+
+
+def test_exact_calls_replace_the_graphs_own(spark):
+    g = star.graph(spark, SOURCE)
+    seen = registry.occurrences(g)
+    assert rows(overlay.calls_anew(g, seen)) == rows(overlay.calls(g, traverse.links(g).where("kind = 'CALLS'"), seen))
