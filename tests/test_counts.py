@@ -91,3 +91,19 @@ def test_exact_calls_replace_the_graphs_own(spark):
     g = star.graph(spark, SOURCE)
     seen = registry.occurrences(g)
     assert rows(overlay.calls_anew(g, seen)) == rows(overlay.calls(g, traverse.links(g).where("kind = 'CALLS'"), seen))
+
+
+def test_importers_are_not_sorted_out_after_they_are_made(crowd, spark):
+    for question, here in (("importers", "dst"), ("imports", "src")):
+        found = traverse.neighbors(crowd, question)
+        made = crowd.nodes.select(F.col("id").alias("start"), "file_id").join(traverse.file_links(crowd), F.col("file_id") == F.col(here)).select("start", "src" if here == "dst" else "dst")
+        assert Counter((r.start, r.node) for r in found.collect()) == rows(made) and found.count() > 2
+        assert not found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+
+
+def test_ambiguous_neighbors_equal_the_best_of_all_links(crowd, spark):
+    for question, here, there in (("callers", "dst", "src"), ("callees", "src", "dst")):
+        every = traverse.links(crowd).where("src <> dst").select(F.col(here).alias("start"), F.col(there).alias("node"), "kind", "confidence", "evidence", "candidate_count")
+        assert rows(traverse.neighbors(crowd, question, ambiguous=True)) == rows(traverse.best_of(every))
+    one = spark.createDataFrame([(1003,)], "id long")
+    assert traverse.neighbors(crowd, "callers", ambiguous=True, starts=one).count() == N - 2
